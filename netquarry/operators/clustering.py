@@ -66,9 +66,15 @@ def assign(points: DataFrame, model, features: str = "features", out: str = "cam
 
 
 def hierarchical(points: DataFrame, k: int, seed: int = DEFAULT.seed, features: str = "features") -> DataFrame:
-    """Divisive hierarchical clustering into k leaves."""
-    model = BisectingKMeans(featuresCol="_v", k=k, seed=seed).fit(_vectors(points, features))
-    return assign(points, model, features)
+    """Divisive hierarchical clustering into k leaves.
+
+    Vectors are shifted off the origin first: distances stay the same, but the
+    splitter perturbs a centre in proportion to its length, and the centre of
+    standardised data has none.
+    """
+    shifted = points.withColumn("_shifted", F.transform(features, lambda x: x + 10.0))
+    model = BisectingKMeans(featuresCol="_v", k=k, seed=seed).fit(_vectors(shifted, "_shifted"))
+    return assign(shifted, model, "_shifted").drop("_shifted")
 
 
 def _silhouette_sums(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:

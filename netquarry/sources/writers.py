@@ -28,7 +28,8 @@ def write_flows(df: DataFrame, path: str, csv_path: str | None = None, mode: str
     dated = unified(df).withColumn("flow_date", F.to_date("StartTime"))
     dated.hint("rebalance", "DatasetSource", "flow_date").write.mode(mode).partitionBy("DatasetSource", "flow_date").parquet(path)
     if csv_path:
-        df.write.mode(mode).option("header", True).csv(csv_path)
+        exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        df.write.mode(mode).option("header", True).option("timestampNTZFormat", exact).csv(csv_path)
 
 
 def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -9,22 +9,21 @@ from pyspark.sql import types as T
 from netquarry.functions import network as N
 from netquarry.schema import OTHER_PROTOCOL_CODE, PROTOCOL_CODES
 
-# Accepted timestamp spellings, each with an optional fraction.
-TIMESTAMP_PATTERNS = [
-    "yyyy/MM/dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy hh:mm:ss a",
-    "yyyy-MM-dd",
-]
-
-
-def parse_time(value: Column) -> Column:
-    """Text to a zone-free timestamp; unreadable text becomes null."""
+def parse_time(value: Column, day_first: bool = False) -> Column:
+    """Text to a zone-free timestamp; unreadable text becomes null.
+
+    Year-first dates with '-' or '/', 'T' or blank, and any fraction are cast
+    directly. Dates that start with a month (or, on request, a day) are put in
+    year-first order before the cast; an AM/PM suffix is honoured.
+    """
     text = F.trim(value)
-    tries = [F.try_to_timestamp(text, F.lit(p)) for p in TIMESTAMP_PATTERNS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    plain = F.translate(text, "/", "-").try_cast("timestamp_ntz")
+    order = "$3-$2-$1 $4" if day_first else "$3-$1-$2 $4"
+    core = F.regexp_replace(text, r"(?i)\s*[ap]m$", "")
+    moved = F.trim(F.regexp_replace(core, r"^(\d{1,2})/(\d{1,2})/(\d{4})\s*(.*)$", order)).try_cast("timestamp_ntz")
+    half = F.upper(F.regexp_extract(text, r"(?i)([ap])m$", 1))
+    shift = F.when((half == "P") & (F.hour(moved) < 12), 12).when((half == "A") & (F.hour(moved) == 12), -12).otherwise(0)
+    return F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), F.timestamp_add("HOUR", shift, moved)).otherwise(plain)
 
 
 def number(df: DataFrame, name: str, type_name: str = "double") -> Column:

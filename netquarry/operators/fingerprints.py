@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
@@ -145,26 +145,60 @@ def normalize(fp: DataFrame, columns: Sequence[str] = BASE_FEATURES) -> DataFram
     return fp.withColumn("_r", ranges).withColumns(scaled).drop("_r")
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+# Rank error of the bracketing summary is 1 / _ACCURACY of all rows.
+_ACCURACY = 10_000
+
+
 def describe(fp: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles per feature, in one pass.
+    """Count, mean, deviation, extremes and exact interpolated quartiles per feature.
 
-    Quartiles come from a mergeable summary (within one row in 10,000).
+    A mergeable summary brackets each quartile; one pass counts the values
+    below every bracket; only values inside a bracket (a few in ten thousand)
+    are then ordered, so no feature is sorted as a whole.
     """
-    def cell(c: str) -> list[Column]:
-        v = F.col(c).cast("double")
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10000)
-        return [
-            F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"m_{c}"), F.stddev_samp(v).alias(f"s_{c}"),
-            F.min(v).alias(f"lo_{c}"), F.max(v).alias(f"hi_{c}"), q.alias(f"q_{c}"),
-        ]
-
-    wide = fp.agg(*[a for c in columns for a in cell(c)])
-    rows = [
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"n_{c}").alias("count"), F.round(f"m_{c}", 4).alias("mean"),
-            F.round(f"s_{c}", 4).alias("std"), F.col(f"lo_{c}").alias("min"), F.col(f"q_{c}")[0].alias("p25"),
-            F.col(f"q_{c}")[1].alias("p50"), F.col(f"q_{c}")[2].alias("p75"), F.col(f"hi_{c}").alias("max"),
+    vals = {c: F.col(c).cast("double") for c in columns}
+    slack = 3.0 / _ACCURACY
+    probes = [p for q in QUARTILES for p in (q - slack, q + slack)]
+    bounds = fp.agg(F.struct(*[F.percentile_approx(v, probes, _ACCURACY).alias(c) for c, v in vals.items()]).alias("b"))
+    rows = fp.withColumn("_b", bounds.scalar())
+
+    def edge(c: str, at: int) -> Column:
+        return F.col("_b")[c][at]
+
+    aggs = []
+    for c, v in vals.items():
+        below = F.array(*[F.count_if(v < edge(c, 2 * i)) for i in range(len(QUARTILES))])
+        aggs.append(
+            F.struct(
+                F.lit(c).alias("feature"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                F.min(v).alias("min"), F.max(v).alias("max"), below.alias("below"),
+            ).alias(c)
         )
-        for c in columns
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    stats = rows.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in columns])))
+    inside = F.array(
+        *[
+            F.when((v >= edge(c, 2 * i)) & (v <= edge(c, 2 * i + 1)),
+                   F.struct(F.lit(c).alias("feature"), F.lit(i).alias("q"), v.alias("v")))
+            for c, v in vals.items() for i in range(len(QUARTILES))
+        ]
+    )
+    near = rows.select(F.explode(F.array_compact(inside)).alias("e")).select("e.*")
+    counts = near.groupBy("feature", "q", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "q").orderBy("v"))
+    placed = counts.withColumn("_last", upto).join(stats.select("feature", "count", "below"), "feature")
+    share = F.element_at(F.array(*[F.lit(p) for p in QUARTILES]), F.col("q") + 1)
+    h = (F.col("count") - 1) * share
+    first, last = F.get("below", F.col("q")) + F.col("_last") - F.col("n"), F.get("below", F.col("q")) + F.col("_last") - 1
+
+    def at_rank(r: Column) -> Column:
+        return F.max(F.when((first <= r) & (r <= last), F.col("v")))
+
+    cuts = placed.groupBy("feature", "q").agg(at_rank(F.floor(h)).alias("a"), at_rank(F.ceil(h)).alias("z"), F.max(h - F.floor(h)).alias("w"))
+    value = F.col("a") + (F.col("z") - F.col("a")) * F.col("w")
+    quartiles = cuts.groupBy("feature").agg(
+        *[F.round(F.max(F.when(F.col("q") == i, value)), 4).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)]
+    )
+    return stats.join(quartiles, "feature", "left").select(
+        "feature", "count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "p25", "p50", "p75", "max"
+    )

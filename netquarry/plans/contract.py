@@ -381,7 +381,7 @@ def c22(spark: SparkSession, sf: str) -> DataFrame:
     "c23_describe",
     " UNION ALL ".join(
         f"SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, "
-        f"quantile_disc({c}, 0.25)::DOUBLE AS p25, quantile_disc({c}, 0.5)::DOUBLE AS p50, quantile_disc({c}, 0.75)::DOUBLE AS p75, "
+        f"round(quantile_cont({c}, 0.25), 4)::DOUBLE AS p25, round(quantile_cont({c}, 0.5), 4)::DOUBLE AS p50, round(quantile_cont({c}, 0.75), 4)::DOUBLE AS p75, "
         f"max({c})::DOUBLE AS max FROM fp"
         for c in FEATURE_SQL
     ),

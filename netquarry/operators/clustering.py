@@ -6,8 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from netquarry.config import DEFAULT, EngineConfig
 from netquarry.functions import rules
 from netquarry.functions.vectors import array_of, euclidean, squared_distance
+from netquarry.operators import kmeans
 from netquarry.schema import FEATURES
 
 # The values dataset_source can take.
@@ -41,30 +41,6 @@ def standardize(df: DataFrame, columns: Sequence[str], out: str = "features") ->
     return scaled.withColumn(out, F.array(*z)).drop("_m")
 
 
-def _vectors(points: DataFrame, features: str) -> DataFrame:
-    return points.select(array_to_vector(F.col(features)).alias("_v"))
-
-
-def fit_kmeans(
-    points: DataFrame, k: int, n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed,
-    max_iter: int = 300, tol: float = 1e-4, features: str = "features",
-) -> KMeansModel:
-    """Best of ``n_init`` seeded k-means|| runs by training cost."""
-    data = _vectors(points, features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = [
-            KMeans(featuresCol="_v", k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(data) for i in range(n_init)
-        ]
-        return min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        data.unpersist()
-
-
-def assign(points: DataFrame, model, features: str = "features", out: str = "campaign_id") -> DataFrame:
-    scored = model.transform(points.withColumn("_v", array_to_vector(F.col(features))))
-    return scored.withColumn(out, F.col("prediction").cast("int")).drop("_v", "prediction")
-
-
 def hierarchical(points: DataFrame, k: int, seed: int = DEFAULT.seed, features: str = "features") -> DataFrame:
     """Divisive hierarchical clustering into k leaves.
 
@@ -73,8 +49,9 @@ def hierarchical(points: DataFrame, k: int, seed: int = DEFAULT.seed, features:
     standardised data has none.
     """
     shifted = points.withColumn("_shifted", F.transform(features, lambda x: x + 10.0))
-    model = BisectingKMeans(featuresCol="_v", k=k, seed=seed).fit(_vectors(shifted, "_shifted"))
-    return assign(shifted, model, "_shifted").drop("_shifted")
+    vectors = shifted.withColumn("_v", array_to_vector("_shifted"))
+    model = BisectingKMeans(featuresCol="_v", k=k, seed=seed).fit(vectors.select("_v"))
+    return model.transform(vectors).withColumn("campaign_id", F.col("prediction").cast("int")).drop("_v", "_shifted", "prediction")
 
 
 def _silhouette_sums(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -154,19 +131,13 @@ def sweep_k(points: DataFrame, order_key: Sequence[str], cfg: EngineConfig = DEF
     Returns (curve DataFrame [k, silhouette], best k, models by k). All models
     are scored on the same subset in one distance pass.
     """
-    data = points.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
-        ks = k_bounds(n, cfg.k_min, cfg.k_max)
-        models = {k: fit_kmeans(data, k, cfg.n_init, cfg.seed, features=features) for k in ks}
-        subset = data.orderBy(F.xxhash64(*[F.col(c) for c in order_key], F.lit(cfg.seed))).limit(cfg.silhouette_cap)
-        labelled = subset
-        for k, m in models.items():
-            labelled = assign(labelled, m, features, f"k_{k}")
-        scored = silhouettes(labelled, [f"k_{k}" for k in ks], order_key, features, cfg.silhouette_cap, cfg.seed)
-        rows = {int(r["labelling"][2:]): float(r["silhouette"]) for r in scored.collect()}
-    finally:
-        data.unpersist()
+    n = points.count()
+    ks = k_bounds(n, cfg.k_min, cfg.k_max)
+    models = kmeans.fit(points, ks, order_key, cfg.n_init, cfg.seed, features=features)
+    labelled = points.orderBy(F.xxhash64(*[F.col(c) for c in order_key], F.lit(cfg.seed))).limit(cfg.silhouette_cap)
+    labelled = labelled.select(features, *order_key, *[kmeans.nearest(m, features).alias(f"k_{k}") for k, m in models.items()])
+    scored = silhouettes(labelled, [f"k_{k}" for k in ks], order_key, features, cfg.silhouette_cap, cfg.seed)
+    rows = {int(r["labelling"][2:]): float(r["silhouette"]) for r in scored.collect()}
     best = max(sorted(rows), key=lambda k: rows[k]) if rows else min(2, max(1, n // 2))
     curve = points.sparkSession.createDataFrame(sorted(rows.items()), "k int, silhouette double")
     return curve, best, models
@@ -218,20 +189,17 @@ def simplified_silhouette(points: DataFrame, centroids: DataFrame, cluster: str,
     return ranked.agg(F.avg(s).alias("silhouette"))
 
 
-def best_k_simplified(points: DataFrame, k_range: tuple[int, int], features: str = "features", seed: int = DEFAULT.seed):
+def best_k_simplified(
+    points: DataFrame, k_range: tuple[int, int], order_key: Sequence[str], features: str = "features", seed: int = DEFAULT.seed
+):
     """k-means over a short k range, chosen by the simplified silhouette."""
-    data = points.persist(StorageLevel.MEMORY_AND_DISK)
+    ks = range(k_range[0], k_range[1] + 1)
     results = []
-    try:
-        for k in range(k_range[0], k_range[1] + 1):
-            model = fit_kmeans(data, k, 1, seed, max_iter=100, tol=1e-3, features=features)
-            cents = data.sparkSession.createDataFrame(
-                [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "id int, centroid array<double>"
-            )
-            score = simplified_silhouette(assign(data, model, features), cents, "id", features, "campaign_id").first()[0]
-            results.append((k, float(score or 0.0), model))
-    finally:
-        data.unpersist()
+    for k, model in kmeans.fit(points, ks, order_key, 1, seed, max_iter=100, tol=1e-6, features=features).items():
+        cents = kmeans.centre_table(points, model)
+        labelled = kmeans.assign(points, model, features)
+        score = simplified_silhouette(labelled, cents, "id", features, "campaign_id").first()[0]
+        results.append((k, float(score or 0.0), model))
     best = max(results, key=lambda r: r[1])
     curve = points.sparkSession.createDataFrame([(k, s) for k, s, _ in results], "k int, silhouette double")
     return curve, best[0], best[2]

@@ -27,9 +27,14 @@ def busiest_share(rows: DataFrame) -> DataFrame:
 
 
 def top_labels(rows: DataFrame) -> DataFrame:
-    """Most common simplified label; on a tie the one seen first."""
-    counts = rows.groupBy("SrcAddr", simple_label("Label").alias("label")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("StartTime").alias("_first")
+    """Most common simplified label; on a tie the one seen first.
+
+    Raw labels are counted before they are simplified, so the pattern match
+    runs once per address and label.
+    """
+    raw = rows.groupBy("SrcAddr", "Label").agg(F.count(F.lit(1)).alias("_n"), F.min("StartTime").alias("_first"))
+    counts = raw.groupBy("SrcAddr", simple_label("Label").alias("label")).agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first")
     )
     return counts.groupBy("SrcAddr").agg(
         F.min_by("label", F.struct(-F.col("_n"), F.col("_first"), F.col("label"))).alias("label")

@@ -11,13 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.config import EngineConfig
 from netquarry.functions import network as N
 from netquarry.functions import rules
 from netquarry.functions import vectors as V
 from netquarry.functions.storage import fresh_path
 from netquarry.operators import (
-    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, models, per_ip, ranking, reports,
+    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, kmeans, models, per_ip, ranking, reports,
     sampling, scoring, timeline,
 )
 from netquarry.plans import fixture
@@ -531,21 +530,20 @@ def standardized(spark: SparkSession, sf: str) -> DataFrame:
 @query("e3_kmeans")
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     points = standardized(spark, sf)
-    model = clustering.fit_kmeans(points, 4, n_init=3)
-    return clustering.assign(points, model).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
+    model = kmeans.fit(points, [4], ["SrcAddr", "time_window"])[4]
+    return kmeans.assign(points, model).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
 
 
 @query("e4_k_sweep")
 def e4(spark: SparkSession, sf: str) -> DataFrame:
-    curve, best, _ = clustering.sweep_k(
-        standardized(spark, sf), ["SrcAddr", "time_window"], EngineConfig(k_min=2, k_max=5, n_init=2)
-    )
+    curve, best, _ = clustering.sweep_k(standardized(spark, sf), ["SrcAddr", "time_window"])
     return curve.withColumn("best", F.col("k") == best)
 
 
 @query("e8_e10_profile_k")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
-    curve, best, _ = clustering.best_k_simplified(S.profile(spark, sf).select("SrcAddr", F.col("norm_features").alias("features")), (4, 6))
+    points = S.profile(spark, sf).select("SrcAddr", F.col("norm_features").alias("features"))
+    curve, best, _ = clustering.best_k_simplified(points, (4, 6), ["SrcAddr"])
     return curve.withColumn("best", F.col("k") == best)
 
 

@@ -24,7 +24,7 @@ def reservoir(df: DataFrame, key: Sequence[str], limit: int = DEFAULT.sample_row
     about ``limit`` rows however large the input is.
     """
     keyed = df.withColumn("_key", sample_key(key, seed))
-    prefix = F.substring("_key", 1, 4)
+    prefix = F.substring("_key", 1, 5)
     sizes = keyed.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     cut = sizes.select("_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")).filter(

@@ -15,9 +15,15 @@ TEXTS = ("asn", "country", "shodan_ports", "shodan_tags")
 
 
 def prioritise_addresses(camps: DataFrame, n: int = DEFAULT.enrich_per_campaign) -> DataFrame:
-    """First n addresses per campaign: hostile label first, then busiest."""
-    best = camps.groupBy("campaign_id", "SrcAddr").agg(F.max(F.struct("label", "conn_count")).alias("_b"))
-    flat = best.select("campaign_id", "SrcAddr", F.col("_b.label").alias("label"), F.col("_b.conn_count").alias("conn_count"))
+    """First n addresses per campaign: hostile label first, then busiest.
+
+    An address ranks by its busiest window among those with its highest label
+    (labels are two-valued), found with fixed-width aggregates only.
+    """
+    flat = camps.groupBy("campaign_id", "SrcAddr").agg(
+        F.max("label").alias("label"),
+        F.coalesce(F.max(F.when(F.col("label") > 0, F.col("conn_count"))), F.max("conn_count")).alias("conn_count"),
+    )
     order = [F.desc("label"), F.desc("conn_count"), F.asc("SrcAddr")]
     return top_n_per_group(flat, ["campaign_id"], order, n)
 

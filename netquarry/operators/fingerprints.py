@@ -32,12 +32,34 @@ def _complete(flows: DataFrame) -> DataFrame:
     return out.withColumns(extra) if extra else out
 
 
-def _scalars(rows: DataFrame, iot_ports: Sequence[int], has_dport: bool) -> DataFrame:
+# The source tags of unified flows.
+SOURCE_TAGS = ("CTU-13", "IoT-23")
+
+
+def _two_valued_mode(c: str) -> Column:
+    """Mode of a column with at most two values, the smaller on a tie.
+
+    Unified labels are 0/1 (or all -1 when absent), so the mode follows from
+    sum, count and extremes, and the aggregate stays a plain hash aggregate.
+    """
+    low, high, n = F.min(c), F.max(c), F.count(c)
+    highs = F.try_divide(F.sum(c) - low * n, F.nullif(high - low, F.lit(0)))
+    return F.when(F.coalesce(highs, F.lit(0)) * 2 > n, high).otherwise(low)
+
+
+def _scalars(rows: DataFrame, iot_ports: Sequence[int], has_dport: bool, tags: Sequence[str]) -> DataFrame:
+    """Plain sums, means and counts per key.
+
+    Only fixed-width aggregates are used: a text extreme or a generic mode
+    would turn this into a sort before the shuffle.
+    """
     n = F.count(F.lit(1))
+    source = F.lit("Mixed")
+    for t in tags:
+        source = F.when(F.count_if(F.col("DatasetSource") == t) == n, F.lit(t)).otherwise(source)
     low, high = F.count_if(F.col("Sport") < 1024), F.count_if(F.col("Sport") > 1024)
     mean_src, mean_dst = F.avg("SrcBytes"), F.avg("DstBytes")
     iot = F.avg(F.col("Dport").isin(*iot_ports).cast("int")) if has_dport else F.lit(0.0)
-    one_source = F.min("DatasetSource") == F.max("DatasetSource")
     asymmetry = (
         F.when(mean_dst > 1e-9, mean_src / F.when(mean_dst > 1e-9, mean_dst))
         .when(mean_src > 0, mean_src)
@@ -57,17 +79,18 @@ def _scalars(rows: DataFrame, iot_ports: Sequence[int], has_dport: bool) -> Data
         F.coalesce(F.try_divide(low, F.nullif(low + high, F.lit(0))), F.lit(0.5)).alias("device_role_score"),
         iot.alias("iot_port_affinity"),
         asymmetry.alias("payload_asymmetry"),
-        F.mode("is_malicious", True).alias("label"),
-        F.when(one_source, F.min("DatasetSource")).otherwise(F.lit("Mixed")).alias("dataset_source"),
+        _two_valued_mode("is_malicious").alias("label"),
+        source.alias("dataset_source"),
     )
 
 
 def raw_fingerprints(
-    flows: DataFrame, window: str = DEFAULT.fingerprint_window, iot_ports: Sequence[int] = DEFAULT.iot_ports
+    flows: DataFrame, window: str = DEFAULT.fingerprint_window, iot_ports: Sequence[int] = DEFAULT.iot_ports,
+    tags: Sequence[str] = SOURCE_TAGS,
 ) -> DataFrame:
     """Unrounded fingerprints: three co-partitioned aggregates joined on the key."""
     rows = _complete(flows).withColumn("time_window", window_start("StartTime", window))
-    scalars = _scalars(rows, iot_ports, "Dport" in flows.columns)
+    scalars = _scalars(rows, iot_ports, "Dport" in flows.columns, tags)
     values = value_statistics(rows, KEYS, ["Proto", "DstAddr", "Dport"])
     gaps = gap_statistics(rows, KEYS, slice_width="10 seconds")
     out = scalars.join(values, KEYS).join(gaps, KEYS)
@@ -118,9 +141,10 @@ def fingerprints(
     flows: DataFrame,
     window: str = DEFAULT.fingerprint_window,
     iot_ports: Sequence[int] = DEFAULT.iot_ports,
+    tags: Sequence[str] = SOURCE_TAGS,
 ) -> DataFrame:
     """One row per (SrcAddr, window): 19 features, label and attack type."""
-    typed = with_attack_type(raw_fingerprints(flows, window, iot_ports))
+    typed = with_attack_type(raw_fingerprints(flows, window, iot_ports, tags))
     features = [F.col(c) if c in WHOLE else F.round(F.col(c), 4).alias(c) for c in FEATURES]
     return typed.select("SrcAddr", "time_window", "dataset_source", *features, "label", "attack_type")
 

@@ -181,33 +181,25 @@ def describe(fp: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     below every bracket; only values inside a bracket (a few in ten thousand)
     are then ordered, so no feature is sorted as a whole.
     """
-    vals = {c: F.col(c).cast("double") for c in columns}
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = fp.select(F.inline(cells)).filter(F.col("v").isNotNull())
     slack = 3.0 / _ACCURACY
     probes = [p for q in QUARTILES for p in (q - slack, q + slack)]
-    bounds = fp.agg(F.struct(*[F.percentile_approx(v, probes, _ACCURACY).alias(c) for c, v in vals.items()]).alias("b"))
-    rows = fp.withColumn("_b", bounds.scalar())
-
-    def edge(c: str, at: int) -> Column:
-        return F.col("_b")[c][at]
-
-    aggs = []
-    for c, v in vals.items():
-        below = F.array(*[F.count_if(v < edge(c, 2 * i)) for i in range(len(QUARTILES))])
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("feature"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"), F.max(v).alias("max"), below.alias("below"),
-            ).alias(c)
-        )
-    stats = rows.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in columns])))
-    inside = F.array(
-        *[
-            F.when((v >= edge(c, 2 * i)) & (v <= edge(c, 2 * i + 1)),
-                   F.struct(F.lit(c).alias("feature"), F.lit(i).alias("q"), v.alias("v")))
-            for c, v in vals.items() for i in range(len(QUARTILES))
-        ]
-    )
-    near = rows.select(F.explode(F.array_compact(inside)).alias("e")).select("e.*")
+    edges = long.groupBy("feature").agg(F.percentile_approx("v", probes, _ACCURACY).alias("e"))
+    # One entry per feature: a scalar map instead of a join on very few keys.
+    bounds = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", "e"))).alias("b")).scalar()
+    rows = long.withColumn("_b", bounds).withColumn("_e", F.try_element_at("_b", F.col("feature"))).drop("_b")
+
+    def edge(at: int) -> Column:
+        return F.col("_e")[at]
+
+    stats = rows.groupBy("feature").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+        F.max("v").alias("max"), *[F.count_if(F.col("v") < edge(2 * i)).alias(f"_u{i}") for i in range(len(QUARTILES))],
+    ).withColumn("below", F.array(*[F.col(f"_u{i}") for i in range(len(QUARTILES))]))
+    inside = [F.col("v").between(edge(2 * i), edge(2 * i + 1)) for i in range(len(QUARTILES))]
+    hits = F.array_compact(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(inside)]))
+    near = rows.filter(inside[0] | inside[1] | inside[2]).select("feature", "v", F.explode(hits).alias("q"))
     counts = near.groupBy("feature", "q", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("feature", "q").orderBy("v"))
     placed = counts.withColumn("_last", upto).join(stats.select("feature", "count", "below"), "feature")

@@ -15,6 +15,7 @@ from netquarry.config import DEFAULT, EngineConfig
 from netquarry.functions import rules
 from netquarry.functions.vectors import array_of, euclidean, squared_distance
 from netquarry.operators import kmeans
+from netquarry.operators.sampling import reservoir
 from netquarry.schema import FEATURES
 
 # The values dataset_source can take.
@@ -90,8 +91,8 @@ def silhouettes(
     distance pass serves all labellings.
     """
     spark = points.sparkSession
-    subset = points.orderBy(F.xxhash64(*[F.col(c) for c in order_key], F.lit(seed))).limit(cap)
-    local = subset.select(features, *label_columns).toPandas()
+    wanted = points.select(*dict.fromkeys([features, *label_columns, *order_key]))
+    local = reservoir(wanted, order_key, cap, seed).select(features, *label_columns).toPandas()
     names = list(label_columns)
     schema = "labelling string, total double, n bigint"
     if len(local) == 0:
@@ -134,8 +135,8 @@ def sweep_k(points: DataFrame, order_key: Sequence[str], cfg: EngineConfig = DEF
     n = points.count()
     ks = k_bounds(n, cfg.k_min, cfg.k_max)
     models = kmeans.fit(points, ks, order_key, cfg.n_init, cfg.seed, features=features)
-    labelled = points.orderBy(F.xxhash64(*[F.col(c) for c in order_key], F.lit(cfg.seed))).limit(cfg.silhouette_cap)
-    labelled = labelled.select(features, *order_key, *[kmeans.nearest(m, features).alias(f"k_{k}") for k, m in models.items()])
+    drawn = reservoir(points.select(features, *order_key), order_key, cfg.silhouette_cap, cfg.seed)
+    labelled = drawn.select(features, *order_key, *[kmeans.nearest(m, features).alias(f"k_{k}") for k, m in models.items()])
     scored = silhouettes(labelled, [f"k_{k}" for k in ks], order_key, features, cfg.silhouette_cap, cfg.seed)
     rows = {int(r["labelling"][2:]): float(r["silhouette"]) for r in scored.collect()}
     best = max(sorted(rows), key=lambda k: rows[k]) if rows else min(2, max(1, n // 2))

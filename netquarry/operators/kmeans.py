@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
+from netquarry.operators.sampling import reservoir
 
 # Starting centres are drawn from a seeded subset of at most this many points.
 SEEDING_CAP = 20_000
@@ -93,7 +94,7 @@ def fit(
     """
     vectors = points.select(features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        subset = points.orderBy(F.xxhash64(*[F.col(c) for c in order_key], F.lit(seed)), *order_key).limit(SEEDING_CAP)
+        subset = reservoir(points.select(features, *order_key), order_key, SEEDING_CAP, seed)
         seeds = np.stack(subset.select(features).toPandas()[features].to_numpy()).astype(float)
         dims = seeds.shape[1]
         runs = [(k, i) for k in ks for i in range(n_init)]

@@ -7,8 +7,9 @@ a band, every class meets the band's smallest class only (a star), which links
 a group of copies in rows linear in its size; the collision-corrected estimate
 from the packed bits drops unlikely pairs, and the rest are confirmed on their
 full shingle sets. Bands that still hold several components then compare classes
-of different components, by bit counts inside the join, large bands being split
-into blocks. So no group is gathered, no pair list of a group is emitted, and
+of different components by bit counts and confirm the likely ones; large bands
+are split into blocks that meet pairwise, and only links that join components
+leave a block. So no group is gathered, no pair list of a group is emitted, and
 no candidate is dropped by a cap.
 
 A pair at the threshold of 0.75 shares no band with probability
@@ -35,7 +36,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 LOW_BITS = 2
 MIN_ESTIMATE = 0.5  # five standard errors of the estimate below the threshold
-BLOCK = 2000  # classes of a band that meet in one join key
+BLOCK = 500  # classes of a band in one block; two blocks meet in one group
 _PLANES = ["lo0", "lo1", "hi0", "hi1"]
 
 
@@ -155,43 +156,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = filled.join(classes.select("v", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "v").filter(
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     )
-    # Repeated rows would only repeat band entries; distinct() below folds them.
     chosen = materialize(chosen.select("v", "bands", *_PLANES), "minhash-chosen")
     members = chosen.select("v", F.explode("bands").alias("band"), *_PLANES)
     bands = members.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count(F.lit(1)).alias("size"))
     shared = materialize(
-        members.join(bands.filter("hub <> top"), "band").select("band", "v", "hub", "size", *_PLANES), "minhash-bands"
+        members.join(bands.filter("hub <> top"), "band").select("band", "v", "hub", "top", "size", *_PLANES).distinct(), "minhash-bands"
     )
-    planes = chosen.select("v", *_PLANES).dropDuplicates(["v"])
-    star = shared.filter("v <> hub").select("v", "hub", *_PLANES).distinct()
+    texts = materialize(_with_texts(docs, classes, shared.select("v").distinct()), "minhash-texts")
+    components = materialize(shared.select("v", F.col("v").alias("comp")).distinct(), "minhash-components")
+
+    # Stars: in each band, every class meets the smallest and the largest.
+    star = shared.select("v", F.explode(F.array("hub", "top")).alias("hub"), *_PLANES).filter("v <> hub").distinct()
+    planes = shared.select("v", *_PLANES).distinct()
     likely = star.alias("l").join(planes.alias("r"), F.col("l.hub") == F.col("r.v")).filter(estimate("l", "r") >= MIN_ESTIMATE)
-    pairs = materialize(likely.select(F.col("l.hub").alias("a"), F.col("l.v").alias("b")), "minhash-pairs")
-
-    in_bands = shared.select("v").distinct()
-    texts = materialize(_with_texts(docs, classes, in_bands), "minhash-texts")
-    links = materialize(_confirm(pairs, texts), "minhash-links")
-    components = _components(links)
-
-    placed = shared.join(components.withColumnRenamed("comp", "c"), "v", "left").select("*", F.coalesce("c", "v").alias("comp")).drop("c")
-    mixed_bands = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-    open_rows = materialize(
-        placed.join(mixed_bands, "band")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")),
-        "minhash-open",
-    )
-    columns = ["band", "v", "comp", *_PLANES]
-    left = open_rows.select(*columns, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).filter("i <= j")
-    right = open_rows.select(*columns, F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).filter("i <= j")
-    l, r = left.alias("l"), right.alias("r")
-    met = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    ordered = (F.col("l.i") < F.col("l.j")) | (F.col("l.v") < F.col("r.v"))
-    across = l.join(r, met & ordered & (F.col("l.comp") != F.col("r.comp")) & (estimate("l", "r") >= MIN_ESTIMATE))
-    low, high = F.least(F.col("l.v"), F.col("r.v")), F.greatest(F.col("l.v"), F.col("r.v"))
-    rest = across.select(low.alias("a"), high.alias("b")).distinct()
-    more = materialize(_confirm(rest.join(pairs, ["a", "b"], "left_anti"), texts), "minhash-links")
-    if not more.isEmpty():
-        components = _components(links.unionByName(more))
+    x, y = F.col("l.v"), F.col("l.hub")
+    pairs = likely.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    components = _merged(components, materialize(_confirm(pairs, texts), "minhash-links"))
+
+    # What stars can't tell: bands that hold several components still.
+    placed = shared.select("band", "v", "size").join(components, "v")
+    several = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
+    profiles = chosen.dropDuplicates(["v"]).join(texts, "v")
+    open_rows = placed.join(several, "band").join(profiles, "v")
+    components = _merged(components, materialize(_links_across(open_rows), "minhash-links"))
 
     named = classes.join(components, "v").select("v", "comp", "doc_id")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("first_id"))
@@ -205,9 +192,74 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    return connected_components(materialize(ends, "minhash-ends"), links)
+def _ordered_pairs(joined: DataFrame, x: Column, y: Column) -> DataFrame:
+    return joined.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (v, comp) after further links (a, b); works on the components the links touch."""
+    at = components.select(F.col("v").alias("a"), F.col("comp").alias("p"))
+    to = components.select(F.col("v").alias("b"), F.col("comp").alias("q"))
+    edges = materialize(links.join(at, "a").join(to, "b").filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "minhash-edges")
+    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "minhash-ends")
+    joined = connected_components(ends, edges).select(F.col("v").alias("comp"), F.col("comp").alias("into"))
+    return materialize(components.join(joined, "comp", "left").select("v", F.coalesce("into", "comp").alias("comp")), "minhash-components")
+
+
+def _links_across(open_rows: DataFrame) -> DataFrame:
+    """Links of one band between different components; large bands meet block by block."""
+    blocked = open_rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    met = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    columns = ["band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "comp", "bands", *_PLANES, "text"]
+    return met.select(*columns).groupBy("band", "i", "j").applyInArrow(_band_links, "a bigint, b bigint")
+
+
+def _band_links(rows: pa.Table) -> pa.Table:
+    """Confirmed links that join components within one block pair; at most one per merge."""
+    one = lambda name: rows.column(name).to_numpy()
+    v, comp, block, band = one("v"), one("comp"), one("block"), rows.column("band")[0].as_py()
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)
+    bits = [one(p).view(np.uint64) for p in _PLANES]
+    right = np.flatnonzero(block == rows.column("j")[0].as_py())
+    same_block = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    left = right if same_block else np.flatnonzero(block == rows.column("i")[0].as_py())
+    words, texts, sets, parent = WordHashes(), rows.column("text"), {}, {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_set(words.of(_lowered(texts[k].as_py().encode())))
+        return sets[k]
+
+    links = []
+    for k in left.tolist():
+        to = right[(right > k) & (comp[right] != comp[k])] if same_block else right[comp[right] != comp[k]]
+        unlike = np.zeros(len(to), np.int64)
+        for lo, hi in ((0, 2), (1, 3)):
+            unlike += np.bitwise_count((bits[lo][to] ^ bits[lo][k]) | (bits[hi][to] ^ bits[hi][k]))
+        chance = 1 / (1 << LOW_BITS)
+        guess = ((1 - unlike / HASHES) - chance) / (1 - chance)
+        to, guess = to[guess >= MIN_ESTIMATE], guess[guess >= MIN_ESTIMATE]
+        equal = bands[to] == bands[k]
+        first = bands[k][equal.argmax(axis=1)] == band  # pairs of several bands are looked at in the first
+        for t in to[first][np.argsort(-guess[first], kind="stable")].tolist():
+            p, q = root(int(comp[k])), root(int(comp[t]))
+            if p == q:
+                continue
+            x, y = shingles(k), shingles(t)
+            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                parent[p] = q
+                links.append((int(v[k]), int(v[t])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:

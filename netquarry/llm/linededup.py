@@ -4,9 +4,9 @@ Two lines are the same if their strings are, or, from ten words on, if their
 words differ by one inserted, deleted or replaced word. Equal lines fold first.
 Lines within one edit have one half of their words in common, at the front or
 at the end, so only distinct lines that share such a half with another go on.
-These emit all their variants with one word deleted, and the line itself, as
-hashed keys: a running XOR of (word, position) hashes from either side gives
-every variant in time linear in the line. Variants meet by key, a line is
+These emit all their variants with one word of the other half deleted, and the
+line itself, as hashed keys: running XORs of (word, position) hashes give every
+variant in time linear in the line. Variants meet by key, a line is
 compared with the earliest of its key only, and that pair's words are verified.
 Aggregates combine map-side and no list of pairs is formed, so a template line
 with thousands of fillings costs rows linear in its count.
@@ -21,12 +21,11 @@ from netquarry.functions.storage import materialize
 from netquarry.llm.text import text_key
 
 NEAR_WORDS = 10
-_SPACES = r"[\x20\x09-\x0D]+"
-_PLACE = ["unnamed", "doc_id", "text_key", "line_no"]
+_SPACE_LIKE = "\t\n\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, _SPACE_LIKE, " " * len(_SPACE_LIKE)), " "), "")
 
 
 def _place() -> Column:
@@ -37,85 +36,108 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
 
 
+def _front(c: Column) -> Column:
+    """Words in the front half of a line of class ``c``; the back half has the other c - front."""
+    return F.floor(c / 2).cast("int")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that hold a word, with their place, digest and, for near matches, half keys."""
+    """Lines that hold a word: place, digest (h0, h1), words n and, for near matches, half keys."""
     lines = _rows(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words")).filter("n > 0")
 
     def halves(c: Column) -> list[Column]:
-        front = F.floor(c / 2).cast("int")
+        back = c - _front(c)
         return [
-            F.xxhash64(F.lit(0), c, F.slice("words", F.lit(1), front)),
-            F.xxhash64(F.lit(1), c, F.slice("words", F.col("n") - (c - front) + 1, c - front)),
+            F.xxhash64(F.lit(0), c, F.slice("words", F.lit(1), _front(c))),
+            F.xxhash64(F.lit(1), c, F.slice("words", F.col("n") - back + 1, back)),
         ]
 
     # As the shorter line of a pair (or of equal length) the class is n, as the longer n - 1.
     keys = F.when(F.col("n") >= NEAR_WORDS, F.array(*halves(F.col("n")), *halves(F.col("n") - 1)))
-    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1"),
+    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1"), "n",
                         keys.alias("halves"))
 
 
 def _near_candidates(distinct: DataFrame) -> DataFrame:
-    """Places of distinct lines that share a half with another distinct line."""
-    halves = distinct.filter("halves IS NOT NULL").select("h0", "h1", "place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg((F.min(F.struct("h0", "h1")) != F.max(F.struct("h0", "h1"))).alias("shared"))
-    return halves.join(shared.filter("shared"), "half").select("place").distinct()
+    """Distinct lines that share a half with another: h0, and per kind of edit where it may be.
+
+    ``replace``, ``longer`` and ``shorter`` are sets over {0, 1}: 0 where the front
+    half is shared, so that the edit is behind it, 1 where the back half is.
+    """
+    halves = distinct.filter("halves IS NOT NULL").select("h0", F.posexplode("halves").alias("role", "half"))
+    own = F.when(F.col("role") < 2, F.col("h0"))
+    groups = halves.groupBy("half").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max(F.when(F.col("role") >= 2, 1)).alias("longer"))
+    groups = groups.filter("low <> high OR (low IS NOT NULL AND longer = 1)")
+    side = F.col("role") % 2
+
+    def sides(wanted: Column) -> Column:
+        return F.collect_set(F.when(wanted, side))
+
+    return halves.join(groups, "half").groupBy("h0").agg(
+        sides((F.col("role") < 2) & (F.col("low") != F.col("high"))).alias("replace"),
+        sides((F.col("role") >= 2) & F.col("low").isNotNull()).alias("longer"),
+        sides((F.col("role") < 2) & (F.col("longer") == 1)).alias("shorter"),
+    )
 
 
-def _near_later(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Places of candidate lines within one word of an earlier one."""
-    wanted = candidates.select("place.*").groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("wanted"))
+def _near_later(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Distinct lines (h0, h1) within one word of an earlier one."""
+    candidates = materialize(_near_candidates(distinct).join(distinct.select("h0", "h1", "place"), "h0"), "line-near")
+    wanted = candidates.select("place.*").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     rows = _rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    texts = rows.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("line_no"))
+    texts = texts.select(_place(), _words(F.col("lines")[F.col("line_no")]).alias("words"))
     # Repeated rows yield the same line again; one of them is enough.
-    lines = rows.select("doc_id", "text_key", F.split("text", "\n", -1).alias("lines"), F.explode(F.array_distinct("wanted")).alias("line_no"))
-    lines = materialize(
-        lines.select(_place(), _words(F.col("lines")[F.col("line_no")]).alias("words")).dropDuplicates(["place"]), "line-candidates"
-    )
+    lines = materialize(candidates.join(texts, "place").dropDuplicates(["h0", "h1"]), "line-candidates")
 
-    word = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    word = lines.select("h0", "h1", F.size("words").alias("n"), "replace", "longer", "shorter", F.posexplode("words").alias("i", "word"))
     here, moved = F.xxhash64("i", "word"), F.xxhash64(F.col("i") - 1, F.col("word"))
-    whole = Window.partitionBy("place")
-    before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    after = whole.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    variant = F.coalesce(F.bit_xor(here).over(before), zero).bitwiseXOR(F.coalesce(F.bit_xor(moved).over(after), zero))
-    cut = word.select("place", "n", "i", variant.alias("left"))
-    full = word.groupBy("place", "n").agg(F.bit_xor(here).alias("left"))
+    upto = Window.partitionBy("h0", "h1").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("h0", "h1").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.bit_xor(here).over(upto).bitwiseXOR(here).bitwiseXOR(F.bit_xor(moved).over(upto)).bitwiseXOR(F.bit_xor(moved).over(every))
+    cut = word.select("*", left.alias("left"), F.bit_xor(here).over(every).alias("full"))
+
+    def may_be(sides: str, c: Column) -> Column:
+        behind = F.array_contains(sides, 0) & (F.col("i") >= _front(c))
+        return behind | (F.array_contains(sides, 1) & (F.col("i") <= F.col("n") - (c - _front(c))))
+
     # Replaced word: equal variants at one position. Inserted word: a variant equals a whole line one word shorter.
-    keys = (
-        cut.select("place", "i", F.xxhash64(F.lit(0), "n", "i", "left").alias("key"), F.lit(0).alias("kind"))
-        .unionByName(cut.select("place", "i", F.xxhash64(F.lit(1), F.col("n") - 1, F.lit(-1), "left").alias("key"), F.lit(1).alias("kind")))
-        .unionByName(full.select("place", F.lit(-1).alias("i"), F.xxhash64(F.lit(1), "n", F.lit(-1), "left").alias("key"), F.lit(2).alias("kind")))
-    )
+    replaced = F.when(may_be("replace", F.col("n")), F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit(0), "n", "i", "left").alias("key"), "i"))
+    inserted = F.when(may_be("longer", F.col("n") - 1),
+                      F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.col("n") - 1, "left").alias("key"), "i"))
+    whole = F.when((F.col("i") == 0) & (F.size("shorter") > 0),
+                   F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(1), "n", "full").alias("key"), F.lit(-1).alias("i")))
+    keys = cut.select("h0", "h1", F.explode(F.array_compact(F.array(replaced, inserted, whole))).alias("v")).select("h0", "h1", "v.*")
     keys = materialize(keys, "line-variants")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    met = keys.join(several, "key").join(lines.select("h0", "h1", "place"), ["h0", "h1"])
+    met = materialize(met, "line-met")
 
     def earliest(kind: int) -> Column:
-        at = F.when(F.col("kind") == kind, F.struct("place", "i"))
-        return F.min(at).alias(f"e{kind}")
+        return F.min(F.when(F.col("kind") == kind, F.struct("place", "i", "h0", "h1"))).alias(f"e{kind}")
 
-    firsts = keys.groupBy("key").agg(*map(earliest, (0, 1, 2)), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    met = keys.join(firsts, "key")
+    firsts = met.groupBy("key").agg(*map(earliest, (0, 1, 2)))
     rival = F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1"))
     pairs = (
-        met.select("place", "i", rival.alias("rival")).filter(F.col("rival.place") < F.col("place"))
-        .select("place", F.greatest("i", "rival.i").alias("i"), (F.col("i") == F.col("rival.i")).alias("replaced"), F.col("rival.place").alias("earlier"))
+        met.join(firsts, "key").select("h0", "h1", "place", "i", "kind", rival.alias("rival")).filter(F.col("rival.place") < F.col("place"))
+        .select("h0", "h1", F.greatest("i", "rival.i").alias("i"), (F.col("kind") == 0).alias("replaced"),
+                F.col("rival.h0").alias("g0"), F.col("rival.h1").alias("g1"))
         .distinct()
     )
-    mine = lines.select("place", F.col("words").alias("a"))
-    theirs = lines.select(F.col("place").alias("earlier"), F.col("words").alias("b"))
+    mine = lines.select("h0", "h1", F.col("words").alias("a"))
+    theirs = lines.select(F.col("h0").alias("g0"), F.col("h1").alias("g1"), F.col("words").alias("b"))
 
     def cut_at(words: str) -> Column:
         w = F.col(words)
         return F.concat(F.slice(w, F.lit(1), F.col("i")), F.slice(w, F.col("i") + 2, F.size(w)))
 
-    a, b = F.col("a"), F.col("b")
-    longer = F.size("a") > F.size("b")
     same = (
-        F.when(F.col("replaced"), (F.size(a) == F.size(b)) & (cut_at("a") == cut_at("b")))
-        .when(longer, cut_at("a") == b).otherwise(a == cut_at("b"))
+        F.when(F.col("replaced"), (F.size("a") == F.size("b")) & (cut_at("a") == cut_at("b")))
+        .when(F.size("a") > F.size("b"), cut_at("a") == F.col("b")).otherwise(F.col("a") == cut_at("b"))
     )
-    return pairs.join(mine, "place").join(theirs, "earlier").filter(same).select("place").distinct()
+    return pairs.join(mine, ["h0", "h1"]).join(theirs, ["g0", "g1"]).filter(same).select("h0", "h1").distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -135,14 +157,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         lines.groupBy("h0", "h1").agg(F.min(_place()).alias("place"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")),
         "line-distinct",
     )
-    repeated = distinct.filter("copies > 1").select("h0", "h1", F.col("place").alias("first"))
-    exact = lines.select("h0", "h1", _place()).join(repeated, ["h0", "h1"]).filter(F.col("place") != F.col("first"))
-    near = materialize(_near_later(docs, materialize(_near_candidates(distinct), "line-near")), "line-later")
+    near = _near_later(docs, distinct).withColumn("near", F.lit(True))
     # A distinct line that is near an earlier one goes wherever it stands.
-    spread = distinct.join(near, "place").select("h0", "h1")
-    everywhere = lines.select("h0", "h1", _place()).join(spread, ["h0", "h1"])
-    gone = exact.select("place").unionByName(everywhere.select("place")).distinct()
-    return gone.select("place.doc_id", "place.text_key", "place.line_no")
+    verdict = distinct.select("h0", "h1", F.col("place").alias("first"), "copies").join(near, ["h0", "h1"], "left")
+    verdict = verdict.filter("copies > 1 OR near").select("h0", "h1", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("h0", "h1", _place()).join(verdict, ["h0", "h1"]).filter(F.col("near") | (F.col("place") != F.col("first")))
+    return gone.select("place.doc_id", "place.text_key", "place.line_no").distinct()
 
 
 def _per_document(docs: DataFrame) -> DataFrame:

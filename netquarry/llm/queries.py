@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import linededup, minhash, packing, substrings
+from netquarry.llm import decontaminate, linededup, minhash, packing, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("common", 4).alias("common"), F.round("answer", 4).alias("answer"),
+                        F.round("cosine", 4).alias("cosine"), "passage_start")
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))

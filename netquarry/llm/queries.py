@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, linededup, minhash, packing, pii, quality, substrings
+from netquarry.llm import decontaminate, htmlblocks, linededup, minhash, packing, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))

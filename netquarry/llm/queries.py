@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, htmlblocks, linededup, minhash, packing, pii, quality, substrings
+from netquarry.llm import decontaminate, htmlblocks, licenses, linededup, minhash, packing, pii, quality, rollups, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,11 +57,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op6_token_counts", rollups.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.document_totals(table(spark, sf_dir, "documents"))
+
+
 @query("op7_line_dedup", linededup.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_license_scan", licenses.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")

@@ -25,10 +25,8 @@ class EngineConfig:
     min_cluster_size: int = 5
     min_samples: int = 3
     iot_ports: tuple[int, ...] = (23, 2323, 7547, 8080, 8443, 5555, 48101, 37215)
-    enrich_per_campaign: int = 25
+    enrich_per_campaign: int | None = None  # None: every address of a campaign
     silhouette_cap: int = 20_000
-    betweenness_exact_cap: int = 5_000
-    betweenness_pivots: int = 500
     graph_display_cap: int = 3_000
     replay_steps: int = 1_500
     sample_rows: int = 50_000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netquarry.functions import network as N
-from netquarry.schema import OTHER_PROTOCOL_CODE, PROTOCOL_CODES
+from netquarry.schema import OTHER_PROTOCOL_CODE, PROTOCOL_CODES, UNIFIED_TYPES
 
 def parse_time(value: Column, day_first: bool = False) -> Column:
     """Text to a zone-free timestamp; unreadable text becomes null.
@@ -49,12 +49,37 @@ def with_total_bytes(df: DataFrame) -> DataFrame:
 
 
 def label_flag(df: DataFrame) -> Column:
-    """0/1 label of one source: numeric labels as they are, text by keyword."""
+    """Numeric label of one source: numbers, also as text, as they are; other text by keyword."""
     if "Label" not in df.columns:
         return F.lit(0)
     if isinstance(df.schema["Label"].dataType, T.NumericType):
         return F.coalesce(F.col("Label"), F.lit(0)).cast("int")
-    return N.malicious_text("Label")
+    return F.coalesce(F.trim("Label").try_cast("double").try_cast("int"), N.malicious_text("Label"))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Flows of one source in the types every source shares.
+
+    Times become zone-free timestamps, ports and counts numbers (0 where they
+    can't be read), and the label a number by this source's rule, its text kept
+    in Label_raw. Other columns stay as they are.
+    """
+    columns: dict[str, Column] = {}
+    for name, kind in UNIFIED_TYPES.items():
+        if name not in df.columns or name == "Label":
+            continue
+        if name == "StartTime":
+            text = isinstance(df.schema[name].dataType, T.StringType)
+            columns[name] = parse_time(F.col(name)) if text else F.col(name).cast(kind)
+        else:
+            columns[name] = F.col(name).cast("string") if kind == "string" else number(df, name, kind)
+    if "TotBytes" in df.columns:
+        columns["TotBytes"] = number(df, "TotBytes", "bigint")
+    if "Label" in df.columns:
+        if isinstance(df.schema["Label"].dataType, T.StringType):
+            columns["Label_raw"] = F.col("Label")
+        columns["Label"] = label_flag(df)
+    return df.withColumns(columns)
 
 
 def clean(df: DataFrame, deduplicate: bool = True) -> DataFrame:

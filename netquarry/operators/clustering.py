@@ -18,12 +18,14 @@ from netquarry.operators import kmeans
 from netquarry.operators.sampling import reservoir
 from netquarry.schema import FEATURES
 
-# The values dataset_source can take.
-SOURCES = ("CTU-13", "IoT-23", "Mixed")
+def design_matrix(fp: DataFrame, sources: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Fingerprints with one 0/1 column per data source, and the matrix columns.
 
-
-def design_matrix(fp: DataFrame, sources: Sequence[str] = SOURCES) -> tuple[DataFrame, list[str]]:
-    """Fingerprints with one 0/1 column per data source, and the matrix columns."""
+    Without ``sources`` those that occur are taken; they become columns, so there
+    are few of them.
+    """
+    if sources is None:
+        sources = sorted(r[0] for r in fp.select("dataset_source").filter("dataset_source IS NOT NULL").distinct().collect())
     dummies = {f"ds_{s}": (F.col("dataset_source") == s).cast("int") for s in sources}
     names = [c for c in FEATURES if c in fp.columns] + list(dummies)
     return fp.withColumns(dummies), names
@@ -271,7 +273,7 @@ def cluster_summary(camps: DataFrame) -> DataFrame:
         n.alias("fingerprint_count"),
         F.round(iot * 100 / n, 2).alias("iot_pct"),
         F.round(ctu * 100 / n, 2).alias("ctu_pct"),
-        (((iot > 0) & (ctu > 0)) | (mixed > 0)).alias("cross_dataset"),
+        ((F.min(source) != F.max(source)) | (mixed > 0)).alias("cross_dataset"),
         F.round(mean("device_role_score"), 4).alias("mean_device_role_score"),
         F.round(mean("c2_beacon_score"), 4).alias("mean_c2_beacon_score"),
         F.round(mean("horizontal_scan_flag") * 100, 2).alias("pct_horizontal_scan"),

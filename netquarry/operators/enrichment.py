@@ -14,7 +14,7 @@ COUNTS = ("vt_malicious", "vt_suspicious", "abuse_score")
 TEXTS = ("asn", "country", "shodan_ports", "shodan_tags")
 
 
-def prioritise_addresses(camps: DataFrame, n: int = DEFAULT.enrich_per_campaign) -> DataFrame:
+def prioritise_addresses(camps: DataFrame, n: int) -> DataFrame:
     """First n addresses per campaign: hostile label first, then busiest.
 
     An address ranks by its busiest window among those with its highest label
@@ -53,17 +53,18 @@ def with_technique(rows: DataFrame) -> DataFrame:
 
 def enrich(
     camps: DataFrame, summary: DataFrame, intel: DataFrame,
-    n: int = DEFAULT.enrich_per_campaign, missing: str = "neutral",
+    n: int | None = None, missing: str = "neutral",
 ) -> DataFrame:
-    """One row per (campaign, prioritised address) with level and technique."""
-    chosen = prioritise_addresses(camps, n).select("campaign_id", F.col("SrcAddr").alias("ip"))
+    """One row per (campaign, address) with level and technique; with ``n`` only the first addresses of each."""
+    chosen = camps.select("campaign_id", "SrcAddr").distinct() if n is None else prioritise_addresses(camps, n)
+    chosen = chosen.select("campaign_id", F.col("SrcAddr").alias("ip"))
     typed = chosen.join(summary.select("campaign_id", "campaign_type"), "campaign_id").select(
         "campaign_id", "campaign_type", "ip"
     )
     return with_technique(with_threat_level(join_intel(typed, intel, missing)))
 
 
-def indicator_matches(camps: DataFrame, indicators: DataFrame, first: int | None = 25) -> DataFrame:
+def indicator_matches(camps: DataFrame, indicators: DataFrame, first: int | None = None) -> DataFrame:
     """Indicator rows for source addresses, optionally the first n addresses."""
     ips = camps.select(F.col("SrcAddr").alias("ip")).distinct()
     if first is not None:

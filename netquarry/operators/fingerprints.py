@@ -32,65 +32,66 @@ def _complete(flows: DataFrame) -> DataFrame:
     return out.withColumns(extra) if extra else out
 
 
-# The source tags of unified flows.
-SOURCE_TAGS = ("CTU-13", "IoT-23")
+def _scalars(rows: DataFrame, iot_ports: Sequence[int], has_dport: bool) -> DataFrame:
+    """Plain sums, means and counts per key, the most common label and the source.
 
-
-def _two_valued_mode(c: str) -> Column:
-    """Mode of a column with at most two values, the smaller on a tie.
-
-    Unified labels are 0/1 (or all -1 when absent), so the mode follows from
-    sum, count and extremes, and the aggregate stays a plain hash aggregate.
+    Flows fold first into one row per key, label and source, with fixed-width
+    sums only, so the large aggregate is a hash aggregate. The few folded rows of
+    a key then give its label (smallest on a tie) and its source, which is 'Mixed'
+    where several occur.
     """
-    low, high, n = F.min(c), F.max(c), F.count(c)
-    highs = F.try_divide(F.sum(c) - low * n, F.nullif(high - low, F.lit(0)))
-    return F.when(F.coalesce(highs, F.lit(0)) * 2 > n, high).otherwise(low)
+    def sums(name: str, value: Column) -> list[Column]:
+        return [F.sum(value).alias(f"_sum_{name}"), F.count(value).alias(f"_n_{name}")]
+
+    iot = F.col("Dport").isin(*iot_ports).cast("int") if has_dport else F.lit(0)
+    means = {
+        "dur": F.col("Dur"), "total": F.col("TotBytes"), "pkts": F.col("TotPkts"), "src": F.col("SrcBytes"), "dst": F.col("DstBytes"),
+        "night": (F.hour("StartTime") < 6).cast("int"), "iot": iot,
+    }
+    folded = rows.groupBy(*KEYS, F.col("is_malicious").alias("_label"), F.col("DatasetSource").alias("_source")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[c for name, value in means.items() for c in sums(name, value)],
+        F.count_if(F.col("Sport") < 1024).alias("_low"),
+        F.count_if(F.col("Sport") > 1024).alias("_high"),
+    )
 
+    def total(name: str) -> Column:
+        return F.sum(f"_sum_{name}")
 
-def _scalars(rows: DataFrame, iot_ports: Sequence[int], has_dport: bool, tags: Sequence[str]) -> DataFrame:
-    """Plain sums, means and counts per key.
+    def mean(name: str) -> Column:
+        return F.try_divide(total(name).cast("double"), F.nullif(F.sum(f"_n_{name}"), F.lit(0)))
 
-    Only fixed-width aggregates are used: a text extreme or a generic mode
-    would turn this into a sort before the shuffle.
-    """
-    n = F.count(F.lit(1))
-    source = F.lit("Mixed")
-    for t in tags:
-        source = F.when(F.count_if(F.col("DatasetSource") == t) == n, F.lit(t)).otherwise(source)
-    low, high = F.count_if(F.col("Sport") < 1024), F.count_if(F.col("Sport") > 1024)
-    mean_src, mean_dst = F.avg("SrcBytes"), F.avg("DstBytes")
-    iot = F.avg(F.col("Dport").isin(*iot_ports).cast("int")) if has_dport else F.lit(0.0)
+    low, high = F.sum("_low"), F.sum("_high")
     asymmetry = (
-        F.when(mean_dst > 1e-9, mean_src / F.when(mean_dst > 1e-9, mean_dst))
-        .when(mean_src > 0, mean_src)
+        F.when(mean("dst") > 1e-9, mean("src") / F.when(mean("dst") > 1e-9, mean("dst")))
+        .when(mean("src") > 0, mean("src"))
         .otherwise(F.lit(1.0))
     )
-    return rows.groupBy(*KEYS).agg(
-        n.alias("conn_count"),
-        F.avg("Dur").alias("avg_duration"),
-        F.avg("TotBytes").alias("avg_bytes"),
-        F.coalesce(F.try_divide(F.avg("TotBytes"), F.nullif(F.avg("TotPkts"), F.lit(0.0))), F.lit(0.0)).alias(
-            "bytes_per_packet"
-        ),
-        F.avg((F.hour("StartTime") < 6).cast("int")).alias("night_ratio"),
-        F.coalesce(
-            F.try_divide(F.sum("SrcBytes"), F.when(F.sum("TotBytes") > 0, F.sum("TotBytes"))), F.lit(0.0)
-        ).alias("src_bytes_ratio"),
+    # Sources of one label count together before the most common label is taken.
+    per_label = folded.groupBy(*KEYS, "_label").agg(F.sum("_n").alias("_n")).groupBy(*KEYS).agg(
+        F.min_by("_label", F.struct(-F.col("_n"), F.col("_label"))).alias("label")
+    )
+    scalars = folded.groupBy(*KEYS).agg(
+        F.sum("_n").alias("conn_count"),
+        mean("dur").alias("avg_duration"),
+        mean("total").alias("avg_bytes"),
+        F.coalesce(F.try_divide(mean("total"), F.nullif(mean("pkts"), F.lit(0.0))), F.lit(0.0)).alias("bytes_per_packet"),
+        mean("night").alias("night_ratio"),
+        F.coalesce(F.try_divide(total("src"), F.when(total("total") > 0, total("total"))), F.lit(0.0)).alias("src_bytes_ratio"),
         F.coalesce(F.try_divide(low, F.nullif(low + high, F.lit(0))), F.lit(0.5)).alias("device_role_score"),
-        iot.alias("iot_port_affinity"),
+        mean("iot").alias("iot_port_affinity"),
         asymmetry.alias("payload_asymmetry"),
-        _two_valued_mode("is_malicious").alias("label"),
-        source.alias("dataset_source"),
+        F.when(F.min("_source") == F.max("_source"), F.min("_source")).otherwise(F.lit("Mixed")).alias("dataset_source"),
     )
+    return scalars.join(per_label, list(KEYS))
 
 
 def raw_fingerprints(
     flows: DataFrame, window: str = DEFAULT.fingerprint_window, iot_ports: Sequence[int] = DEFAULT.iot_ports,
-    tags: Sequence[str] = SOURCE_TAGS,
 ) -> DataFrame:
     """Unrounded fingerprints: three co-partitioned aggregates joined on the key."""
     rows = _complete(flows).withColumn("time_window", window_start("StartTime", window))
-    scalars = _scalars(rows, iot_ports, "Dport" in flows.columns, tags)
+    scalars = _scalars(rows, iot_ports, "Dport" in flows.columns)
     values = value_statistics(rows, KEYS, ["Proto", "DstAddr", "Dport"])
     gaps = gap_statistics(rows, KEYS, slice_width="10 seconds")
     out = scalars.join(values, KEYS).join(gaps, KEYS)
@@ -141,10 +142,9 @@ def fingerprints(
     flows: DataFrame,
     window: str = DEFAULT.fingerprint_window,
     iot_ports: Sequence[int] = DEFAULT.iot_ports,
-    tags: Sequence[str] = SOURCE_TAGS,
 ) -> DataFrame:
     """One row per (SrcAddr, window): 19 features, label and attack type."""
-    typed = with_attack_type(raw_fingerprints(flows, window, iot_ports, tags))
+    typed = with_attack_type(raw_fingerprints(flows, window, iot_ports))
     features = [F.col(c) if c in WHOLE else F.round(F.col(c), 4).alias(c) for c in FEATURES]
     return typed.select("SrcAddr", "time_window", "dataset_source", *features, "label", "attack_type")
 

@@ -94,64 +94,89 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(*nodes.columns, F.round(score, 6).alias("degree_centrality"))
 
 
-def betweenness_centrality(
-    nodes: DataFrame, edges: DataFrame, directed: bool = True, exact_cap: int = DEFAULT.betweenness_exact_cap,
-    pivots: int = DEFAULT.betweenness_pivots, seed: int = DEFAULT.seed,
-) -> DataFrame:
-    """Normalised shortest-path betweenness (id, betweenness_centrality).
-
-    Exact up to ``exact_cap`` nodes, else from seeded pivot sources. All sources
-    advance together: one frontier join per path length going out, one per
-    length coming back. Each level is written to the shared folder, so lineage
-    stays short and a lost executor costs one level.
+def _classes(links: DataFrame) -> DataFrame:
+    """(id, cls): nodes with equal neighbour sets, in both directions, share a class.
+
+    Sets compare by their size and two XORs of independent hashes, so they are
+    never gathered.
     """
+    def side(own: str, other: str, name: str) -> DataFrame:
+        return links.groupBy(F.col(own).alias("id")).agg(
+            F.struct(F.bit_xor(F.xxhash64(other)).alias("x"), F.bit_xor(F.xxhash64(other, F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")).alias(name)
+        )
+
+    both = side("src", "dst", "out").join(side("dst", "src", "back"), "id", "full")
+    # A missing side is told apart by its flag: hashes pass over nulls.
+    parts = [F.col("out").isNull(), F.col("out"), F.col("back").isNull(), F.col("back")]
+    return both.select("id", F.concat_ws("_", F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)).alias("cls"))
+
+
+def betweenness_centrality(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
+    """Normalised shortest-path betweenness (id, betweenness_centrality), exact.
+
+    Nodes with equal neighbour sets lie on equally many shortest paths, so they
+    fold into weighted classes and the search runs on the graph of classes, which
+    for addresses around campaigns is small however many addresses there are. All
+    source classes advance together: one frontier join per path length going out,
+    one per length coming back, each level written to the shared folder. In a
+    source's own class the source (at_source) is kept apart from its peers.
+    """
+    zero = F.lit(0.0).alias("betweenness_centrality")
     n = nodes.count()
-    if n <= 2:
-        return nodes.select("id", F.lit(0.0).alias("betweenness_centrality"))
     links = edges.select("src", "dst").filter("src <> dst")
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = materialize(links.distinct(), "links")
-    k = n if n <= exact_cap else min(pivots, n)
-    ids = nodes.select("id").distinct()
-    sources = ids if k == n else ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    if n <= 2 or links.isEmpty():
+        return nodes.select("id", zero)
+    classes = materialize(_classes(links), "classes")
+    sizes = materialize(classes.groupBy("cls").agg(F.count(F.lit(1)).cast("double").alias("m")), "class-sizes")
+    arcs = (
+        links.join(classes.select(F.col("id").alias("src"), F.col("cls").alias("c")), "src")
+        .join(classes.select(F.col("id").alias("dst"), F.col("cls").alias("d")), "dst").select("c", "d").distinct()
+    )
+    arcs = materialize(arcs.join(sizes.select(F.col("cls").alias("d"), F.col("m").alias("md")), "d"), "class-arcs")
+    # m: how many nodes the row stands for, seen from one source.
     level = materialize(
-        sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")), "level"
+        sizes.select(F.col("cls").alias("s"), F.col("cls").alias("v"), F.lit(True).alias("at_source"), F.lit(1.0).alias("m"), F.lit(1.0).alias("sigma")),
+        "level",
     )
-    levels, seen = [level], level.select("s", "v")
+    levels, seen = [level], None
     while True:
         step = (
-            levels[-1].join(links, F.col("v") == F.col("src"))
-            .groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-            .join(seen, ["s", "v"], "left_anti")
+            levels[-1].join(arcs, F.col("v") == F.col("c"))
+            .groupBy("s", F.col("d").alias("v")).agg(F.sum(F.col("m") * F.col("sigma")).alias("sigma"), F.max("md").alias("md"))
+            .withColumn("m", F.when(F.col("s") == F.col("v"), F.col("md") - 1).otherwise(F.col("md"))).filter("m > 0")
         )
-        step = materialize(step, "level")
+        if seen is not None:
+            step = step.join(seen, ["s", "v"], "left_anti")
+        step = materialize(step.select("s", "v", F.lit(False).alias("at_source"), "m", "sigma"), "level")
         if step.isEmpty():
             break
         levels.append(step)
-        seen = seen.unionByName(step.select("s", "v"))
+        seen = step.select("s", "v") if seen is None else seen.unionByName(step.select("s", "v"))
     delta = levels[-1].withColumn("delta", F.lit(0.0))
     total = None
     for d in range(len(levels) - 1, 0, -1):
-        part = delta.select(F.col("v").alias("id"), "delta")
+        part = delta.select("s", "v", "delta")
         total = part if total is None else total.unionByName(part)
-        below = delta.select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"), F.col("delta").alias("dw"))
+        if d == 1:
+            break
+        above = delta.select("s", F.col("v").alias("d"), (F.col("m") * (1 + F.col("delta")) / F.col("sigma")).alias("share"))
         gained = (
-            levels[d - 1].join(links, F.col("v") == F.col("src"))
-            .join(below.withColumnRenamed("w", "dst"), ["s", "dst"])
-            .groupBy("s", "v")
-            .agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta"))
+            levels[d - 1].join(arcs, F.col("v") == F.col("c")).join(above, ["s", "d"])
+            .groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))
         )
-        delta = levels[d - 1].join(gained, ["s", "v"], "left").select(
-            "s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")
+        delta = materialize(
+            levels[d - 1].join(gained, ["s", "v"], "left").select("s", "v", "m", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta"
         )
-        if d > 1:
-            delta = materialize(delta, "delta")
-    scale = 1.0 / ((n - 1) * (n - 2)) * (n / k)
     if total is None:
-        return nodes.select("id", F.lit(0.0).alias("betweenness_centrality"))
-    sums = total.groupBy("id").agg(F.sum("delta").alias("b"))
-    return nodes.select("id").join(sums, "id", "left").select(
+        return nodes.select("id", zero)
+    sources = sizes.select(F.col("cls").alias("s"), F.col("m").alias("ms"))
+    times = F.when(F.col("s") == F.col("v"), F.col("ms") - 1).otherwise(F.col("ms"))
+    sums = total.join(sources, "s").groupBy(F.col("v").alias("cls")).agg(F.sum(times * F.col("delta")).alias("b"))
+    scale = 1.0 / ((n - 1) * (n - 2))
+    return nodes.select("id").join(classes.join(sums, "cls").select("id", "b"), "id", "left").select(
         "id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness_centrality")
     )
 

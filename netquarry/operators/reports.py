@@ -43,7 +43,7 @@ def campaign_table(camps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def low_confidence(table: DataFrame, below: float = 60) -> DataFrame:
-    return table.filter(F.col("confidence_pct") < below).withColumn("risk_badge", F.lit("LOW CONF"))
+    return table.filter(F.col("confidence_pct") < below).withColumn("low_confidence", F.lit(True))
 
 
 def factor_matrix(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def node_details(enriched: DataFrame, matches: DataFrame, node: str | None = Non
     lines = matches_per_address(matches if node is None else matches.filter(F.col("ip") == node))
     return rows.join(lines, "ip", "left").select(
         "ip", "campaign_id", "campaign_type", "threat_level", "vt_malicious", "abuse_score", "asn", "country",
-        F.coalesce("matches", F.lit("(no MISP matches)")).alias("matches"), beacon_strength(score).alias("beacon"),
+        F.col("matches"), beacon_strength(score).alias("beacon"),
     )
 
 

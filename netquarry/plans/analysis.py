@@ -91,9 +91,7 @@ def analyse(
     listed = graph.with_families(enriched, entries)
     nodes = materialize(graph.build_nodes(members, listed), "nodes")
     edges = materialize(graph.build_edges(members, listed), "edges")
-    between = graph.betweenness_centrality(
-        nodes, edges, exact_cap=cfg.betweenness_exact_cap, pivots=cfg.betweenness_pivots, seed=cfg.seed
-    )
+    between = graph.betweenness_centrality(nodes, edges)
     return Analysis(
         flows=flows, campaigns=camps, hourly=hourly, drift=series, documents=documents,
         nodes=graph.degree_centrality(nodes, edges).join(between, "id"), edges=edges, k_curve=curve, summary=summary,

@@ -239,9 +239,9 @@ FROM (SELECT c.*, (CASE WHEN coalesce(i.vt_malicious, 0) > 3 THEN 2 ELSE 0 END)
         + (CASE WHEN coalesce(i.vt_suspicious, 0) > 0 THEN 1 ELSE 0 END)
         + (CASE WHEN coalesce(i.abuse_score, 0) > 50 THEN 2 ELSE 0 END)
         + (CASE WHEN coalesce(i.abuse_score, 0) > 20 THEN 1 ELSE 0 END) AS p
-      FROM chosen c LEFT JOIN intel i ON c.SrcAddr = i.ip) c
+      FROM (SELECT DISTINCT campaign_id, SrcAddr FROM camp) c LEFT JOIN intel i ON c.SrcAddr = i.ip) c
 LEFT JOIN intel i ON c.SrcAddr = i.ip JOIN summary s USING (campaign_id) JOIN technique t USING (campaign_type)""",
-    "chosen", "intel", "summary", "technique",
+    "camp", "intel", "summary", "technique",
 )
 
 _LEN = "sqrt(" + " + ".join(f"coalesce({c}, 0) ** 2" for c in FEATURE_SQL) + ")"

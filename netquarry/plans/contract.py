@@ -157,21 +157,57 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean(readers.read_flows(spark, path, "generic"), deduplicate=False).select(*UNIFIED.split(", "))
 
 
+def _mixed_inputs(spark: SparkSession, sf: str) -> list[str]:
+    """Four files, one per format, from rows dealt by packet count; with bad cells, bad times, empty keys and repeats."""
+    rows = fixture.raw_flows(spark, sf).withColumn("f", F.expr("CAST(TotPkts % 4 AS INT)"))
+    paths = [fresh_path(spark, name) + end for name, end in (("mixed", ".binetflow"), ("mixed-conn.log.labeled", ""), ("mixed-cic", ""), ("mixed-own", ""))]
+    rows.filter("f = 0").selectExpr(
+        "date_format(StartTime, 'yyyy/MM/dd HH:mm:ss.SSSSSS') AS StartTime", "Dur", "Proto", "SrcAddr", "Sport", "'->' AS Dir", "DstAddr",
+        "IF(Sport = 53, '0x0303', CAST(Dport AS STRING)) AS Dport", "State", "0 AS sTos", "0 AS dTos", "TotPkts",
+        "SrcBytes + DstBytes AS TotBytes", "SrcBytes", "Label",
+    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[0])
+    lines = rows.filter("f = 1").selectExpr(
+        "concat_ws('\t', format_string('%d.%06d', timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', StartTime) div 1000000,"
+        " timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', StartTime) % 1000000), SrcAddr, Sport, DstAddr, Dport, Proto, Dur, SrcBytes,"
+        " DstBytes, TotPkts, IF(SubLabel <> '', 'Malicious', 'Benign'), SubLabel) AS value"
+    )
+    fields = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "label", "detailed-label"]
+    head = spark.range(1).select(F.lit("\t".join(["#fields", *fields])).alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(paths[1])  # a log is one file with its header
+    rows.filter("f = 2").selectExpr(
+        "date_format(StartTime, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS `Timestamp`", "SrcAddr AS `Source IP`", "Sport AS `Source Port`",
+        "DstAddr AS `Destination IP`", "Dport AS `Destination Port`", "Proto AS `Protocol`", "Dur AS `Flow Duration`",
+        "TotPkts AS `Total Fwd Packets`", "0 AS `Total Backward Packets`", "SrcBytes AS `Total Length of Fwd Packets`",
+        "DstBytes AS `Total Length of Bwd Packets`", "Label", "SubLabel AS `Detailed Label`",
+    ).write.option("header", True).csv(paths[2])
+    own = rows.filter("f = 3").selectExpr(
+        "IF(TotPkts % 16 = 7, 'some day', date_format(StartTime, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")) AS StartTime",
+        "IF(TotPkts % 16 = 11, NULL, SrcAddr) AS SrcAddr", "Sport", "DstAddr", "Dport", "Proto", "Dur", "SrcBytes", "DstBytes", "TotPkts",
+        "IF(Dport = 443, '1', '0') AS Label", "SubLabel", "'LAN' AS DatasetSource",
+    )
+    own.unionByName(own).write.option("header", True).csv(paths[3])
+    return paths
+
+
+_SHARED = "StartTime, SrcAddr, Sport::INT AS Sport, DstAddr, Dport::INT AS Dport, lower(trim(Proto)) AS Proto, Dur, SrcBytes::BIGINT AS SrcBytes"
+_REST = "DstBytes::BIGINT AS DstBytes, TotPkts::BIGINT AS TotPkts"
+
+
 @query(
     "a9_union_sources",
-    "SELECT DatasetSource, has_state, count(*) AS flows, sum(TotBytes)::BIGINT AS bytes FROM (SELECT DatasetSource, TRUE AS has_state, "
-    "TotBytes FROM flows WHERE DatasetSource = 'CTU-13' UNION ALL SELECT DatasetSource, FALSE, TotBytes FROM flows WHERE "
-    "DatasetSource = 'IoT-23') GROUP BY 1, 2",
-    "flows",
+    f"SELECT DISTINCT {_SHARED.replace('Dport::INT', 'CASE WHEN Sport = 53 THEN 0 ELSE Dport END::INT')}, {_REST}, "
+    "CASE WHEN regexp_matches(Label, 'Botnet|Attack|Malicious|PortScan|C&C|C2', 'i') THEN 1 ELSE 0 END AS Label, '' AS SubLabel, "
+    "'CTU-13' AS DatasetSource, Label AS Label_raw FROM raw WHERE TotPkts % 4 = 0 "
+    f"UNION ALL SELECT DISTINCT {_SHARED}, {_REST}, CASE WHEN SubLabel <> '' THEN 1 ELSE 0 END, SubLabel, 'IoT-23', NULL FROM raw WHERE TotPkts % 4 = 1 "
+    f"UNION ALL SELECT DISTINCT {_SHARED}, {_REST}, CASE WHEN regexp_matches(lower(Label), 'malicious|attack|bot') THEN 1 ELSE 0 END, SubLabel, "
+    "'IoT-23', NULL FROM raw WHERE TotPkts % 4 = 2 "
+    f"UNION ALL SELECT DISTINCT {_SHARED}, {_REST}, CASE WHEN Dport = 443 THEN 1 ELSE 0 END, SubLabel, 'LAN', "
+    "CASE WHEN Dport = 443 THEN '1' ELSE '0' END FROM raw WHERE TotPkts % 4 = 3 AND TotPkts % 16 NOT IN (7, 11)",
+    "raw",
 )
 def a9(spark: SparkSession, sf: str) -> DataFrame:
-    flows = S.flows(spark, sf)
-    both = readers.union_sources(
-        [flows.filter("DatasetSource = 'CTU-13'"), flows.filter("DatasetSource = 'IoT-23'").drop("State", "ProtoCode")]
-    )
-    return both.groupBy("DatasetSource", F.col("State").isNotNull().alias("has_state")).agg(
-        F.count(F.lit(1)).alias("flows"), F.sum("TotBytes").alias("bytes")
-    )
+    both = readers.union_sources([readers.read_flows(spark, path) for path in _mixed_inputs(spark, sf)])
+    return cleaning.clean(both).select(*UNIFIED.split(", "), "Label_raw")
 
 
 @query(
@@ -637,7 +673,7 @@ def e19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f1_prioritised", "SELECT campaign_id, SrcAddr, label, round(conn_count, 4) AS conn_count FROM chosen", "chosen")
 def f1(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(enrichment.prioritise_addresses(S.campaigns(spark, sf)), "conn_count")
+    return rounded(enrichment.prioritise_addresses(S.campaigns(spark, sf), 25), "conn_count")
 
 
 @query(
@@ -682,7 +718,7 @@ def f6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f7_indicator_matches",
-    "SELECT ip, event, '' AS threat_actor, tlp FROM (SELECT DISTINCT SrcAddr AS ip FROM member ORDER BY 1 LIMIT 25) JOIN indicator USING (ip)",
+    "SELECT ip, event, '' AS threat_actor, tlp FROM (SELECT DISTINCT SrcAddr AS ip FROM member) JOIN indicator USING (ip)",
     "member", "indicator",
 )
 def f7(spark: SparkSession, sf: str) -> DataFrame:
@@ -919,7 +955,7 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j4_betweenness_undirected")
 def j4u(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.betweenness_centrality(*graph_tables(spark, sf), directed=False, exact_cap=500, pivots=100)
+    return graph.betweenness_centrality(*graph_tables(spark, sf), directed=False)
 
 
 @query(
@@ -1099,7 +1135,7 @@ def l2(spark: SparkSession, sf: str) -> DataFrame:
     return reports.campaign_table(S.campaigns(spark, sf), documents(spark, sf))
 
 
-@query("l3_low_confidence", f"SELECT *, 'LOW CONF' AS risk_badge FROM ({TABLE}) WHERE confidence_pct < 60", "doc", "camp")
+@query("l3_low_confidence", f"SELECT *, TRUE AS low_confidence FROM ({TABLE}) WHERE confidence_pct < 60", "doc", "camp")
 def l3(spark: SparkSession, sf: str) -> DataFrame:
     return reports.low_confidence(l2(spark, sf))
 
@@ -1178,7 +1214,7 @@ def l8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "l9_node_details",
-    f"SELECT ip, campaign_id, campaign_type, threat_level, vt_malicious, abuse_score, asn, country, coalesce(matches, '(no MISP matches)') AS matches, 'Weak' AS beacon "
+    f"SELECT ip, campaign_id, campaign_type, threat_level, vt_malicious, abuse_score, asn, country, matches, 'Weak' AS beacon "
     f"FROM enriched LEFT JOIN ({LINES}) USING (ip)",
     "enriched", "member", "indicator",
 )
@@ -1261,37 +1297,32 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- sampling and scalars ---------------------------------------------------
 
-ROW_KEY = ["SrcAddr", "DstAddr", "Sport", "Dport", "TotPkts", "SrcBytes", "DstBytes", "Proto"]
-_ROW_SQL = "concat_ws('|', SrcAddr, DstAddr, Sport, Dport, TotPkts, SrcBytes, DstBytes, Proto, '42')"
+ROW_KEY = ["SrcAddr", "DstAddr", "Sport", "Dport", "TotPkts", "SrcBytes", "DstBytes", "Proto", "micros", "State", "Label_raw", "SubLabel", "eighths"]
+_ROW_SQL = f"concat_ws('|', {', '.join(ROW_KEY)}, '42')"
+_ROWS_SQL = f"""SELECT {', '.join(ROW_KEY)} FROM (SELECT *, epoch_us(StartTime) AS micros, (Dur * 8)::BIGINT AS eighths FROM flows)
+ORDER BY md5({_ROW_SQL}), {', '.join(ROW_KEY)} LIMIT 50000"""
 
 
-@query(
-    "r1_reservoir",
-    f"SELECT count(*) AS rows, count(DISTINCT SrcAddr) AS sources, sum(TotBytes)::BIGINT AS bytes FROM (SELECT * FROM flows ORDER BY md5({_ROW_SQL}), "
-    + ", ".join(ROW_KEY) + " LIMIT 50000)",
-    "flows",
-)
+def _keyed_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows with every column as text or whole number; together they are a row's key."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', StartTime)")
+    return S.flows(spark, sf).withColumns({"micros": micros, "eighths": (F.col("Dur") * 8).cast("bigint")}).select(*ROW_KEY)
+
+
+@query("r1_reservoir", _ROWS_SQL, "flows")
 def r1(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = sampling.reservoir(S.flows(spark, sf), ROW_KEY)
-    return drawn.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("SrcAddr").alias("sources"), F.sum("TotBytes").alias("bytes"))
+    return sampling.reservoir(_keyed_flows(spark, sf), ROW_KEY, limit=50_000)
 
 
-@query(
-    "r1_reservoir_incremental",
-    f"SELECT count(*) AS rows, count(DISTINCT SrcAddr) AS sources, sum(TotBytes)::BIGINT AS bytes FROM (SELECT * FROM flows ORDER BY md5({_ROW_SQL}), "
-    + ", ".join(ROW_KEY) + " LIMIT 50000)",
-    "flows",
-)
+@query("r1_reservoir_incremental", _ROWS_SQL, "flows")
 def r1i(spark: SparkSession, sf: str) -> DataFrame:
-    flows = S.flows(spark, sf)
+    flows = _keyed_flows(spark, sf)
     folder = fresh_path(spark, "arriving")
     flows.write.parquet(folder)
     stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    sampler = StreamSampler(ROW_KEY)
+    sampler = StreamSampler(ROW_KEY, limit=50_000)
     sampler.start(stream).awaitTermination()
-    return sampler.result(flows).agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("SrcAddr").alias("sources"), F.sum("TotBytes").alias("bytes")
-    )
+    return sampler.result(flows)
 
 
 @query(

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from netquarry.schema import INTEL_ENTRY_TYPE
 
 
-def read_intel_map(spark: SparkSession, paths: str, per_line: bool = False) -> DataFrame:
+def read_intel_map(spark: SparkSession, paths: str, per_line: bool = True) -> DataFrame:
     """JSON objects 'address -> fields' as one row per address.
 
-    One object per file, or with ``per_line`` one per line, which splits.
+    One object per line, so that files split; with ``per_line`` off one per file,
+    which puts a whole file into one row.
     """
     whole = spark.read.text(paths, wholetext=not per_line)
     return explode_intel(whole, "value")

@@ -32,7 +32,6 @@ class StreamSampler:
         if batch_id > 0:
             merged = merged.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(self._table(batch_id - 1)))
         reservoir(merged, self.key, self.limit, self.seed).write.mode("overwrite").parquet(self._table(batch_id))
-        self.last_batch = batch_id
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         if self.path is None:
@@ -41,4 +40,12 @@ class StreamSampler:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def result(self, like: DataFrame) -> DataFrame:
-        return like.sparkSession.read.schema(like.schema).parquet(self._table(self.last_batch))
+        """The sample after the last batch, found in the folder; empty if no batch ran."""
+        spark = like.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        found = hadoop.Path(f"{self.path}/batch=*/_SUCCESS")
+        done = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+        last = max((status.getPath().getParent().toString() for status in done), default=None)
+        if last is None:
+            return spark.createDataFrame([], like.schema)
+        return spark.read.schema(like.schema).parquet(last)

@@ -27,13 +27,13 @@ def hourly(spark, series):
 
 def test_timing(spark):
     m = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "gone")], ["campaign_id", "SrcAddr"])
-    alone = hourly(spark, {"a": [5, 9, 2, 14, 7]})
+    alone = hourly(spark, {"a": [4, 11, 3, 8, 6]})
     got = {r["campaign_id"]: r["T"] for r in scoring.timing_correlation(alone, m).collect()}
     assert got[0] == pytest.approx(1.0) and got[1] == got[3] == 0.0
-    mixed = hourly(spark, {"a": [5, 9, 2, 14, 7], "b": [0, 3, 0, 1, 0], "c": [2, 2, 2, 2, 2]})
+    mixed = hourly(spark, {"a": [4, 11, 3, 8, 6], "b": [0, 3, 0, 1, 0], "c": [2, 2, 2, 2, 2]})
     got = {r["campaign_id"]: r["T"] for r in scoring.timing_correlation(mixed, m).collect()}
     from statistics import correlation
-    total, b = [7, 14, 4, 17, 9], [0, 3, 0, 1, 0]
+    total, b = [6, 16, 5, 11, 8], [0, 3, 0, 1, 0]
     assert got[1] == pytest.approx(abs(correlation(total, b))) and got[2] == 0.0
     short = hourly(spark, {"a": [5, 9]})
     assert scoring.timing_correlation(short, m).filter("campaign_id = 0").first()["T"] == 0.0
@@ -144,6 +144,8 @@ def brandes(nodes, links):
 @pytest.mark.parametrize("directed", [True, False])
 def test_betweenness_matches_brute_force(spark, directed):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d"), ("d", "f"), ("b", "f")]
+    # Nodes with equal neighbours: leaves, parallel ways, and twins that are sources and go-betweens.
+    pairs += [(f"leaf{i}", "b") for i in range(4)] + [x for i in range(3) for x in (("f", f"way{i}"), (f"way{i}", "g"))] + [("g", "a")]
     names = sorted({x for p in pairs for x in p} | {"z"})
     links = {}
     for a, b in pairs:
@@ -154,8 +156,6 @@ def test_betweenness_matches_brute_force(spark, directed):
     edges = spark.createDataFrame(pairs, ["src", "dst"])
     got = {r["id"]: r["betweenness_centrality"] for r in graph.betweenness_centrality(nodes, edges, directed).collect()}
     assert got == pytest.approx(brandes(names, links), abs=2e-6)
-    few = graph.betweenness_centrality(nodes, edges, directed, exact_cap=3, pivots=4)
-    assert few.count() == len(names)
 
 
 def test_star_graph_has_no_betweenness(spark):
@@ -231,6 +231,6 @@ def test_report_with_nothing_selected(spark):
     assert r["confidence_band"] == "low" and r["ip_count"] == 1
     k = reports.kpis(c, docs).first()
     assert (k["campaigns"], k["malicious_rows"], k["mean_confidence"], k["high_confidence"]) == (1, 1, 40.0, 0)
-    assert reports.low_confidence(reports.campaign_table(c, docs)).first()["risk_badge"] == "LOW CONF"
+    assert reports.low_confidence(reports.campaign_table(c, docs)).first()["low_confidence"] is True
     lines = {r["factor"]: r["contribution"] for r in reports.contribution_lines(docs).collect()}
     assert lines["B"] == 0.175 and reports.factor_matrix(docs).first()["M"] == 0.5

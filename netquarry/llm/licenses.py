@@ -61,7 +61,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))
-    return F.transform(F.split(F.regexp_replace(out, _NOISE, " "), "\n", -1), F.trim)
+    return F.transform(F.split(F.regexp_replace(out, _NOISE, " "), "\n", -1), lambda line: F.trim(line))
 
 
 def digests(lines: Column) -> Column:

@@ -60,7 +60,7 @@ def main() -> None:
     timed("fingerprints_from_raw_tables", lambda: drain(fingerprints.fingerprints(cleaning.clean(fixture.raw_flows(spark, sf)))))
     sweep = EngineConfig(k_min=2, k_max=10, n_init=10)
     points = contract.standardized(spark, sf)
-    timed("clustering_k2_to_10", lambda: drain(contract.clustering.sweep_k(points, ["SrcAddr", "time_window"], sweep)[0]))
+    timed("clustering_k2_to_10", lambda: drain(contract.clustering.sweep_k(points, sweep)[0]))
     for name in HEADLINE:
         timed(name, lambda: drain(contract.QUERIES[name](spark, sf)))
     print(

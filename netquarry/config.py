@@ -26,7 +26,6 @@ class EngineConfig:
     min_samples: int = 3
     iot_ports: tuple[int, ...] = (23, 2323, 7547, 8080, 8443, 5555, 48101, 37215)
     enrich_per_campaign: int | None = None  # None: every address of a campaign
-    silhouette_cap: int = 20_000
     graph_display_cap: int = 3_000
     replay_steps: int = 1_500
     sample_rows: int = 50_000

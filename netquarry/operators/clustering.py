@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -84,17 +85,17 @@ def _silhouette_sums(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> np.
 
 def silhouettes(
     points: DataFrame, label_columns: Sequence[str], order_key: Sequence[str],
-    features: str = "features", cap: int = DEFAULT.silhouette_cap, seed: int = DEFAULT.seed,
+    sample: int, features: str = "features", seed: int = DEFAULT.seed,
 ) -> DataFrame:
-    """Exact Euclidean silhouette of several labellings of the same points.
+    """Euclidean silhouette of several labellings on a seeded sample of points.
 
-    Above ``cap`` points the score is taken on a seeded subset of that size, as
-    the measure is quadratic; the cap is also what bounds the broadcast. One
-    distance pass serves all labellings.
+    The measure is quadratic, so the caller states how many points it is taken
+    on; ``squared_silhouettes`` covers all points. One distance pass serves all
+    labellings.
     """
     spark = points.sparkSession
     wanted = points.select(*dict.fromkeys([features, *label_columns, *order_key]))
-    local = reservoir(wanted, order_key, cap, seed).select(features, *label_columns).toPandas()
+    local = reservoir(wanted, order_key, sample, seed).select(features, *label_columns).toPandas()
     names = list(label_columns)
     schema = "labelling string, total double, n bigint"
     if len(local) == 0:
@@ -128,21 +129,105 @@ def k_bounds(n: int, k_min: int, k_max: int) -> list[int]:
     return [k for k in range(k_min, hi + 1) if k < n]
 
 
-def sweep_k(points: DataFrame, order_key: Sequence[str], cfg: EngineConfig = DEFAULT, features: str = "features"):
+def _silhouette_pass(stats: list[tuple[np.ndarray, np.ndarray, np.ndarray]], own_of):
+    """Task body: summed silhouettes by squared distance per labelling, from cluster sizes, sums and square sums.
+
+    The mean squared distance of x to a cluster is (n |x|^2 - 2 x.S + Q) / n; in its
+    own cluster the point itself is left out of the count.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = np.zeros(len(stats)), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+            lengths = (x**2).sum(axis=1)[:, None]
+            seen += len(x)
+            for j, (n, sums, squares) in enumerate(stats):
+                apart = np.maximum(n * lengths - 2.0 * (x @ sums.T) + squares, 0.0)
+                own, at = own_of(batch, x, j), np.arange(len(x))
+                a = apart[at, own] / np.maximum(n[own] - 1, 1)
+                means = np.where(n > 0, apart / np.maximum(n, 1), np.inf)
+                means[at, own] = np.inf
+                b = means.min(axis=1)
+                top = np.maximum(a, b)
+                s = np.divide(b - a, top, out=np.zeros_like(a), where=(top > 0) & np.isfinite(b))
+                totals[j] += s[n[own] > 1].sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(stats))), pa.array(totals), pa.array(np.full(len(stats), seen))], ["labelling", "total", "n"]
+        )
+
+    return run
+
+
+def _silhouette_means(parts: DataFrame) -> dict[int, float]:
+    sums = parts.groupBy("labelling").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("s"))
+    return {r["labelling"]: r["s"] for r in sums.collect() if r["s"] is not None}
+
+
+_SILHOUETTE_PARTS = "labelling bigint, total double, n bigint"
+
+
+def squared_silhouettes(points: DataFrame, label_columns: Sequence[str], features: str = "features") -> DataFrame:
+    """Silhouette by squared distance (labelling, silhouette), exact over all points in O(points x clusters).
+
+    Cluster sums come to the driver, so labels are few (a stated k). Labellings
+    with one value are left out.
+    """
+    stats, codes, names = [], [], []
+    for name in label_columns:
+        squares = F.aggregate(features, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+        dims = points.select(F.size(features)).first()
+        if dims is None:
+            break
+        sums = [F.sum(F.col(features)[i].cast("double")).alias(f"s{i}") for i in range(dims[0])]
+        table = points.groupBy(F.col(name).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum(squares).alias("q"), *sums).toPandas()
+        if len(table) > 1:
+            names.append(name)
+            codes.append({label: k for k, label in enumerate(table["label"])})
+            stats.append((table["n"].to_numpy(float), table[[f"s{i}" for i in range(dims[0])]].to_numpy(), table["q"].to_numpy(float)))
+    spark = points.sparkSession
+    if not names:
+        return spark.createDataFrame([], "labelling string, silhouette double")
+
+    def own_of(batch: pa.RecordBatch, x: np.ndarray, j: int) -> np.ndarray:
+        return np.array([codes[j][v] for v in batch.column(j + 1).to_pylist()])
+
+    wanted = points.select(features, *[F.col(n).cast("string").alias(f"l{j}") for j, n in enumerate(names)])
+    found = _silhouette_means(wanted.mapInArrow(_silhouette_pass(stats, own_of), _SILHOUETTE_PARTS))
+    return spark.createDataFrame([(names[j], float(s)) for j, s in sorted(found.items())], "labelling string, silhouette double")
+
+
+def model_silhouettes(points: DataFrame, models: Sequence[kmeans.Centres], features: str = "features") -> list[float]:
+    """Silhouette by squared distance of each model's assignment, over all points, in two shared passes."""
+    centres = [m.centres for m in models]
+    vectors = points.select(features)
+    n, sums, costs = kmeans._folded(vectors, centres)
+    ends = np.cumsum([len(c) for c in centres])
+    stats = []
+    for c, z in zip(centres, ends):
+        span = slice(z - len(c), z)
+        # The fold's cost is the sum of |x - c|^2, from which the sum of |x|^2 follows.
+        squares = costs[span] + 2.0 * (c * sums[span]).sum(axis=1) - n[span] * (c**2).sum(axis=1)
+        stats.append((n[span], sums[span], squares))
+
+    def own_of(batch: pa.RecordBatch, x: np.ndarray, j: int) -> np.ndarray:
+        return ((centres[j] ** 2).sum(axis=1) - 2.0 * (x @ centres[j].T)).argmin(axis=1)
+
+    found = _silhouette_means(vectors.mapInArrow(_silhouette_pass(stats, own_of), _SILHOUETTE_PARTS))
+    return [found.get(j, 0.0) for j in range(len(centres))]
+
+
+def sweep_k(points: DataFrame, cfg: EngineConfig = DEFAULT, features: str = "features"):
     """Silhouette curve over k and the best k.
 
-    Returns (curve DataFrame [k, silhouette], best k, models by k). All models
-    are scored on the same subset in one distance pass.
+    Returns (curve DataFrame [k, silhouette], best k, models by k). The score is the
+    silhouette by squared distance over all points.
     """
     n = points.count()
     ks = k_bounds(n, cfg.k_min, cfg.k_max)
-    models = kmeans.fit(points, ks, order_key, cfg.n_init, cfg.seed, features=features)
-    drawn = reservoir(points.select(features, *order_key), order_key, cfg.silhouette_cap, cfg.seed)
-    labelled = drawn.select(features, *order_key, *[kmeans.nearest(m, features).alias(f"k_{k}") for k, m in models.items()])
-    scored = silhouettes(labelled, [f"k_{k}" for k in ks], order_key, features, cfg.silhouette_cap, cfg.seed)
-    rows = {int(r["labelling"][2:]): float(r["silhouette"]) for r in scored.collect()}
+    models = kmeans.fit(points, ks, cfg.n_init, cfg.seed, features=features) if ks else {}
+    rows = dict(zip(models, model_silhouettes(points, list(models.values()), features))) if models else {}
     best = max(sorted(rows), key=lambda k: rows[k]) if rows else min(2, max(1, n // 2))
-    curve = points.sparkSession.createDataFrame(sorted(rows.items()), "k int, silhouette double")
+    curve = points.sparkSession.createDataFrame(sorted((k, float(s)) for k, s in rows.items()), "k int, silhouette double")
     return curve, best, models
 
 
@@ -193,12 +278,12 @@ def simplified_silhouette(points: DataFrame, centroids: DataFrame, cluster: str,
 
 
 def best_k_simplified(
-    points: DataFrame, k_range: tuple[int, int], order_key: Sequence[str], features: str = "features", seed: int = DEFAULT.seed
+    points: DataFrame, k_range: tuple[int, int], features: str = "features", seed: int = DEFAULT.seed
 ):
     """k-means over a short k range, chosen by the simplified silhouette."""
     ks = range(k_range[0], k_range[1] + 1)
     results = []
-    for k, model in kmeans.fit(points, ks, order_key, 1, seed, max_iter=100, tol=1e-6, features=features).items():
+    for k, model in kmeans.fit(points, ks, 1, seed, max_iter=100, tol=1e-6, features=features).items():
         cents = kmeans.centre_table(points, model)
         labelled = kmeans.assign(points, model, features)
         score = simplified_silhouette(labelled, cents, "id", features, "campaign_id").first()[0]

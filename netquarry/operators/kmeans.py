@@ -5,6 +5,10 @@ reads the points once per restart and iteration; here one pass serves all
 unfinished restarts together, so the number of passes is that of the slowest
 restart. Points are never shuffled: each task folds its rows into per-centre
 sums, and only those (bounded by the number of centres) are aggregated.
+
+Starting centres come from all points: every restart draws a few candidates by
+squared distance in shared oversampling passes, candidates are weighted by the
+points nearest to them, and each k draws its centres among the weighted few.
 """
 
 from __future__ import annotations
@@ -15,16 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
-from netquarry.operators.sampling import reservoir
 
-# Starting centres are drawn from a seeded subset of at most this many points.
-SEEDING_CAP = 20_000
 _BLOCK_ROWS = 4096
+_SEEDING_ROUNDS = 3
+_OVERSAMPLING = 2  # candidates a round draws on average, as a multiple of the largest k
 
 
 @dataclass(frozen=True)
@@ -37,18 +40,87 @@ class Centres:
     passes: int
 
 
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread-out starting centres: each next one drawn by squared distance."""
-    chosen = [x[rng.integers(len(x))]]
+def _plus_plus(x: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread-out starting centres among weighted points: each next one drawn by weight and squared distance."""
+    weights = weights / weights.sum()
+    chosen = [x[rng.choice(len(x), p=weights)]]
     d2 = ((x - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = d2.sum()
-        pick = rng.choice(len(x), p=d2 / total) if total > 0 else rng.integers(len(x))
-        chosen.append(x[pick])
+        mass = d2 * weights
+        total = mass.sum()
+        chosen.append(x[rng.choice(len(x), p=mass / total) if total > 0 else rng.integers(len(x))])
         d2 = np.minimum(d2, ((x - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 
+def _drawn(seed: int, step: int, keep):
+    """Task body: rows kept per restart, as (restart, draw, vector); ``keep`` gets rows, restart and uniform numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
+        for batch in batches:
+            x = _matrix(batch)
+            for restart in range(keep.restarts):
+                u = rng.random(len(x))
+                for i in keep.rows(x, restart, u).tolist():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([restart]), pa.array([float(u[i])]), pa.array([x[i].tolist()], pa.list_(pa.float64()))], ["restart", "draw", "vector"]
+                    )
+
+    return run
+
+
+@dataclass(frozen=True)
+class _FirstRow:
+    restarts: int
+
+    def rows(self, x: np.ndarray, restart: int, u: np.ndarray) -> np.ndarray:
+        return np.array([int(u.argmin())]) if len(u) else np.empty(0, int)
+
+
+@dataclass(frozen=True)
+class _ByDistance:
+    restarts: int
+    candidates: list[np.ndarray]
+    costs: np.ndarray
+    wanted: int
+
+    def rows(self, x: np.ndarray, restart: int, u: np.ndarray) -> np.ndarray:
+        c = self.candidates[restart]
+        d2 = np.maximum((x**2).sum(axis=1) + ((c**2).sum(axis=1) - 2.0 * (x @ c.T)).min(axis=1), 0.0)
+        return np.flatnonzero(u * self.costs[restart] < self.wanted * d2) if self.costs[restart] > 0 else np.empty(0, int)
+
+
+_DRAWN = "restart bigint, draw double, vector array<double>"
+
+
+def _folded(vectors: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, sums and costs of all centres of all models, in one pass."""
+    dims = models[0].shape[1]
+    schema = "centre bigint, n double, cost double, " + ", ".join(f"s{i} double" for i in range(dims))
+    totals = [F.sum(c).alias(c) for c in ["n", "cost", *[f"s{i}" for i in range(dims)]]]
+    table = vectors.mapInArrow(_fold(models), schema).groupBy("centre").agg(*totals).toPandas().sort_values("centre")
+    return table["n"].to_numpy(), table[[f"s{i}" for i in range(dims)]].to_numpy(), table["cost"].to_numpy()
+
+
+def _seeds(vectors: DataFrame, restarts: int, most: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weighted candidates per restart, drawn over all points; (rounds x oversampling x largest k) of them on average."""
+    first = vectors.mapInArrow(_drawn(seed, 0, _FirstRow(restarts)), _DRAWN).groupBy("restart").agg(F.min_by("vector", "draw").alias("vector"))
+    at = {r["restart"]: np.array([r["vector"]]) for r in first.collect()}
+    candidates = [at[i] for i in range(restarts)]
+
+    def each(values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum([len(c) for c in candidates])[:-1])
+
+    for step in range(1, _SEEDING_ROUNDS + 1):
+        costs = np.array([c.sum() for c in each(_folded(vectors, candidates)[2])])
+        rows = vectors.mapInArrow(_drawn(seed, step, _ByDistance(restarts, candidates, costs, _OVERSAMPLING * most)), _DRAWN)
+        more: dict[int, list] = {i: [] for i in range(restarts)}
+        for r in rows.orderBy("restart", "draw").collect():
+            more[r["restart"]].append(r["vector"])
+        candidates = [np.unique(np.vstack([c, *([more[i]] if more[i] else [])]), axis=0) for i, c in enumerate(candidates)]
+    return list(zip(candidates, each(_folded(vectors, candidates)[0])))
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
     return values.reshape(batch.num_rows, -1)
@@ -84,47 +156,37 @@ def _fold(models: list[np.ndarray]):
 
 
 def fit(
-    points: DataFrame, ks: Sequence[int], order_key: Sequence[str], n_init: int = DEFAULT.n_init,
+    points: DataFrame, ks: Sequence[int], n_init: int = DEFAULT.n_init,
     seed: int = DEFAULT.seed, max_iter: int = 300, tol: float = 1e-4, features: str = "features",
 ) -> dict[int, Centres]:
-    """Best of ``n_init`` restarts for every k.
+    """Best of ``n_init`` restarts for every k; ``points`` is read many times, so a written table.
 
     A restart stops once the squared shifts of its centres sum to at most
     ``tol`` (features are expected on a unit scale).
     """
-    vectors = points.select(features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        subset = reservoir(points.select(features, *order_key), order_key, SEEDING_CAP, seed)
-        seeds = np.stack(subset.select(features).toPandas()[features].to_numpy()).astype(float)
-        dims = seeds.shape[1]
-        runs = [(k, i) for k in ks for i in range(n_init)]
-        at = {r: _plus_plus(seeds, r[0], np.random.default_rng([seed, *r])) for r in runs}
-        schema = "centre bigint, n double, cost double, " + ", ".join(f"s{i} double" for i in range(dims))
-        totals = [F.sum(c).alias(c) for c in ["n", "cost", *[f"s{i}" for i in range(dims)]]]
-        cost: dict[tuple[int, int], float] = {}
-        passes: dict[tuple[int, int], int] = {}
-        open_runs = list(runs)
-        for step in range(1, max_iter + 1):
-            folded = vectors.mapInArrow(_fold([at[r] for r in open_runs]), schema).groupBy("centre").agg(*totals)
-            table = folded.toPandas().sort_values("centre")
-            n = table["n"].to_numpy()
-            sums, costs = table[[f"s{i}" for i in range(dims)]].to_numpy(), table["cost"].to_numpy()
-            start, moving = 0, []
-            for r in open_runs:
-                span = slice(start, start + r[0])
-                start += r[0]
-                filled = n[span] > 0
-                new = at[r].copy()
-                new[filled] = sums[span][filled] / n[span][filled][:, None]
-                shift = ((new - at[r]) ** 2).sum()
-                at[r], cost[r], passes[r] = new, float(costs[span].sum()), step
-                if shift > tol:
-                    moving.append(r)
-            open_runs = moving
-            if not open_runs:
-                break
-    finally:
-        vectors.unpersist()
+    vectors = points.select(features)
+    runs = [(k, i) for k in ks for i in range(n_init)]
+    seeds = _seeds(vectors, n_init, max(ks), seed)
+    at = {r: _plus_plus(*seeds[r[1]], r[0], np.random.default_rng([seed, *r])) for r in runs}
+    cost: dict[tuple[int, int], float] = {}
+    passes: dict[tuple[int, int], int] = {}
+    open_runs = list(runs)
+    for step in range(1, max_iter + 1):
+        n, sums, costs = _folded(vectors, [at[r] for r in open_runs])
+        start, moving = 0, []
+        for r in open_runs:
+            span = slice(start, start + r[0])
+            start += r[0]
+            filled = n[span] > 0
+            new = at[r].copy()
+            new[filled] = sums[span][filled] / n[span][filled][:, None]
+            shift = ((new - at[r]) ** 2).sum()
+            at[r], cost[r], passes[r] = new, float(costs[span].sum()), step
+            if shift > tol:
+                moving.append(r)
+        open_runs = moving
+        if not open_runs:
+            break
     best = {k: min((r for r in runs if r[0] == k), key=lambda r: cost[r]) for k in ks}
     return {k: Centres(k, at[r], cost[r], passes[r]) for k, r in best.items()}
 

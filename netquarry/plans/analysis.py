@@ -53,7 +53,7 @@ def assign_campaigns(fp: DataFrame, cfg: EngineConfig = DEFAULT, k: int | None =
             axes, ["pc1", "pc2"], FINGERPRINT_KEY, min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples
         ).drop("pc1", "pc2")
     elif k is None:
-        curve, k, fitted = clustering.sweep_k(points, FINGERPRINT_KEY, cfg)
+        curve, k, fitted = clustering.sweep_k(points, cfg)
         model = fitted.get(k)
         if cfg.cluster_method == "kmeans" and model is not None:
             found = kmeans.assign(points, model)
@@ -67,7 +67,7 @@ def assign_campaigns(fp: DataFrame, cfg: EngineConfig = DEFAULT, k: int | None =
 def _fixed_k(points: DataFrame, k: int, cfg: EngineConfig) -> DataFrame:
     if cfg.cluster_method == "hierarchical":
         return clustering.hierarchical(points, k, cfg.seed)
-    return kmeans.assign(points, kmeans.fit(points, [k], FINGERPRINT_KEY, cfg.n_init, cfg.seed)[k])
+    return kmeans.assign(points, kmeans.fit(points, [k], cfg.n_init, cfg.seed)[k])
 
 
 def analyse(
@@ -106,7 +106,7 @@ def analyse_profile(
     drawn = raw if sample_key is None else sampling.reservoir(raw, sample_key, cfg.sample_rows, cfg.seed)
     rows = materialize(cleaning.per_ip_rows(drawn), "rows")
     vectors = materialize(per_ip.normalized_profile(per_ip.profile_fingerprints(rows)), "profile")
-    curve, _, model = clustering.best_k_simplified(vectors, k_range, ["SrcAddr"], "norm_features", cfg.seed)
+    curve, _, model = clustering.best_k_simplified(vectors, k_range, "norm_features", cfg.seed)
     camps = materialize(kmeans.assign(vectors, model, "norm_features"), "campaigns")
     hourly = materialize(scoring.hourly_counts(rows), "hourly")
     dims = len(PER_IP_FEATURES)

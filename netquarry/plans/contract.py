@@ -515,7 +515,18 @@ x AS (SELECT vec_id, max(CASE WHEN label = own THEN s / n END) AS a, min(CASE WH
 SELECT 'label' AS labelling, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM x""",
 )
 def e5(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(clustering.silhouettes(embeddings(spark, sf), ["label"], ["vec_id"]), "silhouette")
+    return rounded(clustering.silhouettes(embeddings(spark, sf), ["label"], ["vec_id"], sample=20_000), "silhouette")
+
+
+@query(
+    "e5_squared_silhouette",
+    f"""WITH e AS ({EMB}), d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) AS n
+ FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+x AS (SELECT vec_id, max(CASE WHEN label = own THEN s / n END) AS a, min(CASE WHEN label <> own THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT 'label' AS labelling, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM x""",
+)
+def e5s(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clustering.squared_silhouettes(embeddings(spark, sf), ["label"]), "silhouette")
 
 
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
@@ -566,20 +577,20 @@ def standardized(spark: SparkSession, sf: str) -> DataFrame:
 @query("e3_kmeans")
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     points = standardized(spark, sf)
-    model = kmeans.fit(points, [4], ["SrcAddr", "time_window"])[4]
+    model = kmeans.fit(points, [4])[4]
     return kmeans.assign(points, model).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
 
 
 @query("e4_k_sweep")
 def e4(spark: SparkSession, sf: str) -> DataFrame:
-    curve, best, _ = clustering.sweep_k(standardized(spark, sf), ["SrcAddr", "time_window"])
+    curve, best, _ = clustering.sweep_k(standardized(spark, sf))
     return curve.withColumn("best", F.col("k") == best)
 
 
 @query("e8_e10_profile_k")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     points = S.profile(spark, sf).select("SrcAddr", F.col("norm_features").alias("features"))
-    curve, best, _ = clustering.best_k_simplified(points, (4, 6), ["SrcAddr"])
+    curve, best, _ = clustering.best_k_simplified(points, (4, 6))
     return curve.withColumn("best", F.col("k") == best)
 
 

@@ -20,8 +20,9 @@ def blobs(spark, centres, n, spread=0.3, seed=0):
 CENTRES = [(0, 0, 0), (6, 6, 6), (-6, 6, 0)]
 
 
-def silhouette(x, labels):
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+def silhouette(x, labels, squared=False):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = d if squared else np.sqrt(d)
     s = []
     for i in range(len(x)):
         own = (labels == labels[i]) & (np.arange(len(x)) != i)
@@ -37,36 +38,57 @@ def silhouette(x, labels):
 def test_silhouette_matches_brute_force(spark):
     df = blobs(spark, CENTRES, 40, spread=2.5).withColumn("other", F.col("id") % 5)
     x = np.array([r["features"] for r in df.collect()])
-    got = {r["labelling"]: r["silhouette"] for r in clustering.silhouettes(df, ["blob", "other"], ["id"]).collect()}
+    got = {r["labelling"]: r["silhouette"] for r in clustering.silhouettes(df, ["blob", "other"], ["id"], sample=1000).collect()}
     assert got["blob"] == pytest.approx(silhouette(x, np.repeat([0, 1, 2], 40)), abs=1e-9)
     assert got["other"] == pytest.approx(silhouette(x, np.arange(120) % 5), abs=1e-9)
 
 
-def test_silhouette_cap_and_singletons(spark):
+def test_silhouette_sample_and_singletons(spark):
     df = blobs(spark, CENTRES, 60)
-    assert clustering.silhouettes(df, ["blob"], ["id"], cap=50).first()["silhouette"] > 0.8
-    assert clustering.silhouettes(df.withColumn("one", F.lit(1)), ["one"], ["id"]).count() == 0
+    assert clustering.silhouettes(df, ["blob"], ["id"], sample=50).first()["silhouette"] > 0.8
+    assert clustering.silhouettes(df.withColumn("one", F.lit(1)), ["one"], ["id"], sample=50).count() == 0
     lone = df.withColumn("lone", F.when(F.col("id") == 0, 9).otherwise(F.col("blob")))
     x = np.array([r["features"] for r in lone.orderBy("id").collect()])
     labels = np.repeat([0, 1, 2], 60)
     labels[0] = 9
-    assert clustering.silhouettes(lone, ["lone"], ["id"]).first()["silhouette"] == pytest.approx(silhouette(x, labels))
+    assert clustering.silhouettes(lone, ["lone"], ["id"], sample=1000).first()["silhouette"] == pytest.approx(silhouette(x, labels))
+
+
+def test_squared_silhouette_matches_brute_force(spark):
+    df = blobs(spark, CENTRES, 40, spread=2.5).withColumn("other", F.col("id") % 5).withColumn("one", F.lit(1))
+    df = df.withColumn("lone", F.when(F.col("id") == 0, 9).otherwise(F.col("blob")))
+    rows = df.orderBy("id").collect()
+    x = np.array([r["features"] for r in rows])
+    got = {r["labelling"]: r["silhouette"] for r in clustering.squared_silhouettes(df, ["blob", "other", "one", "lone"]).collect()}
+    assert set(got) == {"blob", "other", "lone"}
+    for name in got:
+        assert got[name] == pytest.approx(silhouette(x, np.array([r[name] for r in rows]), squared=True), abs=1e-9)
+    model = kmeans.fit(df, [3], n_init=2)[3]
+    labels = ((x[:, None] - model.centres[None]) ** 2).sum(-1).argmin(1)
+    assert clustering.model_silhouettes(df, [model])[0] == pytest.approx(silhouette(x, labels, squared=True), abs=1e-9)
+
+
+def test_seeding_reaches_rare_far_points(spark):
+    """A few points far off among many get a centre of their own."""
+    rows = [(float(i % 50) / 50, 0.0) for i in range(3000)] + [(100.0, 100.0)] * 2 + [(-100.0, 100.0)]
+    df = spark.createDataFrame([([a, b],) for a, b in rows], "features array<double>")
+    assert kmeans.fit(df, [3], n_init=2)[3].cost < 300
 
 
 def test_sweep_finds_three(spark):
     df = blobs(spark, CENTRES, 70)
-    curve, best, found = clustering.sweep_k(df, ["id"], EngineConfig(k_min=2, k_max=5, n_init=4))
+    curve, best, found = clustering.sweep_k(df, EngineConfig(k_min=2, k_max=5, n_init=4))
     assert best == 3 and curve.count() == 4
     pairs = kmeans.assign(df, found[3]).select("blob", "campaign_id").distinct().collect()
     assert len(pairs) == 3 and len({p["campaign_id"] for p in pairs}) == 3
     assert clustering.k_bounds(3, 2, 10) == [2] and clustering.k_bounds(100, 2, 4) == [2, 3, 4]
-    assert clustering.best_k_simplified(df, (2, 4), ["id"])[1] == 3
+    assert clustering.best_k_simplified(df, (2, 4))[1] == 3
 
 
 def test_restarts_never_cost_more(spark):
     df = blobs(spark, [(i % 3 * 2, i // 3 * 2) for i in range(6)], 30, spread=0.6)
-    one = kmeans.fit(df, [6], ["id"], n_init=1)[6]
-    many = kmeans.fit(df, [6], ["id"], n_init=8)[6]
+    one = kmeans.fit(df, [6], n_init=1)[6]
+    many = kmeans.fit(df, [6], n_init=8)[6]
     assert many.cost <= one.cost + 1e-9
     x = np.array([r["features"] for r in df.collect()])
     near = ((x[:, None] - many.centres[None]) ** 2).sum(-1).min(1).sum()

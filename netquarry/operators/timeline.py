@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
 from netquarry.functions.network import event_class, last_octets, micros_between, subnet24_lenient, window_start
-from netquarry.operators.ranking import ranked_by_bucket
+from netquarry.functions.storage import materialize
 from netquarry.operators.scoring import latest_campaign
 
 
-def _step_rank(j: Column, n: Column, steps: int) -> Column:
-    """Rank of the j-th of ``steps`` evenly spaced picks, rounded half to even."""
-    whole, rest = F.expr("_j * (_n - 1)"), F.lit(steps - 1)
+def _step_rank(j: Column, n: Column, picks: Column) -> Column:
+    """Rank of the j-th of ``picks`` evenly spaced picks among n, rounded half to even."""
+    whole, rest = j * (n - 1), F.greatest(picks - 1, F.lit(1))
     q = F.floor(whole / rest)
     r = whole - q * rest
     up = (r * 2 > rest) | ((r * 2 == rest) & (q % 2 == 1))
@@ -23,24 +23,32 @@ def _step_rank(j: Column, n: Column, steps: int) -> Column:
 def replay_timeline(flows: DataFrame, steps: int = DEFAULT.replay_steps) -> DataFrame:
     """At most ``steps`` evenly spaced distinct flow times (idx, t).
 
-    Distinct times are ranked through per-minute buckets, so no global sort of
-    times happens in one task; whether a rank is picked is decided per row.
+    Distinct times are counted per second; running totals over hours and inside
+    an hour give each second the ranks it holds, so the picks that fall into it are
+    known without ordering a time. Only times of seconds with a pick are ranked.
     """
     times = flows.filter(F.col("StartTime").isNotNull()).select(F.col("StartTime").alias("t")).distinct()
-    n = times.agg(F.count(F.lit(1))).scalar()
-    ranked = ranked_by_bucket(times, window_start("t", "1 minute"), [F.asc("t")], "_rank").withColumn("_n", n)
-    # The pick nearest to a rank is j = rank * (steps - 1) / (n - 1), give or take one.
-    guess = F.expr(f"CAST(floor(_rank * {steps - 1} / greatest(_n - 1, 1)) AS BIGINT)")
-    picked = ranked.withColumn("_g", guess).withColumn(
-        "_idx",
-        F.expr(f"filter(transform(array(-1, 0, 1, 2), d -> _g + d), j -> j >= 0 AND j < {steps})"),
-    )
-    candidates = picked.withColumn("_j", F.explode("_idx")).withColumn("_target", _step_rank(F.col("_j"), F.col("_n"), steps))
-    thinned = candidates.filter((F.col("_n") > steps) & (F.col("_target") == F.col("_rank"))).select(
-        F.col("_j").alias("idx"), "t"
-    )
-    whole = ranked.filter(F.col("_n") <= steps).select(F.col("_rank").alias("idx"), "t")
-    return thinned.unionByName(whole)
+    times = materialize(times.withColumn("_s", window_start("t", "1 second")), "times")
+    seconds = times.groupBy("_s").agg(F.count(F.lit(1)).alias("_size")).withColumn("_h", window_start("_s", "1 hour"))
+    hours = seconds.groupBy("_h").agg(F.sum("_size").alias("_hour"))
+    before = Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("_h", F.coalesce(F.sum("_hour").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_h").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = seconds.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(hours, "_h")
+    placed = placed.withColumn("_n", seconds.agg(F.sum("_size")).scalar()).withColumn("_first", F.col("_base") + F.col("_in"))
+    n, first, after = F.col("_n"), F.col("_first"), F.col("_first") + F.col("_size")
+    picks = F.least(n, F.lit(steps))
+    # The pick nearest to a rank is rank * (picks - 1) / (n - 1), give or take one.
+    share = (picks - 1) / F.greatest(n - 1, F.lit(1))
+    low = F.greatest(F.floor(first * share) - 1, F.lit(0))
+    high = F.least(F.floor((after - 1) * share) + 2, picks - 1)
+    near = placed.select("_s", n, first, after.alias("_after"), F.explode(F.sequence(low, F.greatest(low, high))).alias("_j"))
+    target = _step_rank(F.col("_j"), n, picks)
+    hits = near.withColumn("_rank", target).filter((F.col("_j") < picks) & (F.col("_rank") >= first) & (F.col("_rank") < F.col("_after")))
+    hits = materialize(hits.select("_s", F.col("_j").alias("idx"), (F.col("_rank") - first).alias("_r")), "picks")  # at most ``steps`` rows
+    hit_times = times.join(hits.select("_s").distinct(), "_s")
+    ranked = hit_times.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("t")) - 1)
+    return ranked.join(hits, ["_s", "_r"]).select("idx", "t")
 
 
 def replay_seed(flows: DataFrame, camps: DataFrame, timeline: DataFrame, anchor: int) -> DataFrame:

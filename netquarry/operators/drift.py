@@ -62,11 +62,9 @@ def profile_drift(
     return _series(cents, threshold)
 
 
-def drift_matrix(series: DataFrame, campaigns: Sequence[int] | None = None) -> DataFrame:
-    """Windows by campaigns."""
-    grouped = series.groupBy(F.col("window_start").alias("t"))
-    wide = grouped.pivot("campaign_id", list(campaigns)) if campaigns is not None else grouped.pivot("campaign_id")
-    wide = wide.agg(F.first("drift"))
+def drift_matrix(series: DataFrame, campaigns: Sequence[int]) -> DataFrame:
+    """Windows by the named campaigns; the series itself is the long form for any number of them."""
+    wide = series.groupBy(F.col("window_start").alias("t")).pivot("campaign_id", list(campaigns)).agg(F.first("drift"))
     return wide.select("t", *[F.col(f"`{c}`").alias(f"c{c}") for c in wide.columns if c != "t"])
 
 

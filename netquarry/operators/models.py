@@ -34,10 +34,16 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_share:
 def train_forest(
     train: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 100, seed: int = DEFAULT.seed
 ) -> RandomForestClassificationModel:
+    """Random forest on the matrix columns; labels must be of at least two kinds."""
     data = train.select(array_to_vector(array_of(list(columns))).alias("_v"), F.col(label).cast("double").alias("_y"))
     return RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, seed=seed).fit(data)
 
 
+def has_two_labels(df: DataFrame, label: str = "label") -> bool:
+    ends = df.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
+    return ends["low"] is not None and ends["low"] != ends["high"]
+
+
 def predict(model: RandomForestClassificationModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     scored = model.transform(df.withColumn("_v", array_to_vector(array_of(list(columns)))))
     return scored.withColumn("prediction", F.col("prediction").cast("int")).drop("_v", "rawPrediction", "probability")

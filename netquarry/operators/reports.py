@@ -157,14 +157,14 @@ def run_summary(
     return out
 
 
-def node_details(enriched: DataFrame, matches: DataFrame, node: str | None = None) -> DataFrame:
-    """Inspector rows: enrichment, indicator lines and beacon strength per address."""
-    rows = enriched if node is None else enriched.filter(F.col("ip") == node)
-    score = F.col("c2_beacon_score") if "c2_beacon_score" in enriched.columns else F.lit(0.0)
+def node_details(enriched: DataFrame, matches: DataFrame, camps: DataFrame, node: str | None = None) -> DataFrame:
+    """Inspector rows: enrichment, indicator lines and the beacon strength of the address's campaign."""
+    beacons = camps.groupBy("campaign_id").agg(F.avg(F.coalesce(F.col("c2_beacon_score").cast("double"), F.lit(0.0))).alias("_score"))
+    rows = (enriched if node is None else enriched.filter(F.col("ip") == node)).join(beacons, "campaign_id", "left")
     lines = matches_per_address(matches if node is None else matches.filter(F.col("ip") == node))
     return rows.join(lines, "ip", "left").select(
         "ip", "campaign_id", "campaign_type", "threat_level", "vt_malicious", "abuse_score", "asn", "country",
-        F.col("matches"), beacon_strength(score).alias("beacon"),
+        F.col("matches"), beacon_strength("_score").alias("beacon"),
     )
 
 

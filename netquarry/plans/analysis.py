@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from netquarry.config import DEFAULT, EngineConfig
 from netquarry.functions.storage import materialize
 from netquarry.operators import (
-    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, kmeans, models, per_ip, sampling,
-    scoring,
+    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, kmeans, models, per_ip, reports,
+    sampling, scoring,
 )
 from netquarry.schema import PER_IP_FEATURES
+from netquarry.sources import writers
 
 FINGERPRINT_KEY = ["SrcAddr", "time_window"]
 
@@ -39,6 +40,20 @@ class Analysis:
     summary: DataFrame | None = None
     enriched: DataFrame | None = None
     matches: DataFrame | None = None
+    cluster_table: DataFrame | None = None
+    quality: DataFrame | None = None
+    classifier_report: DataFrame | None = None
+    importances: DataFrame | None = None
+    projection: DataFrame | None = None
+    run_summary: DataFrame | None = None
+
+    def write(self, path: str) -> None:
+        """Flows as partitioned Parquet, the campaign documents as JSON lines, every other table as Parquet."""
+        writers.write_flows(self.flows, f"{path}/flows")
+        writers.write_documents(self.documents, f"{path}/documents")
+        for name, table in vars(self).items():
+            if table is not None and name not in ("flows", "documents"):
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def assign_campaigns(fp: DataFrame, cfg: EngineConfig = DEFAULT, k: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -71,11 +86,20 @@ def _fixed_k(points: DataFrame, k: int, cfg: EngineConfig) -> DataFrame:
 
 
 def analyse(
-    raw: DataFrame, intel: DataFrame, indicators: DataFrame | None = None, cfg: EngineConfig = DEFAULT, k: int | None = None
+    raw: DataFrame, intel: DataFrame, indicators: DataFrame | None = None, cfg: EngineConfig = DEFAULT, k: int | None = None,
+    known_botnets: bool = False,
 ) -> Analysis:
-    """Raw unified flows and intelligence to scored, labelled, graphed campaigns."""
+    """Raw unified flows and intelligence to scored, labelled, graphed campaigns.
+
+    With ``known_botnets`` attack types take the intelligence count of an address
+    into account. Classifier tables are absent where only one label occurs.
+    """
     flows = materialize(cleaning.clean(raw), "flows")
-    fp = materialize(fingerprints.fingerprints(flows, cfg.fingerprint_window, cfg.iot_ports), "fingerprints")
+    found = fingerprints.fingerprints(flows, cfg.fingerprint_window, cfg.iot_ports)
+    if known_botnets:
+        named = fingerprints.relabel_known_botnets(flows, intel, window=cfg.fingerprint_window, iot_ports=cfg.iot_ports)
+        found = found.drop("attack_type").join(named.select(*FINGERPRINT_KEY, "attack_type"), FINGERPRINT_KEY).select(found.columns)
+    fp = materialize(found, "fingerprints")
     assigned, curve = assign_campaigns(fingerprints.normalize(fp), cfg, k)
     camps = materialize(assigned, "campaigns")
     hourly = materialize(scoring.hourly_counts(flows), "hourly")
@@ -92,8 +116,19 @@ def analyse(
     nodes = materialize(graph.build_nodes(members, listed), "nodes")
     edges = materialize(graph.build_edges(members, listed), "edges")
     between = graph.betweenness_centrality(nodes, edges)
+    matrix, names = clustering.design_matrix(camps)
+    points = materialize(clustering.standardize(matrix, names), "points")
+    projected, _ = models.project_2d(points, dims=len(names))
+    report = importances = None
+    if models.has_two_labels(camps):
+        train, test = models.stratified_split(matrix, "label", FINGERPRINT_KEY, seed=cfg.seed)
+        forest = models.train_forest(train, names, seed=cfg.seed)
+        report = models.classification_report(models.predict(forest, test, names))
+        importances = models.feature_importances(forest, names, camps)
     return Analysis(
-        flows=flows, campaigns=camps, hourly=hourly, drift=series, documents=documents,
+        cluster_table=clustering.cluster_summary(camps), quality=clustering.davies_bouldin(points, "campaign_id", "features", len(names)),
+        classifier_report=report, importances=importances, projection=projected.select(*FINGERPRINT_KEY, "campaign_id", "pc1", "pc2"),
+        run_summary=reports.run_summary(flows, camps, enriched, entries, nodes, edges), flows=flows, campaigns=camps, hourly=hourly, drift=series, documents=documents,
         nodes=graph.degree_centrality(nodes, edges).join(between, "id"), edges=edges, k_curve=curve, summary=summary,
         enriched=enriched, matches=enrichment.indicator_matches(camps, indicators) if indicators is not None else None,
     )

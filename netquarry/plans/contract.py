@@ -1225,13 +1225,14 @@ def l8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "l9_node_details",
-    f"SELECT ip, campaign_id, campaign_type, threat_level, vt_malicious, abuse_score, asn, country, matches, 'Weak' AS beacon "
-    f"FROM enriched LEFT JOIN ({LINES}) USING (ip)",
-    "enriched", "member", "indicator",
+    f"SELECT ip, campaign_id, campaign_type, threat_level, vt_malicious, abuse_score, asn, country, matches, "
+    "CASE WHEN score > 0.2 THEN 'Strong' WHEN score > 0.08 THEN 'Moderate' ELSE 'Weak' END AS beacon "
+    f"FROM enriched LEFT JOIN ({LINES}) USING (ip) LEFT JOIN (SELECT campaign_id, avg(coalesce(c2_beacon_score, 0)) AS score FROM camp GROUP BY 1) USING (campaign_id)",
+    "enriched", "member", "indicator", "camp",
 )
 def l9(spark: SparkSession, sf: str) -> DataFrame:
     matches = enrichment.indicator_matches(S.campaigns(spark, sf), fixture.indicator_table(spark, sf), first=None)
-    return reports.node_details(S.enriched(spark, sf), matches)
+    return reports.node_details(S.enriched(spark, sf), matches, S.campaigns(spark, sf))
 
 
 @query(

@@ -60,7 +60,7 @@ def test_drift_flag(spark):
     assert got[0]["drift"] == 1.0 and got[0]["flagged"] and got[0]["window_next"] == dt.datetime(2024, 1, 1, 12)
     still = camps(spark, [(0, "2024-01-01 00:00:00", 1.0, 0.5), (0, "2024-01-01 06:00:00", 2.0, 1.0)])
     assert drift.drift_series(still).first()["drift"] == 0.0 and not drift.drift_flags(drift.drift_series(still)).first()["drift_detected"]
-    assert drift.drift_matrix(drift.drift_series(moved)).columns == ["t", "c0"]
+    assert drift.drift_matrix(drift.drift_series(moved), [0]).columns == ["t", "c0"]
 
 
 def test_upsert(spark):

@@ -15,7 +15,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables ar
 
 
 @needs_tables
-def test_standard_analysis(spark):
+def test_standard_analysis(spark, tmp_path):
     cfg = EngineConfig(k_max=4, n_init=2)
     got = analyse(fixture.raw_flows(spark, SF), fixture.intel_table(spark, SF), fixture.indicator_table(spark, SF), cfg)
     docs = got.documents.collect()
@@ -25,6 +25,10 @@ def test_standard_analysis(spark):
     assert n[0] == got.nodes.select("id").distinct().count() and n[1] > 0 and n[2] == 0.0
     assert got.enriched.count() == got.campaigns.select("campaign_id", "SrcAddr").distinct().count()
     assert got.matches.count() > 0
+    got.write(str(tmp_path))
+    back = {name: spark.read.parquet(f"{tmp_path}/{name}").count() for name in ("quality", "classifier_report", "importances", "projection", "run_summary", "cluster_table")}
+    assert back["quality"] == 1 and back["classifier_report"] >= 2 and back["importances"] > 19 and back["run_summary"] == 9
+    assert back["projection"] == got.campaigns.count() and back["cluster_table"] == len(docs)
 
 
 @needs_tables

@@ -90,13 +90,16 @@ def _unfolded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in pieces(batches, 500):
         ids, rows, out = batch.column("doc_id"), [], []
-        for i, (text, tag, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("tag").to_pylist(), batch.column("branching").to_pylist())):
+        for i, (text, tag, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("tag").to_pylist(), batch.column("branching"))):
             edges = window_hashes(words.of(text.split()), WINDOW)
-            for path in branching:
-                start, length = (path["at"] & ((1 << _TAG) - 1)) >> _START, path["at"] & _LENGTH
-                at = np.arange(start, start + length, dtype=np.int64)
-                rows.append(np.full(length, i))
-                out.append((np.full(length, path["anchor"], np.int64), edges[start : start + length].view(np.int64), (tag << _TAG) | (at << _START) | 1))
+            coordinate = branching.values.field("at").to_numpy()
+            length = coordinate & _LENGTH
+            first = (coordinate & ((1 << _TAG) - 1)) >> _START
+            # Positions of all windows of all paths: each path counts on from its first.
+            total = int(length.sum())
+            at = np.arange(total) + np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length)
+            rows.append(np.full(total, i))
+            out.append((np.repeat(branching.values.field("anchor").to_numpy(), length), edges[at].view(np.int64), (tag << _TAG) | (at << _START) | 1))
         if out:
             anchor, edge, at = (np.concatenate([o[j] for o in out]) for j in range(3))
             yield pa.RecordBatch.from_arrays(

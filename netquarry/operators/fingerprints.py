@@ -177,41 +177,56 @@ _ACCURACY = 10_000
 def describe(fp: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Count, mean, deviation, extremes and exact interpolated quartiles per feature.
 
-    A mergeable summary brackets each quartile; one pass counts the values
-    below every bracket; only values inside a bracket (a few in ten thousand)
-    are then ordered, so no feature is sorted as a whole.
+    Three wide passes over the rows. A mergeable summary brackets each quartile;
+    the next pass counts the values below every bracket; the last keeps only values
+    inside one (a few in ten thousand), which are ranked through 1024 value slices
+    of the bracket, so no task orders more than a slice. Features without a value
+    are left out.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = fp.select(F.inline(cells)).filter(F.col("v").isNotNull())
     slack = 3.0 / _ACCURACY
     probes = [p for q in QUARTILES for p in (q - slack, q + slack)]
-    edges = long.groupBy("feature").agg(F.percentile_approx("v", probes, _ACCURACY).alias("e"))
-    # One entry per feature: a scalar map instead of a join on very few keys.
-    bounds = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", "e"))).alias("b")).scalar()
-    rows = long.withColumn("_b", bounds).withColumn("_e", F.try_element_at("_b", F.col("feature"))).drop("_b")
-
-    def edge(at: int) -> Column:
-        return F.col("_e")[at]
-
-    stats = rows.groupBy("feature").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        F.max("v").alias("max"), *[F.count_if(F.col("v") < edge(2 * i)).alias(f"_u{i}") for i in range(len(QUARTILES))],
-    ).withColumn("below", F.array(*[F.col(f"_u{i}") for i in range(len(QUARTILES))]))
-    inside = [F.col("v").between(edge(2 * i), edge(2 * i + 1)) for i in range(len(QUARTILES))]
-    hits = F.array_compact(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(inside)]))
-    near = rows.filter(inside[0] | inside[1] | inside[2]).select("feature", "v", F.explode(hits).alias("q"))
-    counts = near.groupBy("feature", "q", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("feature", "q").orderBy("v"))
-    placed = counts.withColumn("_last", upto).join(stats.select("feature", "count", "below"), "feature")
+    values = {c: F.col(c).cast("double") for c in columns}
+    summary = fp.agg(*[
+        F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                 F.percentile_approx(v, probes, _ACCURACY).alias("e")).alias(f"f{k}")
+        for k, v in enumerate(values.values())
+    ]).first()
+    # A few numbers per feature, whatever the number of rows.
+    known = {c: summary[f"f{k}"] for k, c in enumerate(columns) if summary[f"f{k}"]["count"]}
+    spark = fp.sparkSession
+    schema = "feature string, q int, low double, high double, count bigint"
+    brackets = spark.createDataFrame([(c, i, r["e"][2 * i], r["e"][2 * i + 1], r["count"]) for c, r in known.items() for i in range(len(QUARTILES))], schema)
+    stats = spark.createDataFrame([(c, r["count"], r["mean"], r["std"], r["min"], r["max"]) for c, r in known.items()],
+                                  "feature string, count bigint, mean double, std double, min double, max double")
+    below = fp.agg(*[F.count_if(values[c] < r["e"][2 * i]).alias(f"{c}|{i}") for c, r in known.items() for i in range(len(QUARTILES))]) if known else fp.limit(0)
+    below = below.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("q"), F.col(f"`{c}|{i}`").alias("below")) for c in known for i in range(len(QUARTILES))
+    ])).alias("b")).select("b.*") if known else spark.createDataFrame([], "feature string, q int, below bigint")
+    hits = [
+        F.when(values[c].between(r["e"][2 * i], r["e"][2 * i + 1]), F.struct(F.lit(c).alias("feature"), F.lit(i).alias("q"), values[c].alias("v")))
+        for c, r in known.items() for i in range(len(QUARTILES))
+    ]
+    near = fp.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*") if hits else spark.createDataFrame([], "feature string, q int, v double")
+    counts = near.groupBy("feature", "q", "v").agg(F.count(F.lit(1)).alias("n")).join(brackets, ["feature", "q"])
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    counts = counts.withColumn("_slice", F.coalesce(F.floor((F.col("v") - F.col("low")) / width * 1023), F.lit(0)))
+    slices = counts.groupBy("feature", "q", "_slice").agg(F.sum("n").alias("_rows"))
+    ahead = Window.partitionBy("feature", "q").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("feature", "q", "_slice", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_base"))
+    upto = F.sum("n").over(Window.partitionBy("feature", "q", "_slice").orderBy("v"))
+    placed = counts.withColumn("_in", upto).join(slices, ["feature", "q", "_slice"]).join(below, ["feature", "q"])
     share = F.element_at(F.array(*[F.lit(p) for p in QUARTILES]), F.col("q") + 1)
     h = (F.col("count") - 1) * share
-    first, last = F.get("below", F.col("q")) + F.col("_last") - F.col("n"), F.get("below", F.col("q")) + F.col("_last") - 1
+    last = F.col("below") + F.col("_base") + F.col("_in") - 1
+    first = last - F.col("n") + 1
 
     def at_rank(r: Column) -> Column:
         return F.max(F.when((first <= r) & (r <= last), F.col("v")))
 
     cuts = placed.groupBy("feature", "q").agg(at_rank(F.floor(h)).alias("a"), at_rank(F.ceil(h)).alias("z"), F.max(h - F.floor(h)).alias("w"))
-    value = F.col("a") + (F.col("z") - F.col("a")) * F.col("w")
+    # A rank outside its bracket would be an error of the summary; say so instead of giving a null.
+    found = F.when(F.col("a").isNotNull() & F.col("z").isNotNull(), F.col("a") + (F.col("z") - F.col("a")) * F.col("w"))
+    value = F.coalesce(found, F.raise_error(F.lit("quartile outside its bracket")).cast("double"))
     quartiles = cuts.groupBy("feature").agg(
         *[F.round(F.max(F.when(F.col("q") == i, value)), 4).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)]
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
+from netquarry.functions.storage import materialize
 from netquarry.functions.vectors import array_of
 from netquarry.operators.ranking import ranked_by_bucket
 
@@ -27,6 +28,7 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test_share:
     ranked = ranked_by_bucket(hashed, F.shiftright("_h", 52), order, "_rank", within=[label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     placed = ranked.join(sizes, label).withColumn("_test", F.col("_rank") < F.round(F.col("_size") * test_share))
+    placed = materialize(placed, "split")  # both sides read one ranking
     extra = ("_h", "_rank", "_size", "_test")
     return placed.filter(~F.col("_test")).drop(*extra), placed.filter("_test").drop(*extra)
 

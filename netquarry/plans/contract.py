@@ -780,7 +780,7 @@ def g4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g5_timing", "SELECT campaign_id, round(T, 4) AS T FROM timing", "timing")
 def g5(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(scoring.timing_correlation(scoring.hourly_counts(S.flows(spark, sf)), members(spark, sf)), "T")
+    return rounded(scoring.timing_correlation(S.hourly(spark, sf), members(spark, sf)), "T")
 
 
 @query("g6_profile_timing", "SELECT campaign_id, round(T, 4) AS T FROM ptiming", "ptiming")

@@ -146,3 +146,9 @@ def test_stream_sample_of_nothing(spark, tmp_path):
     sampler = StreamSampler(["k"], limit=5, path=str(tmp_path / "out"))
     sampler.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).awaitTermination()
     assert sampler.result(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_log_without_header_is_reported(spark, tmp_path):
+    path = write(tmp_path / "y.conn.log.labeled", "1383426439.5\t192.0.2.8")
+    with pytest.raises(Exception, match="no #fields line"):
+        readers.read_zeek(spark, path).collect()

@@ -964,7 +964,25 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness_centrality(*graph_tables(spark, sf))
 
 
-@query("j4_betweenness_undirected")
+def _shortest_path_sql(depth: int = 8) -> str:
+    """Brandes level by level from every node, for graphs whose shortest paths have at most ``depth`` - 1 edges."""
+    parts = ["both_ways AS (SELECT src, dst FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst)",
+             "l0 AS MATERIALIZED (SELECT DISTINCT src AS s, src AS v, 1.0::DOUBLE AS sigma FROM both_ways)"]
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT s, v FROM l{i}" for i in range(k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT s, v, sigma FROM (SELECT s, dst AS v, sum(sigma) AS sigma FROM l{k - 1} JOIN both_ways ON v = src GROUP BY 1, 2) "
+                     f"ANTI JOIN ({before}) USING (s, v))")
+    parts.append(f"d{depth} AS (SELECT s, v, sigma, 0.0::DOUBLE AS delta FROM l{depth})")
+    for k in range(depth - 1, 0, -1):
+        parts.append(f"d{k} AS MATERIALIZED (SELECT l.s, l.v, l.sigma, coalesce(sum(l.sigma / w.sigma * (1 + w.delta)), 0) AS delta FROM l{k} l "
+                     f"LEFT JOIN (SELECT u.s, b.src, u.sigma, u.delta FROM d{k + 1} u JOIN both_ways b ON b.dst = u.v) w ON w.s = l.s AND w.src = l.v GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT v, delta FROM d{k}" for k in range(1, depth + 1))
+    scale = "(SELECT (count(*) - 1) * (count(*) - 2) FROM node)"
+    return (", " + ", ".join(parts) + f" SELECT id, round(coalesce(sum(delta), 0) / {scale}, 6) AS betweenness_centrality "
+            f"FROM node LEFT JOIN ({every}) ON id = v GROUP BY id")
+
+
+@query("j4_betweenness_undirected", _shortest_path_sql(), "node", "edge")
 def j4u(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness_centrality(*graph_tables(spark, sf), directed=False)
 

@@ -158,9 +158,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     chosen = materialize(chosen.select("v", "bands", *_PLANES), "minhash-chosen")
     members = chosen.select("v", F.explode("bands").alias("band"), *_PLANES)
-    bands = members.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count(F.lit(1)).alias("size"))
+    bands = members.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("top"))
     shared = materialize(
-        members.join(bands.filter("hub <> top"), "band").select("band", "v", "hub", "top", "size", *_PLANES).distinct(), "minhash-bands"
+        members.join(bands.filter("hub <> top"), "band").select("band", "v", "hub", "top", *_PLANES).distinct(), "minhash-bands"
     )
     texts = materialize(_with_texts(docs, classes, shared.select("v").distinct()), "minhash-texts")
     components = materialize(shared.select("v", F.col("v").alias("comp")).distinct(), "minhash-components")
@@ -174,11 +174,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = _merged(components, materialize(_confirm(pairs, texts), "minhash-links"))
 
     # What stars can't tell: bands that hold several components still.
-    placed = shared.select("band", "v", "size").join(components, "v")
+    placed = shared.select("band", "v").join(components, "v")
     several = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
     profiles = chosen.dropDuplicates(["v"]).join(texts, "v")
-    open_rows = placed.join(several, "band").join(profiles, "v")
-    components = _merged(components, materialize(_links_across(open_rows), "minhash-links"))
+    open_rows = materialize(placed.join(several, "band"), "minhash-open")
+    components = _merged(components, materialize(_links_across(open_rows, profiles), "minhash-links"))
 
     named = classes.join(components, "v").select("v", "comp", "doc_id")
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("first_id"))
@@ -206,13 +206,26 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(components.join(joined, "comp", "left").select("v", F.coalesce("into", "comp").alias("comp")), "minhash-components")
 
 
-def _links_across(open_rows: DataFrame) -> DataFrame:
-    """Links of one band between different components; large bands meet block by block."""
-    blocked = open_rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    met = blocked.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    columns = ["band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "comp", "bands", *_PLANES, "text"]
-    return met.select(*columns).groupBy("band", "i", "j").applyInArrow(_band_links, "a bigint, b bigint")
+def _links_across(open_rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Links of one band between different components, found block against block.
+
+    Members of a band's largest component need not meet each other, so its blocks
+    meet only those of the others: a large group with a few strangers in its band
+    costs rows linear in the group.
+    """
+    per_component = open_rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = per_component.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("total"))
+    plan = largest.select(
+        "band", F.col("most.comp").alias("major"), F.ceil((F.col("total") - F.col("most.n")) / BLOCK).cast("int").alias("others"),
+        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("majors"),
+    )
+    rows = open_rows.join(plan, "band").withColumn("is_major", F.col("comp") == F.col("major"))
+    slot = F.xxhash64("v")
+    block = F.when(F.col("is_major"), F.col("others") + F.pmod(slot, F.col("majors"))).otherwise(F.pmod(slot, F.col("others"))).cast("int")
+    last = F.when(F.col("is_major"), F.col("others")).otherwise(F.col("others") + F.col("majors")) - 1
+    met = rows.withColumn("block", block).select("band", "v", "comp", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "comp")
+    return met.join(profiles, "v").groupBy("band", "i", "j").applyInArrow(_band_links, "a bigint, b bigint")
 
 
 def _band_links(rows: pa.Table) -> pa.Table:

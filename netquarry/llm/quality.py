@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.functions.storage import materialize
-from netquarry.llm.text import WordHashes, pieces, text_key, utf8, window_hashes, without
+from netquarry.llm.text import WordHashes, pieces, text_key, utf8, window_hashes
 
 SAMPLE_DOCS = 2000  # labelled documents the field is fitted on
 SAMPLE_LINES = 60  # lines of a chain in fitting; longer documents count as several chains
@@ -194,19 +193,22 @@ def train(docs: DataFrame, labels: DataFrame) -> LineField:
     return fit_field(chains)
 
 
+def _verdict(text: bytes, field: LineField, hashes: WordHashes) -> tuple:
+    """Base counts, base_failed, content share and kept of one text."""
+    lines = read_lines(text)
+    h = hashes.of(text.split())
+    repeats = repeated_words(h)
+    failed = len(h) < 50 or 100 * repeats > 50 * len(h)
+    content = int(lines.words[field.labels(lines.features) == 1].sum())
+    share = content / len(h) if len(h) else 0.0
+    return len(h), lines.word_chars, lines.n_symbols, lines.n_dup_lines, repeats, failed, share, not failed and share >= MIN_CONTENT
+
+
 def _judged(field: LineField):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches, 1000):
-            rows = []
-            for text in utf8(batch.column("text")):
-                lines = read_lines(text)
-                h = hashes.of(text.split())
-                repeats = repeated_words(h)
-                failed = len(h) < 50 or 100 * repeats > 50 * len(h)
-                content = int(lines.words[field.labels(lines.features) == 1].sum())
-                share = content / len(h) if len(h) else 0.0
-                rows.append((len(h), lines.word_chars, lines.n_symbols, lines.n_dup_lines, repeats, failed, share, not failed and share >= MIN_CONTENT))
+            rows = [_verdict(text, field, hashes) for text in utf8(batch.column("text"))]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(
@@ -239,6 +241,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are kept; columns unchanged."""
-    rejected = judge(docs, labels).filter(~F.col("kept")).select("doc_id", "text_key")
-    return without(docs, materialize(rejected, "rejected"))
+    """Rows of ``docs`` that are kept; columns unchanged. Rows are dropped where they are read, without a join."""
+    field = train(docs, labels)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches, 1000):
+            yield batch.filter(pa.array([_verdict(text, field, hashes)[-1] for text in utf8(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -62,7 +62,9 @@ def test_quality(spark, odd_docs, odd_rows, no_docs):
     odd = quality.judge(odd_docs, labels.limit(0)).collect()
     assert sorted((tuple(r[c] for c in names) for r in odd)) == sorted(base_counts(r[1]) for r in odd_rows)
     assert quality.judge(no_docs, labels.limit(0)).count() == 0
-    assert quality.keep_good(docs, labels).count() == 40 and quality.keep_good(odd_docs, labels).columns == odd_docs.columns
+    assert quality.keep_good(docs, labels).count() == 40
+    left = quality.keep_good(odd_docs, labels)
+    assert left.schema == odd_docs.schema and left.count() == sum(r["kept"] for r in quality.judge(odd_docs, labels).collect())
 
 
 def test_viterbi_is_the_best_path():
@@ -197,6 +199,7 @@ def test_contamination(spark, odd_docs, no_docs):
     left = decontaminate.drop_contaminated(docs, bench)
     assert left.count() == 60 and left.columns == docs.columns
     assert decontaminate.contaminated(odd_docs, bench).count() == 0
+    assert decontaminate.drop_contaminated(odd_docs, bench).count() == odd_docs.count()
     assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 

@@ -64,14 +64,15 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(out, _NOISE, " "), "\n", -1), lambda line: F.trim(line))
 
 
-def digests(lines: Column) -> Column:
-    """(unit, digest) of a text's canonical lines: unit -1 is the whole text, from 0 on a line."""
-    filled = F.array_remove(lines, "")
-    whole = F.struct(F.lit(-1).alias("unit"), F.md5(F.array_join(filled, " ").cast("binary")).alias("digest"))
-    each = F.transform(lines, lambda line, i: F.struct(i.alias("unit"), F.md5(line.cast("binary")).alias("digest")))
-    # A text of one filled line is that line; only the line is reported.
-    some = F.filter(F.arrays_zip(each.alias("each"), lines.alias("line")), lambda z: z["line"] != "")
-    return F.when(F.size(filled) > 1, F.concat(F.array(whole), F.transform(some, lambda z: z["each"]))).otherwise(F.transform(some, lambda z: z["each"]))
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, unit, digest): unit -1 is a whole text of several filled lines, from 0 on a line."""
+    # The canonical lines are a column of their own, so that they are made once a document.
+    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    # The whole text takes the place before the first line, empty where it is but one line.
+    filled = F.array_remove("lines", "")
+    whole = F.when(F.size(filled) > 1, F.array_join(filled, " ")).otherwise(F.lit(""))
+    each = lines.select("doc_id", F.posexplode(F.array_prepend("lines", whole)).alias("at", "line")).filter("line <> ''")
+    return each.select("doc_id", (F.col("at") - 1).alias("unit"), F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -93,8 +94,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         listed = F.broadcast(known_digests(docs.sparkSession.createDataFrame(KNOWN, "license string, text string")))
     else:
         listed = known_digests(known)
-    units = docs.select("doc_id", F.explode(digests(canonical_lines(F.col("text")))).alias("u")).select("doc_id", "u.unit", "u.digest")
-    return units.join(listed, "digest").select("doc_id", "unit", "license")
+    return units(docs).join(listed, "digest").select("doc_id", "unit", "license")
 
 
 def _quoted(text: str) -> str:

@@ -203,6 +203,23 @@ def test_contamination(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_space_holds_every_item(spark):
+    """More items than a fixed small rank could hold, and texts of the same words that are no items."""
+    draw, known = random.Random(21), words(random.Random(22), 900)
+    items = [(k, " ".join(draw.choices(known, k=34)).capitalize() + ".") for k in range(300)]
+    rows = [(k, " ".join(draw.choices(known, k=40) + (items[k][1].split() if k < 300 else []) + draw.choices(known, k=40)), "en", "s", 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    block = decontaminate.items_of(items)
+    idf = decontaminate.inverse_frequencies(docs, block)
+    space = decontaminate.latent_space(block, idf)
+    for found in block.words:
+        row = np.bincount([block.vocabulary[w] for w in found], minlength=len(idf)) * idf
+        assert np.linalg.norm(row @ space) == pytest.approx(np.linalg.norm(row), rel=1e-3)
+    bench = spark.createDataFrame([*items, (300, items[0][1])], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, k) for k in range(300)} | {(0, 300)}
+
+
 def test_common_subsequence():
     draw = random.Random(1)
     for _ in range(200):

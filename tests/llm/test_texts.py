@@ -220,6 +220,38 @@ def test_space_holds_every_item(spark):
     assert got == {(k, k) for k in range(300)} | {(0, 300)}
 
 
+def test_search_equals_brute_force_at_any_number_of_documents():
+    """Short and long, verbatim and reworded items among foreign words, weights as of few and of many documents."""
+    draw, common = random.Random(31), words(random.Random(32), 60)
+    items = decontaminate.items_of([(k, " ".join(draw.choices(common, k=n // 2) + words(draw, n - n // 2)) + ".") for k, n in enumerate([5, 8, 9, 12, 15, 18, 25, 40, 70, 120] * 3)])
+    texts = []
+    for k in range(150):
+        w = [f"foreign{draw.randrange(10**6)}" if draw.random() < 0.7 else draw.choice(common) for _ in range(draw.randint(0, 200))]
+        copy = [x.decode() for x in items.words[k % 30]]
+        for _ in range(0 if k < 60 else draw.randrange(len(copy) // 2 + 1)):
+            copy[draw.randrange(len(copy))] = "other"
+        w[(at := draw.randint(0, len(w))) : at] = copy
+        texts.append(" ".join(w).encode())
+    want = []
+    for text in texts:
+        w, hits = decontaminate.plain_words(text), set()
+        for q, (item, answer) in enumerate(zip(items.words, items.answers)):
+            for start in range(0, max(1, len(w) - 16), 16):
+                around = w[max(0, start - len(item)) : start + 32 + len(item)]
+                if decontaminate.common_subsequence(item, around) >= 0.6 * len(item) and decontaminate.common_subsequence(answer, around) >= 0.5 * len(answer):
+                    hits.add(q)
+        want.append(hits)
+    assert all(k % 30 in hits for k, hits in enumerate(want[:60]))
+    df = np.zeros(len(items.vocabulary) + 1)
+    for text in texts:
+        df[np.unique(decontaminate.features_of(decontaminate.plain_words(text), items.vocabulary))] += 1
+    df[0] = 0
+    for more in (1, 10**6):
+        idf = np.log((len(texts) * more + 1) / (df * more + 1)) + 0.01
+        search = decontaminate.Search(items, idf, decontaminate.latent_space(items, idf))
+        assert [set(search.found(text)) for text in texts] == want
+
+
 def test_common_subsequence():
     draw = random.Random(1)
     for _ in range(200):

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 from array import array
 
@@ -367,3 +368,41 @@ def test_licences(spark, odd_docs, no_docs):
     own = spark.createDataFrame([("own", "one two")], "license string, text string")
     assert {(r["doc_id"], r["unit"]) for r in licenses.scan(odd_docs, own).collect()} == {(7, 0), (8, 0)}
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(odd_docs, own.limit(0)).count() == 0
+
+
+def test_whole_licences_and_runs_of_lines(spark):
+    full = licenses.full_texts()
+    rows, want = [], set()
+    for license in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        body, titled = [t for k, t in full if k == license][:2]
+        wrapped = "\n".join(textwrap.fill(p, 78) for p in body.split("\n"))
+        narrow = textwrap.fill(body, 40)
+        n = len(rows)
+        # Alone, with title and copyright line, and inside a longer text.
+        rows += [(n, narrow), (n + 1, titled.split("\n")[0] + "\n\nCopyright (c) 2020 Someone\n\n" + wrapped), (n + 2, "before it\n\n" + wrapped + "\nafter it")]
+        want |= {(n, -1, license), (n + 1, -1, license), (n + 1, 4, license), (n + 2, 2, license)}
+    for license in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        text = next(t for k, t in full if k == license)
+        rows.append((100 + len(rows), text))
+        want.add((rows[-1][0], -1, license))
+        rows.append((100 + len(rows), "before it\n" + text + "\nafter it"))
+        want.add((rows[-1][0], 1 + next(i for i, line in enumerate(text.split("\n")) if line.strip()), license))
+    notice = [(300, "x\nThis work is licensed under the\nGNU General Public\n\nLicense, version 3.\ny"), (301, "x\nThis work is licensed under the\nGNU General Public License, version 3. y"), (302, "All\nrights reserved.")]
+    want |= {(300, 1, "GPL-3.0"), (302, -1, "proprietary")}
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows + notice, "doc_id bigint, text string")).collect()]
+    assert want <= set(got) and len(got) == len(set(got))
+    assert {r for r in got if r[0] < 100 or r[0] >= 300} == want - {r for r in want if 100 <= r[0] < 300}
+    # Against brute force over every run of lines.
+    draw = random.Random(41)
+    known = [("a", "u v"), ("b", "u v w"), ("c", "v\nw u v"), ("d", "w"), ("e", "u u u u u")]
+    docs = [(k, "".join(draw.choice(("u", "v", "w", "x", " ", " ", "\n", "\n")) for _ in range(draw.randint(0, 24)))) for k in range(300)]
+    texts, want = {" ".join(t.split()): k for k, t in known}, set()
+    for k, text in docs:
+        filled = [(i, " ".join(line.split())) for i, line in enumerate(text.split("\n")) if line.strip()]
+        for i in range(len(filled)):
+            for j in range(i, len(filled)):
+                run = " ".join(x for _, x in filled[i : j + 1])
+                if run in texts:
+                    want.add((k, -1 if j - i + 1 == len(filled) > 1 else filled[i][0], texts[run]))
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(known, "license string, text string")).collect()]
+    assert sorted(got) == sorted(want)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, htmlblocks, licenses, linededup, minhash, packing, pii, quality, rollups, substrings
+from netquarry.llm import bpe, centroids, decontaminate, htmlblocks, licenses, linededup, minhash, packing, pii, quality, rollups, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,3 +80,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clustering", centroids.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).assigned()
+
+
+@query("op12_bpe_coding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, centroids, decontaminate, htmlblocks, licenses, linededup, minhash, packing, pii, quality, rollups, substrings
+from netquarry.llm import bpe, centroids, decontaminate, htmlblocks, licenses, linededup, minhash, packing, pii, quality, rollups, spelling, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe_coding")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+@query("op13_spelling_variants", spelling.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

@@ -58,4 +58,4 @@ def test_stages(spark):
 def test_registered():
     names = contract.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.CHECKS) <= set(contract.oracle_sql())
-    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 14))

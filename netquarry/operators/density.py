@@ -1,17 +1,24 @@
-"""Density clustering on a grid of the leading components."""
+"""Hierarchical density clustering in the full feature space, and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import product
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT
 from netquarry.functions.storage import materialize
 from netquarry.operators.ranking import ranked_by_bucket
 
+STEPS = 128  # grid steps of the radius; vectors are rounded to the grid
+CROWD = 1500  # points of a bucket that one task compares at once
+_AXES = 8  # random directions along which crowded buckets are split
+_SIDE = 4  # width of a split's cells, in radii
+_LEVEL_BITS = 5  # a (point, level) vertex is one bigint
+
 
 def connected_components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest reachable vertex id per vertex (v, comp).
@@ -39,40 +46,249 @@ def connected_components(vertices: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def squared_radii(levels: int) -> list[int]:
+    """Squared radius of each level in grid steps: doubling up to the whole radius."""
+    return [STEPS * STEPS >> (levels - k) for k in range(1, levels + 1)]
+
+
+def persistence(levels: int) -> list[int]:
+    """What a point adds to its cluster's stability at each level: the step of 1/distance up to the next level, in millionths."""
+    inverse = [round(1e6 / np.sqrt(t)) for t in [*squared_radii(levels), 2 * STEPS * STEPS]]
+    return [a - b for a, b in zip(inverse, inverse[1:])]
+
+
+def _split(members: DataFrame, directions: np.ndarray, first: int) -> DataFrame:
+    """Members of crowded buckets, dealt to the cells of further directions.
+
+    A point within the radius of a cell's border is copied across it, so every
+    neighbour of a point is found in the point's own (home) bucket.
+    """
+    side = _SIDE * STEPS
+    for i, direction in enumerate(directions, first):
+        along = sum((F.col("q")[j] * float(c) for j, c in enumerate(direction)), F.lit(0.0))
+        cell = F.floor(F.col("_along") / side)
+        inside = F.col("_along") - cell * side
+        reach = STEPS * 1.0001  # a little beyond the radius, for rounding of the projection
+        copies = F.array(
+            F.struct(cell.alias("cell"), F.lit(True).alias("own")),
+            F.when(inside <= reach, F.struct((cell - 1).alias("cell"), F.lit(False).alias("own"))),
+            F.when(side - inside <= reach, F.struct((cell + 1).alias("cell"), F.lit(False).alias("own"))),
+        )
+        dealt = members.withColumn("_along", along).select("id", "q", "bucket", "home", F.explode(F.array_compact(copies)).alias("c"))
+        members = dealt.select("id", "q", F.xxhash64("bucket", F.lit(i), "c.cell").alias("bucket"), (F.col("home") & F.col("c.own")).alias("home"))
+    return members
+
+
+def _buckets(folded: DataFrame, dims: int, crowd: int, seed: int) -> DataFrame:
+    """id, q, home, bucket, lo, hi, chunk: points grouped so that each point meets all its neighbours in its home bucket.
+
+    Buckets still crowded after all directions are compared chunk by chunk: the
+    group (bucket, lo, hi) holds two chunks, or one if they are equal.
+    """
+    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
+    members = folded.select("id", "q", F.lit(0).cast("bigint").alias("bucket"), F.lit(True).alias("home"))
+    at = 0
+    while True:
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("own")).filter("own > 0")
+        sizes = materialize(sizes.select("bucket", "n"), "bucket-sizes")
+        if at >= min(_AXES, dims) or sizes.filter(F.col("n") > crowd).isEmpty():
+            break
+        sized = members.join(sizes, "bucket")
+        kept, crowded = (sized.filter(c).drop("n") for c in (F.col("n") <= crowd, F.col("n") > crowd))
+        more = rotation[at : min(at + 2, dims)]
+        members = materialize(kept.select("id", "q", "bucket", "home").unionByName(_split(crowded, more, at)), "bucket-members")
+        at += len(more)
+    chunks = F.ceil(F.col("n") / crowd).cast("int")
+    placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return met.select("id", "q", "home", "bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk")
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(float)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row numbers of the two chunks a group compares, and whether they are one."""
+    lo, hi, chunk = (table.column(c).to_numpy() for c in ("lo", "hi", "chunk"))
+    one = lo[0] == hi[0]
+    rows = np.arange(len(chunk))
+    return (rows, rows, True) if one else (rows[chunk == lo], rows[chunk == hi], False)
+
+
+def _levels_between(a: np.ndarray, b: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Level (from 1) at which each pair is within the radius; one beyond the last for pairs that never are."""
+    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a @ b.T)  # whole numbers, exact
+    return (np.searchsorted(radii, squared.ravel(), side="left") + 1).astype(np.int8).reshape(squared.shape)
+
+
+def _neighbour_counts(radii: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Per home point of a group: weight of its neighbours in the group within each level's radius."""
+    levels = len(radii)
+
+    def run(table: pa.Table) -> pa.Table:
+        q, weight, home, ids = _matrix(table), table.column("w").to_numpy().astype(float), table.column("home").to_numpy(), table.column("id")
+        left, right, one = _sides(table)
+        found, rows = [], []
+        for a, b in [(left, right)] if one else [(left, right), (right, left)]:
+            a = a[home[a]]
+            for start in range(0, len(a), 256):
+                part = a[start : start + 256]
+                level = _levels_between(q[part], q[b], radii)
+                if one:
+                    level[np.arange(len(part)), part] = levels + 1
+                flat = np.arange(len(part))[:, None] * (levels + 2) + level
+                counted = np.bincount(flat.ravel(), np.tile(weight[b], len(part)), len(part) * (levels + 2)).reshape(len(part), -1)
+                found.append(counted[:, 1 : levels + 1].cumsum(axis=1).astype(np.int64))
+                rows.append(part)
+        counts = np.concatenate(found) if found else np.empty((0, levels), np.int64)
+        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        return pa.Table.from_arrays([ids.take(pa.array(at)), *(pa.array(c) for c in counts.T)], ["id", *(f"n{k}" for k in range(1, levels + 1))])
+
+    return run
+
+
+def spanning_forest(level: np.ndarray, levels: int) -> list[tuple[int, int, int]]:
+    """Minimum spanning forest (a, b, level) of a symmetric matrix of levels, without the pairs beyond the last."""
+    n = len(level)
+    best, parent, out = np.full(n, levels + 1, np.int8), np.full(n, -1), []
+    open_ = np.ones(n, bool)
+    at = 0
+    for _ in range(n):
+        open_[at] = False
+        closer = open_ & (level[at] < best)
+        best[closer], parent[closer] = level[at][closer], at
+        if not open_.any():
+            break
+        at = int(np.where(open_, best, levels + 2).argmin())
+        if best[at] <= levels:
+            out.append((int(parent[at]), at, int(best[at])))
+    return out
+
+
+def _links(radii: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Spanning forest of a group under mutual reachability, which connects what all its pairs connect at every level."""
+    levels = len(radii)
+
+    def run(table: pa.Table) -> pa.Table:
+        q, core, ids = _matrix(table), table.column("core").to_numpy().astype(np.int8), table.column("id").to_numpy()
+        left, right, one = _sides(table)
+        between = np.maximum(_levels_between(q[left], q[right], radii), np.maximum(core[left][:, None], core[right]))
+        if one:
+            level = between
+        else:
+            level = np.full((len(q), len(q)), levels + 1, np.int8)
+            level[np.ix_(left, right)] = between
+            level[np.ix_(right, left)] = between.T
+        edges = np.array(spanning_forest(level, levels), np.int64).reshape(-1, 3)
+        return pa.Table.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]]), pa.array(edges[:, 2])], ["a", "b", "level"])
+
+    return run
+
+
+def _vertex(point: str, level: str) -> Column:
+    return F.shiftleft(point, _LEVEL_BITS) + F.col(level)
+
+
+def _selected(nodes: DataFrame, levels: int) -> DataFrame:
+    """Components (comp, level) chosen as clusters: the most stable ones, none inside another.
+
+    ``nodes``: comp, level, parent, size of components that are large enough. A
+    component goes on in its parent's if it is the only one there; where several
+    meet, the parent is a new cluster. From the smallest radius up, a cluster's own
+    stability is held against the best of what it is made of.
+    """
+    gain = persistence(levels)
+    states, below = [], None
+    for level in range(1, levels + 1):
+        state = nodes.filter(F.col("level") == level)
+        own = F.col("size") * gain[level - 1]
+        if below is None:
+            state = state.select("comp", "level", "parent", F.lit(0).cast("bigint").alias("parts"), own.alias("chain"), F.lit(None).cast("bigint").alias("inner"))
+        else:
+            parts = below.groupBy(F.col("parent").alias("comp")).agg(
+                F.count(F.lit(1)).alias("parts"), F.max("chain").alias("on"), F.max("inner").alias("inside"),
+                F.sum(F.greatest("chain", F.coalesce("inner", "chain"))).alias("best"),
+            )
+            one = F.col("parts") == 1
+            state = state.join(parts, "comp", "left").select(
+                "comp", "level", "parent", F.coalesce("parts", F.lit(0).cast("bigint")).alias("parts"),
+                (own + F.when(one, F.col("on")).otherwise(0)).alias("chain"),
+                F.when(one, F.col("inside")).otherwise(F.col("best")).alias("inner"),
+            )
+        below = materialize(state, "density-level")
+        states.append(below)
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    above = every.select(F.col("comp").alias("parent"), (F.col("parts") > 1).alias("splits"))
+    tops = every.join(above, "parent", "left").filter(F.coalesce("splits", F.lit(True)))
+    return tops.filter(F.col("chain") >= F.coalesce("inner", "chain")).select("comp", "level")
+
+
 def density_clusters(
-    points: DataFrame, axes: Sequence[str], key: Sequence[str], cell_size: float = 0.5,
+    points: DataFrame, key: Sequence[str], features: str = "features", radius: float = 2.0, levels: int = 12,
     min_cluster_size: int = DEFAULT.min_cluster_size, min_samples: int = DEFAULT.min_samples,
-    out: str = "campaign_id",
+    out: str = "campaign_id", crowd: int = CROWD, seed: int = DEFAULT.seed,
 ) -> DataFrame:
-    """Dense-cell clusters; points of no cluster become clusters of one.
+    """Hierarchical density clusters of whole vectors; points of no cluster become clusters of one.
+
+    Vectors are rounded to a grid of ``radius / 128`` and equal ones fold into one
+    weighted point, so a crowded spot is one row. ``levels`` radii, each the root of
+    two times the one before, end at ``radius``. A point is core from the level where
+    ``min_samples`` others lie within its radius; two core points are connected from
+    the level where both are core and each within the other's radius (mutual
+    reachability, rounded up to a level). Components of at least ``min_cluster_size``
+    points at some level form the hierarchy, out of which the most stable clusters
+    are selected; a cluster holds all points connected to it where it begins.
 
-    Points are folded into grid cells at once, so a crowded spot is one row and
-    no pair of points is formed. Cells with ``min_samples`` points are dense;
-    touching dense cells join; groups under ``min_cluster_size`` points dissolve.
-    Use few axes (two or three components): each cell meets 3^axes neighbours.
+    Neighbours meet in cells along random directions with points near a border
+    copied across it; a task compares at most two chunks of ``crowd`` points and
+    passes on counts per point and a spanning forest, never pairs. The components of
+    all levels are found together. Vectors are finite and of one length.
     """
-    cell = [F.floor(F.col(a) / cell_size).cast("bigint").alias(f"_c{i}") for i, a in enumerate(axes)]
-    names = [f"_c{i}" for i in range(len(axes))]
-    placed = points.select("*", *cell)
-    cells = materialize(placed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "cells")
-    v = F.concat_ws("_", *names)
-    dense = cells.filter(F.col("_n") >= min_samples).select(*names, "_n", v.alias("v"))
-    shifts = [s for s in product((-1, 0, 1), repeat=len(axes)) if s > (0,) * len(axes)]
-    near = F.array(*[F.struct(*[(F.col(n) + d).alias(n) for n, d in zip(names, s)]) for s in shifts])
-    touching = dense.select(F.col("v").alias("a"), F.explode(near).alias("t")).select("a", "t.*")
-    links = touching.join(dense.select(*names, F.col("v").alias("b")), names).select("a", "b")
-    comps = connected_components(dense.select("v"), links)
-    sized = dense.join(comps, "v").groupBy("comp").agg(F.sum("_n").alias("_size")).filter(F.col("_size") >= min_cluster_size)
-    numbered = ranked_by_bucket(sized, F.pmod(F.xxhash64("comp"), F.lit(1024)), [F.asc("comp")], "_id")
-    kept = materialize(
-        dense.join(comps, "v").join(numbered.select("comp", "_id"), "comp").select(*names, F.col("_id")), "kept"
-    )
-    found = placed.join(kept, names, "left")
-    clustered = found.filter(F.col("_id").isNotNull()).drop(*names)
-    noise = found.filter(F.col("_id").isNull()).drop(*names, "_id")
+    grid = F.transform(features, lambda x: F.floor(x * (STEPS / radius) + 0.5).cast("int"))
+    placed = points.withColumn("_q", grid)
+    first = placed.select(F.size("_q")).first()
+    if first is None:
+        return points.withColumn(out, F.lit(None).cast("bigint"))
+    radii = np.array(squared_radii(levels), float)
+    folded = placed.groupBy(F.col("_q").alias("q")).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
+    folded = materialize(folded, "density-points")
+    groups = materialize(_buckets(folded, first[0], crowd, seed), "density-groups")
+    group = ["bucket", "lo", "hi"]
+
+    weighted = groups.join(folded.select("id", "w"), "id")
+    names = [f"n{k}" for k in range(1, levels + 1)]
+    counts = weighted.groupBy(*group).applyInArrow(_neighbour_counts(radii), "id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    totals = counts.groupBy("id").agg(*[F.sum(n).alias(n) for n in names])
+    others = folded.select("id", "w").join(totals, "id")
+    core = F.coalesce(*[F.when(F.col(n) + F.col("w") - 1 >= min_samples, k) for k, n in enumerate(names, 1)])
+    cores = materialize(others.select("id", "w", core.alias("core")).filter("core IS NOT NULL"), "density-cores")
+
+    reachable = groups.join(cores.select("id", "core"), "id").groupBy(*group).applyInArrow(_links(radii), "a bigint, b bigint, level bigint")
+    every = F.explode(F.sequence(F.col("level"), F.lit(levels).cast("bigint"))).alias("level")
+    links = reachable.select("a", "b", every).select(_vertex("a", "level").alias("a"), _vertex("b", "level").alias("b"))
+    vertices = cores.select("id", F.explode(F.sequence("core", F.lit(levels))).alias("level")).select(_vertex("id", "level").alias("v"))
+    labels = connected_components(vertices, links)
+
+    weights = cores.select("id", "w")
+    sizes = labels.withColumn("id", F.shiftright("v", _LEVEL_BITS)).join(weights, "id").groupBy("comp").agg(F.sum("w").alias("size"))
+    above = labels.select((F.col("v") - 1).alias("comp"), F.col("comp").alias("parent"))
+    # A component's label is one of its vertices, whose next level is the vertex after it.
+    nodes = sizes.filter(F.col("size") >= min_cluster_size).withColumn("level", F.col("comp").bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1)))
+    nodes = nodes.join(above, "comp", "left").select("comp", "level", F.when(F.col("level") < levels, F.col("parent")).alias("parent"), "size")
+    chosen = _selected(materialize(nodes, "density-nodes"), levels)
+
+    widest = labels.join(chosen, "comp").groupBy(F.shiftright("v", _LEVEL_BITS).alias("id")).agg(F.max(F.struct("level", "comp")).alias("c"))
+    owners = materialize(widest.select("id", F.col("c.comp").alias("comp")), "density-owners")
+    numbered = ranked_by_bucket(owners.select("comp").distinct(), F.pmod(F.xxhash64("comp"), F.lit(1024)), [F.asc("comp")], "_id")
+    numbered = materialize(numbered, "density-numbers")
+    kept = folded.join(owners, "id").join(numbered, "comp").select(F.col("q").alias("_q"), "_id")
+    found = placed.join(materialize(kept, "density-kept"), "_q", "left").drop("_q")
+    clustered, noise = found.filter(F.col("_id").isNotNull()), found.filter(F.col("_id").isNull()).drop("_id")
     h = F.xxhash64(*[F.col(c) for c in key])
     start = numbered.agg(F.coalesce(F.max("_id") + 1, F.lit(0))).scalar()
     singles = ranked_by_bucket(noise, F.pmod(h, F.lit(4096)), [F.col(c) for c in key], "_r").withColumn("_start", start)
     singles = singles.withColumn("_id", F.col("_start") + F.col("_r")).drop("_start", "_r")
     return clustered.unionByName(singles).withColumnRenamed("_id", out)
-

@@ -63,10 +63,9 @@ def assign_campaigns(fp: DataFrame, cfg: EngineConfig = DEFAULT, k: int | None =
     extra = [c for c in names if c.startswith("ds_")]
     curve = None
     if cfg.cluster_method == "density":
-        axes, _ = models.project_2d(points, dims=len(names))
         found = density.density_clusters(
-            axes, ["pc1", "pc2"], FINGERPRINT_KEY, min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples
-        ).drop("pc1", "pc2")
+            points, FINGERPRINT_KEY, min_cluster_size=cfg.min_cluster_size, min_samples=cfg.min_samples
+        )
     elif k is None:
         curve, k, fitted = clustering.sweep_k(points, cfg)
         model = fitted.get(k)

@@ -117,18 +117,102 @@ def test_standardize(spark):
     assert z[:, 0] == pytest.approx((a - a.mean()) / a.std()) and list(z[:, 1]) == [0, 0, 0]
 
 
-def test_density_clusters_and_noise(spark):
-    df = blobs(spark, [(0, 0), (10, 10)], 60, spread=0.4).select("id", "blob", F.col("features")[0].alias("pc1"), F.col("features")[1].alias("pc2"))
-    far = spark.createDataFrame([(1000, 7, 50.0, 50.0), (1001, 8, -50.0, 0.0)], df.schema)
-    got = density.density_clusters(df.unionByName(far), ["pc1", "pc2"], ["id"], cell_size=1.0).collect()
-    assert len(got) == 122 and len({r["id"] for r in got}) == 122
-    main = {b: {r["campaign_id"] for r in got if r["blob"] == b} for b in (0, 1, 7, 8)}
-    assert len(main[7]) == len(main[8]) == 1 and not main[7] & main[8]
-    for b in (0, 1):
-        sizes = [sum(r["campaign_id"] == c for r in got) for c in main[b]]
-        assert max(sizes) > 50
-    ids = sorted({r["campaign_id"] for r in got})
-    assert ids == list(range(len(ids)))
+def brute_density(x, radius, levels, min_cluster_size, min_samples):
+    """Label per row (-1: noise) by the definition, on all pairs: components per level, then the most stable clusters."""
+    q = np.floor(np.asarray(x) * (density.STEPS / radius) + 0.5)
+    d = ((q[:, None] - q[None]) ** 2).sum(-1)
+    radii, gain = density.squared_radii(levels), density.persistence(levels)
+    core = [int(np.searchsorted(radii, np.sort(np.delete(d[i], i))[min_samples - 1])) + 1 if len(x) > min_samples else levels + 1 for i in range(len(x))]
+    comps = []
+    for level in range(1, levels + 1):
+        left, found = {i for i in range(len(x)) if core[i] <= level}, []
+        while left:
+            group, todo = set(), [left.pop()]
+            while todo:
+                i = todo.pop()
+                group.add(i)
+                near = [j for j in left if d[i, j] <= radii[level - 1]]
+                left.difference_update(near)
+                todo += near
+            if len(group) >= min_cluster_size:
+                found.append(frozenset(group))
+        comps.append(found)
+
+    def best(group, level):
+        """Own stability of the cluster that ends in this component, the best of its parts (None without), clusters of the parts."""
+        parts = [c for c in comps[level - 2] if c <= group] if level > 1 else []
+        own = len(group) * gain[level - 1]
+        if len(parts) == 1:
+            chain, inner, inside = best(parts[0], level - 1)
+            return chain + own, inner, inside
+        if not parts:
+            return own, None, []
+        done = [(p, best(p, level - 1)) for p in parts]
+        value = sum(chain if inner is None or chain >= inner else inner for _, (chain, inner, _) in done)
+        return own, value, [c for p, (chain, inner, inside) in done for c in ([p] if inner is None or chain >= inner else inside)]
+
+    labels = np.full(len(x), -1)
+    for top in comps[-1]:
+        chain, inner, inside = best(top, levels)
+        for c in [top] if inner is None or chain >= inner else inside:
+            labels[list(c)] = min(c)
+    return labels
+
+
+def same_partition(got, want):
+    """Equal up to numbering; noise is a cluster of one."""
+    groups = {}
+    for g, w in zip(got, want):
+        groups.setdefault(g, set()).add(int(w))
+    sizes = {g: sum(x == g for x in got) for g in groups}
+    firsts = [next(iter(w)) for g, w in groups.items() if w != {-1}]
+    return all(len(w) == 1 and (w != {-1} or sizes[g] == 1) for g, w in groups.items()) and len(set(firsts)) == len(firsts)
+
+
+@pytest.mark.parametrize("crowd", [20, 400])
+def test_density_equals_brute_force(spark, crowd):
+    rng = np.random.default_rng(8)
+    parts = [rng.normal(c, s, (n, 5)) for c, s, n in (((0,) * 5, 0.3, 120), ((2.5, 0, 0, 0, 0), 0.15, 80), ((3.4, 0, 0, 0, 0), 0.1, 40), ((9, 9, 0, 0, 0), 0.8, 60))]
+    line = np.zeros((30, 5))
+    line[:, 1] = np.linspace(-9, -4, 30)
+    x = np.vstack([*parts, line, rng.uniform(-15, 15, (40, 5)), np.tile([20.0, 0, 0, 0, 0], (25, 1)), np.tile([21.0, 0, 0, 0, 0], (4, 1))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>").repartition(4)
+    for kwargs in ({"radius": 2.0, "levels": 12}, {"radius": 1.0, "levels": 4, "min_cluster_size": 10, "min_samples": 5}):
+        got = [r["campaign_id"] for r in density.density_clusters(df, ["id"], crowd=crowd, **kwargs).orderBy("id").collect()]
+        want = brute_density(x, kwargs["radius"], kwargs["levels"], kwargs.get("min_cluster_size", 5), kwargs.get("min_samples", 3))
+        assert len(set(want)) > 4 and -1 in want
+        assert same_partition(got, want) and sorted(set(got)) == list(range(len(set(got))))
+
+
+def test_density_on_2000_rows(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 3, (12, 22))
+    x = np.vstack([rng.normal(c, rng.uniform(0.05, 0.6), (150, 22)) for c in centres] + [rng.normal(0, 4, (200, 22))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>")
+    got = [r["campaign_id"] for r in density.density_clusters(df, ["id"], crowd=300).orderBy("id").collect()]
+    assert same_partition(got, brute_density(x, 2.0, 12, 5, 3))
+
+
+def test_density_of_few_points(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [5.0, 5.0])], "id bigint, features array<double>")
+    assert sorted(r["campaign_id"] for r in density.density_clusters(df, ["id"]).collect()) == [0, 1, 2]
+    assert density.density_clusters(df.filter("id < 0"), ["id"]).count() == 0
+
+
+def test_spanning_forest_connects_every_level():
+    rng = np.random.default_rng(3)
+    level = np.triu(rng.integers(1, 6, (30, 30)), 1).astype(np.int8)
+    level = level + level.T + np.eye(30, dtype=np.int8) * 9
+
+    def parts(edges):
+        comp = list(range(30))
+        for a, b in edges:
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+        return [[comp[i] == comp[j] for j in range(30)] for i in range(30)]
+
+    forest = density.spanning_forest(level, 4)
+    for k in range(1, 5):
+        assert parts([(a, b) for a, b, w in forest if w <= k]) == parts(np.argwhere(level <= k).tolist())
 
 
 def test_connected_components_chain(spark):

@@ -15,8 +15,7 @@ from netquarry.operators.ranking import ranked_by_bucket
 
 STEPS = 128  # grid steps of the radius; vectors are rounded to the grid
 CROWD = 1500  # points of a bucket that one task compares at once
-_AXES = 8  # random directions along which crowded buckets are split
-_SIDE = 4  # width of a split's cells, in radii
+_WORTHWHILE = 0.8  # a split must leave at most this share of a bucket's points on either side
 _LEVEL_BITS = 5  # a (point, level) vertex is one bigint
 
 
@@ -57,49 +56,48 @@ def persistence(levels: int) -> list[int]:
     return [a - b for a, b in zip(inverse, inverse[1:])]
 
 
-def _split(members: DataFrame, directions: np.ndarray, first: int) -> DataFrame:
-    """Members of crowded buckets, dealt to the cells of further directions.
-
-    A point within the radius of a cell's border is copied across it, so every
-    neighbour of a point is found in the point's own (home) bucket.
-    """
-    side = _SIDE * STEPS
-    for i, direction in enumerate(directions, first):
-        along = sum((F.col("q")[j] * float(c) for j, c in enumerate(direction)), F.lit(0.0))
-        cell = F.floor(F.col("_along") / side)
-        inside = F.col("_along") - cell * side
-        reach = STEPS * 1.0001  # a little beyond the radius, for rounding of the projection
-        copies = F.array(
-            F.struct(cell.alias("cell"), F.lit(True).alias("own")),
-            F.when(inside <= reach, F.struct((cell - 1).alias("cell"), F.lit(False).alias("own"))),
-            F.when(side - inside <= reach, F.struct((cell + 1).alias("cell"), F.lit(False).alias("own"))),
-        )
-        dealt = members.withColumn("_along", along).select("id", "q", "bucket", "home", F.explode(F.array_compact(copies)).alias("c"))
-        members = dealt.select("id", "q", F.xxhash64("bucket", F.lit(i), "c.cell").alias("bucket"), (F.col("home") & F.col("c.own")).alias("home"))
-    return members
+def _cuts(members: DataFrame, dims: int) -> DataFrame:
+    """bucket, n, dim, at: the cut of each bucket at a component's median whose larger side, copies included, is smallest."""
+    medians = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("q")[j], 0.5).alias(f"m{j}") for j in range(dims)])
+    medians = materialize(medians, "bucket-medians")
+    sides = members.join(medians.drop("n"), "bucket").groupBy("bucket").agg(
+        *[F.greatest(F.count_if(F.col("q")[j] <= F.col(f"m{j}") + STEPS), F.count_if(F.col("q")[j] >= F.col(f"m{j}") - STEPS)).alias(f"l{j}") for j in range(dims)]
+    )
+    best = F.array_min(F.array(*[F.struct(F.col(f"l{j}").alias("larger"), F.lit(j).alias("dim"), F.col(f"m{j}").alias("at")) for j in range(dims)]))
+    cuts = medians.join(sides, "bucket").select("bucket", "n", best.alias("cut"))
+    return materialize(cuts.select("bucket", "n", "cut.larger", "cut.dim", "cut.at"), "bucket-cuts")
 
 
-def _buckets(folded: DataFrame, dims: int, crowd: int, seed: int) -> DataFrame:
+def _buckets(folded: DataFrame, dims: int, crowd: int) -> DataFrame:
     """id, q, home, bucket, lo, hi, chunk: points grouped so that each point meets all its neighbours in its home bucket.
 
-    Buckets still crowded after all directions are compared chunk by chunk: the
-    group (bucket, lo, hi) holds two chunks, or one if they are equal.
+    Crowded buckets are cut in two at a component's median while that leaves fewer
+    points on both sides; points within the radius of the cut are copied across it.
+    Buckets that stay crowded, as most of their points lie within the radius, are
+    compared chunk by chunk: the group (bucket, lo, hi) holds two chunks, or one if
+    they are equal.
     """
-    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
     members = folded.select("id", "q", F.lit(0).cast("bigint").alias("bucket"), F.lit(True).alias("home"))
-    at = 0
+    done = None
     while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("own")).filter("own > 0")
-        sizes = materialize(sizes.select("bucket", "n"), "bucket-sizes")
-        if at >= min(_AXES, dims) or sizes.filter(F.col("n") > crowd).isEmpty():
+        sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("own")).filter("own > 0"), "bucket-sizes")
+        crowded = sizes.filter(F.col("n") > crowd).select("bucket")
+        cuts = None if crowded.isEmpty() else _cuts(members.join(crowded, "bucket"), dims).filter(F.col("larger") <= _WORTHWHILE * F.col("n")).drop("n", "larger")
+        last = cuts is None or cuts.isEmpty()
+        sized = members.join(sizes.select("bucket", "n"), "bucket")
+        sized = sized if last else sized.join(cuts, "bucket", "left")
+        final = (sized if last else sized.filter("dim IS NULL")).select("id", "q", "bucket", "home", "n")
+        done = final if done is None else done.unionByName(final)
+        if last:
             break
-        sized = members.join(sizes, "bucket")
-        kept, crowded = (sized.filter(c).drop("n") for c in (F.col("n") <= crowd, F.col("n") > crowd))
-        more = rotation[at : min(at + 2, dims)]
-        members = materialize(kept.select("id", "q", "bucket", "home").unionByName(_split(crowded, more, at)), "bucket-members")
-        at += len(more)
+        x, at = F.get("q", F.col("dim")), F.col("at")
+        left = F.when(x <= at + STEPS, F.struct(F.lit(0).alias("side"), (x <= at).alias("own")))
+        right = F.when(x >= at - STEPS, F.struct(F.lit(1).alias("side"), (x > at).alias("own")))
+        cut = sized.filter("dim IS NOT NULL").withColumn("c", F.explode(F.array_compact(F.array(left, right))))
+        cut = cut.select("id", "q", F.xxhash64("bucket", "dim", "at", "c.side").alias("bucket"), (F.col("home") & F.col("c.own")).alias("home"))
+        members = materialize(cut, "bucket-members")
     chunks = F.ceil(F.col("n") / crowd).cast("int")
-    placed = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int"))
+    placed = done.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), chunks).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     return met.select("id", "q", "home", "bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk")
 
@@ -166,8 +164,30 @@ def spanning_forest(level: np.ndarray, levels: int) -> list[tuple[int, int, int]
     return out
 
 
+def _level_roots(forest: list[tuple[int, int, int]], ids: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Per level, each point's smallest connected id by the forest's edges up to there."""
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out, edges = [], sorted(forest, key=lambda e: -e[2])
+    for level in range(1, levels + 1):
+        while edges and edges[-1][2] <= level:
+            a, b, _ = edges.pop()
+            parent[root(a)] = root(b)
+        roots = np.array([root(i) for i in range(len(ids))])
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, ids)
+        out.append(least[roots])
+    return out
+
+
 def _links(radii: np.ndarray) -> Callable[[pa.Table], pa.Table]:
-    """Spanning forest of a group under mutual reachability, which connects what all its pairs connect at every level."""
+    """Per level, every core point of a group tied to the smallest id it is connected to there under mutual reachability."""
     levels = len(radii)
 
     def run(table: pa.Table) -> pa.Table:
@@ -180,8 +200,13 @@ def _links(radii: np.ndarray) -> Callable[[pa.Table], pa.Table]:
             level = np.full((len(q), len(q)), levels + 1, np.int8)
             level[np.ix_(left, right)] = between
             level[np.ix_(right, left)] = between.T
-        edges = np.array(spanning_forest(level, levels), np.int64).reshape(-1, 3)
-        return pa.Table.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]]), pa.array(edges[:, 2])], ["a", "b", "level"])
+        a, b, at = [], [], []
+        for k, least in enumerate(_level_roots(spanning_forest(level, levels), ids, levels), 1):
+            tied = np.flatnonzero((core <= k) & (least != ids))
+            a.append(ids[tied])
+            b.append(least[tied])
+            at.append(np.full(len(tied), k))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, at)], ["a", "b", "level"])
 
     return run
 
@@ -229,7 +254,7 @@ def _selected(nodes: DataFrame, levels: int) -> DataFrame:
 def density_clusters(
     points: DataFrame, key: Sequence[str], features: str = "features", radius: float = 2.0, levels: int = 12,
     min_cluster_size: int = DEFAULT.min_cluster_size, min_samples: int = DEFAULT.min_samples,
-    out: str = "campaign_id", crowd: int = CROWD, seed: int = DEFAULT.seed,
+    out: str = "campaign_id", crowd: int = CROWD,
 ) -> DataFrame:
     """Hierarchical density clusters of whole vectors; points of no cluster become clusters of one.
 
@@ -242,10 +267,11 @@ def density_clusters(
     points at some level form the hierarchy, out of which the most stable clusters
     are selected; a cluster holds all points connected to it where it begins.
 
-    Neighbours meet in cells along random directions with points near a border
-    copied across it; a task compares at most two chunks of ``crowd`` points and
-    passes on counts per point and a spanning forest, never pairs. The components of
-    all levels are found together. Vectors are finite and of one length.
+    Neighbours meet in buckets cut at medians, with points near a cut copied across
+    it; a task compares at most two chunks of ``crowd`` points and passes on counts
+    per point and, per level, the component each point is in, never pairs. Distinct
+    points that nearly all lie within one radius are compared all with all. The
+    components of all levels are found together. Vectors are finite and of one length.
     """
     grid = F.transform(features, lambda x: F.floor(x * (STEPS / radius) + 0.5).cast("int"))
     placed = points.withColumn("_q", grid)
@@ -255,7 +281,7 @@ def density_clusters(
     radii = np.array(squared_radii(levels), float)
     folded = placed.groupBy(F.col("_q").alias("q")).agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id())
     folded = materialize(folded, "density-points")
-    groups = materialize(_buckets(folded, first[0], crowd, seed), "density-groups")
+    groups = materialize(_buckets(folded, first[0], crowd), "density-groups")
     group = ["bucket", "lo", "hi"]
 
     weighted = groups.join(folded.select("id", "w"), "id")
@@ -267,8 +293,7 @@ def density_clusters(
     cores = materialize(others.select("id", "w", core.alias("core")).filter("core IS NOT NULL"), "density-cores")
 
     reachable = groups.join(cores.select("id", "core"), "id").groupBy(*group).applyInArrow(_links(radii), "a bigint, b bigint, level bigint")
-    every = F.explode(F.sequence(F.col("level"), F.lit(levels).cast("bigint"))).alias("level")
-    links = reachable.select("a", "b", every).select(_vertex("a", "level").alias("a"), _vertex("b", "level").alias("b"))
+    links = reachable.select(_vertex("a", "level").alias("a"), _vertex("b", "level").alias("b"))
     vertices = cores.select("id", F.explode(F.sequence("core", F.lit(levels))).alias("level")).select(_vertex("id", "level").alias("v"))
     labels = connected_components(vertices, links)
 

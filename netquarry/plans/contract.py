@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.config import DEFAULT
 from netquarry.functions import network as N
 from netquarry.functions import rules
 from netquarry.functions import vectors as V
@@ -38,7 +39,8 @@ def query(name: str, sql: str | None = None, *needs: str) -> Callable[[Query], Q
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            CHECKS[name] = chain(sql, *needs)
+            text = chain(sql, *needs)
+            CHECKS[name] = text.replace("WITH", "WITH RECURSIVE", 1) if "USING KEY" in text else text
         return fn
 
     return register
@@ -599,12 +601,84 @@ def e11(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.hierarchical(standardized(spark, sf), 4).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
 
 
-@query("e12_density")
+def _density_sql(vectors: str, dims: int, radius: float, levels: int, size: int = DEFAULT.min_cluster_size, samples: int = DEFAULT.min_samples) -> str:
+    """The definition on all pairs: components level by level, then stability from the smallest radius up.
+
+    ``vectors`` selects key and v (a list); the result names each row's cluster by its smallest key.
+    """
+    radii, gain = density.squared_radii(levels), density.persistence(levels)
+    q = [f"q{i}" for i in range(dims)]
+    squared = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in q)
+    level = "CASE " + " ".join(f"WHEN d <= {t} THEN {k}" for k, t in enumerate(radii, 1)) + " END"
+    parts = [
+        f"vec AS ({vectors})",
+        "grid AS MATERIALIZED (SELECT key, " + ", ".join(f"floor(v[{i + 1}] * {density.STEPS / radius} + 0.5)::BIGINT AS {c}" for i, c in enumerate(q)) + " FROM vec)",
+        f"pt AS MATERIALIZED (SELECT {', '.join(q)}, count(*) AS w, row_number() OVER () AS id FROM grid GROUP BY {', '.join(q)})",
+        f"pair AS MATERIALIZED (SELECT a, b, {level} AS lev FROM (SELECT a.id AS a, b.id AS b, {squared} AS d FROM pt a JOIN pt b ON a.id < b.id) x WHERE d <= {radii[-1]})",
+        "seen AS (SELECT id, lev, sum(n) AS n FROM (SELECT a AS id, lev, b.w AS n FROM pair JOIN pt b ON b.id = b UNION ALL SELECT b, lev, a.w FROM pair JOIN pt a ON a.id = a) GROUP BY 1, 2)",
+        f"core AS MATERIALIZED (SELECT id, w, min(l) AS c FROM (SELECT p.id, p.w, l, p.w - 1 + coalesce(sum(n), 0) AS others FROM pt p CROSS JOIN range(1, {levels + 1}) r(l) "
+        f"LEFT JOIN seen ON seen.id = p.id AND seen.lev <= l GROUP BY 1, 2, 3) WHERE others >= {samples} GROUP BY 1, 2)",
+        "link AS MATERIALIZED (SELECT a, b, greatest(lev, x.c, y.c) AS lev FROM pair JOIN core x ON x.id = a JOIN core y ON y.id = b)",
+    ]
+    for k in range(1, levels + 1):
+        # Components of the level before are single vertices of this one.
+        here = "SELECT id, id AS base FROM core WHERE c <= 1" if k == 1 else f"SELECT core.id, coalesce(m.comp, core.id) AS base FROM core LEFT JOIN m{k - 1} m USING (id) WHERE c <= {k}"
+        parts += [
+            f"h{k} AS MATERIALIZED ({here})",
+            f"e{k} AS MATERIALIZED (SELECT DISTINCT x.base AS a, y.base AS b FROM link JOIN h{k} x ON x.id = link.a JOIN h{k} y ON y.id = link.b WHERE lev = {k} AND x.base <> y.base)",
+            f"t{k} AS MATERIALIZED (SELECT a, b FROM e{k} UNION SELECT b, a FROM e{k})",
+            f"g{k}(k, comp) USING KEY (k) AS (SELECT DISTINCT a, a FROM t{k} UNION SELECT t.a, min(n.comp) FROM t{k} t JOIN g{k} n ON n.k = t.b "
+            f"JOIN recurring.g{k} o ON o.k = t.a WHERE n.comp < o.comp GROUP BY t.a)",
+            f"m{k} AS MATERIALIZED (SELECT id, coalesce(g.comp, base) AS comp FROM h{k} LEFT JOIN g{k} g ON g.k = base)",
+        ]
+    for k in range(1, levels + 1):
+        parent = f"(SELECT id, comp AS parent FROM m{k + 1})" if k < levels else "(SELECT id, NULL::BIGINT AS parent FROM core)"
+        parts.append(f"n{k} AS (SELECT x.comp, u.parent, x.size FROM (SELECT comp, sum(w) AS size FROM m{k} JOIN core USING (id) GROUP BY comp HAVING sum(w) >= {size}) x JOIN {parent} u ON u.id = x.comp)")
+        if k == 1:
+            parts.append(f"s1 AS MATERIALIZED (SELECT comp, parent, 0 AS kids, size * {gain[0]} AS chain, NULL::HUGEINT AS inner_best FROM n1)")
+        else:
+            parts.append(
+                f"s{k} AS MATERIALIZED (SELECT n.comp, n.parent, coalesce(kids, 0) AS kids, n.size * {gain[k - 1]} + CASE WHEN kids = 1 THEN on_chain ELSE 0 END AS chain, "
+                f"CASE WHEN kids = 1 THEN on_inner ELSE best END AS inner_best FROM n{k} n LEFT JOIN (SELECT parent, count(*) AS kids, max(chain) AS on_chain, max(inner_best) AS on_inner, "
+                f"sum(greatest(chain, coalesce(inner_best, chain))) AS best FROM s{k - 1} GROUP BY parent) p ON p.parent = n.comp)"
+            )
+    won = []
+    for k in range(1, levels + 1):
+        top = f"JOIN s{k + 1} u ON u.comp = s.parent AND u.kids > 1" if k < levels else ""
+        won.append(f"SELECT m.id, {k} AS lev, s.comp FROM s{k} s {top} JOIN m{k} m ON m.comp = s.comp WHERE s.chain >= coalesce(s.inner_best, s.chain)")
+    parts += [
+        "won AS (" + " UNION ALL ".join(won) + ")",
+        "owner AS (SELECT id, max(lev)::BIGINT * 1000000000 + arg_max(comp, lev) AS own FROM won GROUP BY id)",
+        f"placed AS (SELECT key, own FROM grid JOIN pt USING ({', '.join(q)}) LEFT JOIN owner USING (id))",
+    ]
+    return (", " + ",\n".join(parts) + "\nSELECT key, CASE WHEN own IS NULL THEN key ELSE min(key) OVER (PARTITION BY own) END AS cluster_first, "
+            "CASE WHEN own IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY own) END AS cluster_rows FROM placed")
+
+
+def _named_clusters(found: DataFrame, key: Column) -> DataFrame:
+    """Rows with their cluster's smallest key and size, which do not depend on its number."""
+    keyed = found.select(key.alias("key"), "campaign_id")
+    own = keyed.groupBy("campaign_id").agg(F.min("key").alias("cluster_first"), F.count(F.lit(1)).alias("cluster_rows"))
+    return keyed.join(own, "campaign_id").select("key", "cluster_first", "cluster_rows")
+
+
+@query(
+    "e12_density",
+    _density_sql("SELECT SrcAddr || ' ' || time_window AS key, [" + ", ".join(
+        f"({_MATRIX_SQL[c]} - avg({_MATRIX_SQL[c]}) OVER ()) / CASE WHEN stddev_pop({_MATRIX_SQL[c]}) OVER () > 0 THEN stddev_pop({_MATRIX_SQL[c]}) OVER () ELSE 1 END"
+        for c in MATRIX
+    ) + "] AS v FROM camp", len(MATRIX), 2.0, 12),
+    "camp",
+)
 def e12(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = models.project_2d(standardized(spark, sf), dims=len(MATRIX))
-    found = density.density_clusters(rows, ["pc1", "pc2"], ["SrcAddr", "time_window"])
-    sizes = found.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy((F.col("n") == 1).alias("single")).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("fingerprints"))
+    found = density.density_clusters(standardized(spark, sf), ["SrcAddr", "time_window"])
+    return _named_clusters(found, F.concat("SrcAddr", F.lit(" "), F.col("time_window").cast("string")))
+
+
+@query("e12_density_profile", _density_sql("SELECT SrcAddr AS key, v FROM profile", len(PROFILE_SQL), 0.5, 12), "profile")
+def e12p(spark: SparkSession, sf: str) -> DataFrame:
+    points = S.profile(spark, sf).select("SrcAddr", F.col("norm_features").alias("features"))
+    return _named_clusters(density.density_clusters(points, ["SrcAddr"], radius=0.5), F.col("SrcAddr"))
 
 
 @query("e13_e14_characterize", "SELECT * FROM summary", "summary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -111,8 +112,30 @@ def _classes(links: DataFrame) -> DataFrame:
     return both.select("id", F.concat_ws("_", F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)).alias("cls"))
 
 
-def betweenness_centrality(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
-    """Normalised shortest-path betweenness (id, betweenness_centrality), exact.
+def betweenness_error(n: int, pivots: int, confidence: float = 0.95) -> float:
+    """How far any node's score from so many pivots may be off, all nodes at once, with this confidence.
+
+    A pivot's share of a node's score lies between 0 and n / (n - 1), so Hoeffding's
+    inequality holds for the mean over pivots drawn without replacement.
+    """
+    if pivots >= n or n <= 2:
+        return 0.0
+    return n / (n - 1) * math.sqrt(math.log(2 * n / (1 - confidence)) / (2 * pivots))
+
+
+def pivot_order(node: Column, seed: int = DEFAULT.seed) -> Column:
+    """Hash by which pivots are drawn."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), node), 256)
+
+
+def betweenness_centrality(
+    nodes: DataFrame, edges: DataFrame, directed: bool = True, pivots: int | None = None, seed: int = DEFAULT.seed,
+) -> DataFrame:
+    """Normalised shortest-path betweenness (id, betweenness_centrality); exact without ``pivots``.
+
+    With ``pivots`` paths start only from so many nodes, drawn by a seeded hash, and
+    scores scale up by nodes / pivots; ``betweenness_error`` bounds the error, and as
+    many pivots as nodes are exact again. Rows are then at most pivots x classes.
 
     Nodes with equal neighbour sets lie on equally many shortest paths, so they
     fold into weighted classes and the search runs on the graph of classes, which
@@ -123,11 +146,12 @@ def betweenness_centrality(nodes: DataFrame, edges: DataFrame, directed: bool =
     """
     zero = F.lit(0.0).alias("betweenness_centrality")
     n = nodes.count()
+    drawn = n if pivots is None else min(pivots, n)
     links = edges.select("src", "dst").filter("src <> dst")
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = materialize(links.distinct(), "links")
-    if n <= 2 or links.isEmpty():
+    if n <= 2 or drawn < 1 or links.isEmpty():
         return nodes.select("id", zero)
     classes = materialize(_classes(links), "classes")
     sizes = materialize(classes.groupBy("cls").agg(F.count(F.lit(1)).cast("double").alias("m")), "class-sizes")
@@ -136,9 +160,15 @@ def betweenness_centrality(nodes: DataFrame, edges: DataFrame, directed: bool =
         .join(classes.select(F.col("id").alias("dst"), F.col("cls").alias("d")), "dst").select("c", "d").distinct()
     )
     arcs = materialize(arcs.join(sizes.select(F.col("cls").alias("d"), F.col("m").alias("md")), "d"), "class-arcs")
+    # p: pivots among a class's nodes; every node is one if all are drawn.
+    marked = classes.withColumn("pivot", F.lit(1))
+    if drawn < n:
+        chosen = nodes.select("id").orderBy(pivot_order(F.col("id"), seed), "id").limit(drawn).withColumn("pivot", F.lit(1))
+        marked = materialize(classes.join(chosen, "id", "left").withColumn("pivot", F.coalesce("pivot", F.lit(0))), "pivots")
+    sources = materialize(marked.groupBy(F.col("cls").alias("s")).agg(F.sum("pivot").cast("double").alias("p")).filter("p > 0"), "pivot-classes")
     # m: how many nodes the row stands for, seen from one source.
     level = materialize(
-        sizes.select(F.col("cls").alias("s"), F.col("cls").alias("v"), F.lit(True).alias("at_source"), F.lit(1.0).alias("m"), F.lit(1.0).alias("sigma")),
+        sizes.join(sources, F.col("cls") == F.col("s")).select("s", F.col("cls").alias("v"), F.lit(True).alias("at_source"), F.lit(1.0).alias("m"), F.lit(1.0).alias("sigma")),
         "level",
     )
     levels, seen = [level], None
@@ -172,11 +202,15 @@ def betweenness_centrality(nodes: DataFrame, edges: DataFrame, directed: bool =
         )
     if total is None:
         return nodes.select("id", zero)
-    sources = sizes.select(F.col("cls").alias("s"), F.col("m").alias("ms"))
-    times = F.when(F.col("s") == F.col("v"), F.col("ms") - 1).otherwise(F.col("ms"))
-    sums = total.join(sources, "s").groupBy(F.col("v").alias("cls")).agg(F.sum(times * F.col("delta")).alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2))
-    return nodes.select("id").join(classes.join(sums, "cls").select("id", "b"), "id", "left").select(
+    # A node is no go-between on paths from itself: in its own class one pivot less counts if it is one.
+    same = F.col("s") == F.col("v")
+    sums = total.join(sources, "s").groupBy(F.col("v").alias("cls")).agg(
+        F.sum(F.when(same, 0.0).otherwise(F.col("p") * F.col("delta"))).alias("others"),
+        F.coalesce(F.sum(F.when(same, F.col("delta"))), F.lit(0.0)).alias("own"), F.coalesce(F.sum(F.when(same, F.col("p"))), F.lit(0.0)).alias("p"),
+    )
+    b = F.col("others") + F.col("own") * (F.col("p") - F.col("pivot"))
+    scale = n / drawn / ((n - 1) * (n - 2))
+    return nodes.select("id").join(marked.join(sums, "cls").select("id", b.alias("b")), "id", "left").select(
         "id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness_centrality")
     )
 

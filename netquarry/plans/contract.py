@@ -1038,21 +1038,23 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness_centrality(*graph_tables(spark, sf))
 
 
-def _shortest_path_sql(depth: int = 8) -> str:
-    """Brandes level by level from every node, for graphs whose shortest paths have at most ``depth`` - 1 edges."""
-    parts = ["both_ways AS (SELECT src, dst FROM edge WHERE src <> dst UNION SELECT dst, src FROM edge WHERE src <> dst)",
-             "l0 AS MATERIALIZED (SELECT DISTINCT src AS s, src AS v, 1.0::DOUBLE AS sigma FROM both_ways)"]
+def _shortest_path_sql(depth: int = 8, directed: bool = False, pivots: int | None = None) -> str:
+    """Brandes level by level from every node or pivot, for graphs whose shortest paths have at most ``depth`` - 1 edges."""
+    way = "SELECT src, dst FROM edge WHERE src <> dst" + ("" if directed else " UNION SELECT dst, src FROM edge WHERE src <> dst")
+    some = f"(SELECT id FROM node ORDER BY sha256('{DEFAULT.seed}:' || id), id LIMIT {pivots or 1 << 60})"
+    parts = [f"way AS (SELECT DISTINCT * FROM ({way}))",
+             f"l0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS sigma FROM {some})"]
     for k in range(1, depth + 1):
         before = " UNION ALL ".join(f"SELECT s, v FROM l{i}" for i in range(k))
-        parts.append(f"l{k} AS MATERIALIZED (SELECT s, v, sigma FROM (SELECT s, dst AS v, sum(sigma) AS sigma FROM l{k - 1} JOIN both_ways ON v = src GROUP BY 1, 2) "
+        parts.append(f"l{k} AS MATERIALIZED (SELECT s, v, sigma FROM (SELECT s, dst AS v, sum(sigma) AS sigma FROM l{k - 1} JOIN way ON v = src GROUP BY 1, 2) "
                      f"ANTI JOIN ({before}) USING (s, v))")
     parts.append(f"d{depth} AS (SELECT s, v, sigma, 0.0::DOUBLE AS delta FROM l{depth})")
     for k in range(depth - 1, 0, -1):
         parts.append(f"d{k} AS MATERIALIZED (SELECT l.s, l.v, l.sigma, coalesce(sum(l.sigma / w.sigma * (1 + w.delta)), 0) AS delta FROM l{k} l "
-                     f"LEFT JOIN (SELECT u.s, b.src, u.sigma, u.delta FROM d{k + 1} u JOIN both_ways b ON b.dst = u.v) w ON w.s = l.s AND w.src = l.v GROUP BY ALL)")
+                     f"LEFT JOIN (SELECT u.s, b.src, u.sigma, u.delta FROM d{k + 1} u JOIN way b ON b.dst = u.v) w ON w.s = l.s AND w.src = l.v GROUP BY ALL)")
     every = " UNION ALL ".join(f"SELECT v, delta FROM d{k}" for k in range(1, depth + 1))
-    scale = "(SELECT (count(*) - 1) * (count(*) - 2) FROM node)"
-    return (", " + ", ".join(parts) + f" SELECT id, round(coalesce(sum(delta), 0) / {scale}, 6) AS betweenness_centrality "
+    scale = "(SELECT count(*) / (SELECT count(*) FROM l0) / ((count(*) - 1) * (count(*) - 2)) FROM node)"
+    return (", " + ", ".join(parts) + f" SELECT id, round(coalesce(sum(delta), 0) * {scale}, 6) AS betweenness_centrality "
             f"FROM node LEFT JOIN ({every}) ON id = v GROUP BY id")
 
 
@@ -1061,6 +1063,39 @@ def j4u(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness_centrality(*graph_tables(spark, sf), directed=False)
 
 
+# Customers reach suppliers and regions through their nation and the nations after it.
+ROUTE_TABLES = ("customer", "supplier", "nation", "region")
+ROUTES = {
+    "node": "SELECT 'c' || c_custkey AS id FROM {customer} UNION ALL SELECT 's' || s_suppkey FROM {supplier} UNION ALL SELECT 'n' || n_nationkey FROM {nation} "
+            "UNION ALL SELECT 'r' || r_regionkey FROM {region}",
+    "edge": "SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM {customer} UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM {supplier} "
+            "UNION ALL SELECT 'n' || a.n_nationkey, 'n' || b.n_nationkey FROM {nation} a JOIN {nation} b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_nationkey % 5 <> 0 "
+            "UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM {nation} WHERE n_nationkey % 5 = 4",
+}
+
+
+def routes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph with long paths out of the given tables: chains of nations with stars around them."""
+    tables = {t: fixture.table(spark, sf, t) for t in ROUTE_TABLES}
+    nodes, edges = (spark.sql(ROUTES[part], **tables) for part in ("node", "edge"))
+    return nodes, edges
+
+
+def _routes_sql(**kwargs) -> str:
+    names = {t: t for t in ROUTE_TABLES}
+    return "WITH " + ", ".join(f"{n} AS ({sql.format(**names)})" for n, sql in ROUTES.items()) + _shortest_path_sql(**kwargs)
+
+
+@query("j4_betweenness_routes", _routes_sql(directed=True))
+def j4r(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.betweenness_centrality(*routes(spark, sf))
+
+
+@query("j4_betweenness_pivots", _routes_sql(directed=True, pivots=500))
+def j4p(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.betweenness_centrality(*routes(spark, sf), pivots=500)
+
+
 @query(
     "j5_subgraph",
     "SELECT 'node' AS kind, id AS a, '' AS b FROM node WHERE campaign_id = 3 UNION ALL SELECT 'edge', src, dst FROM edge "

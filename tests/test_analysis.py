@@ -1,6 +1,7 @@
 """Scores, drift, families, graph, timeline and reports."""
 
 import datetime as dt
+import hashlib
 from collections import deque
 
 import pytest
@@ -115,9 +116,9 @@ def test_graph_nodes_edges_degree(spark):
     assert labels["10.0.1.9"] == "1.9" and labels["campaign_1"] == "C1"
 
 
-def brandes(nodes, links):
-    score = dict.fromkeys(nodes, 0.0)
-    for s in nodes:
+def brandes(nodes, links, sources=None):
+    score, sources = dict.fromkeys(nodes, 0.0), sources or nodes
+    for s in sources:
         dist, sigma, pred, order = {s: 0}, dict.fromkeys(nodes, 0.0), {v: [] for v in nodes}, []
         sigma[s] = 1.0
         todo = deque([s])
@@ -138,7 +139,7 @@ def brandes(nodes, links):
             if w != s:
                 score[w] += delta[w]
     n = len(nodes)
-    return {v: round(x / ((n - 1) * (n - 2)), 6) for v, x in score.items()}
+    return {v: round(x * n / len(sources) / ((n - 1) * (n - 2)), 6) for v, x in score.items()}
 
 
 @pytest.mark.parametrize("directed", [True, False])
@@ -158,6 +159,31 @@ def test_betweenness_matches_brute_force(spark, directed):
     assert got == pytest.approx(brandes(names, links), abs=2e-6)
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_pivot_betweenness(spark, directed):
+    """A chain with stars: all pivots are exact, some pivots equal Brandes from those, within the stated error."""
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [(f"in{i}", f"n{i % 3}") for i in range(9)] + [(f"n{i % 4 + 2}", f"out{i}") for i in range(8)]
+    names = sorted({x for p in pairs for x in p})
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, []).append(b)
+        if not directed:
+            links.setdefault(b, []).append(a)
+    nodes, edges = spark.createDataFrame([(x,) for x in names], ["id"]), spark.createDataFrame(pairs, ["src", "dst"])
+
+    def scores(**kwargs):
+        return {r["id"]: r["betweenness_centrality"] for r in graph.betweenness_centrality(nodes, edges, directed, **kwargs).collect()}
+
+    exact = brandes(names, links)
+    assert max(exact.values()) > 0.05 and scores(pivots=10**9) == pytest.approx(exact, abs=2e-6)
+    chosen = sorted(names, key=lambda x: (hashlib.sha256(f"7:{x}".encode()).hexdigest(), x))[:9]
+    some = scores(pivots=9, seed=7)
+    assert some == pytest.approx(brandes(names, links, chosen), abs=2e-6)
+    bound = graph.betweenness_error(len(names), 9)
+    assert all(abs(some[x] - exact[x]) <= bound for x in names) and graph.betweenness_error(len(names), len(names)) == 0.0
+    assert graph.betweenness_error(10**6, 40_000) < 0.02
+
+
 def test_star_graph_has_no_betweenness(spark):
     assert {r["betweenness_centrality"] for r in graph.betweenness_centrality(*small_graph(spark)).collect()} == {0.0}
 

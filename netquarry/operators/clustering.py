@@ -7,15 +7,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.config import DEFAULT, EngineConfig
 from netquarry.functions import rules
 from netquarry.functions.vectors import array_of, euclidean, squared_distance
-from netquarry.operators import kmeans
+from netquarry.operators import kmeans, ward
 from netquarry.operators.sampling import reservoir
 from netquarry.schema import FEATURES
 
@@ -45,17 +43,9 @@ def standardize(df: DataFrame, columns: Sequence[str], out: str = "features") ->
     return scaled.withColumn(out, F.array(*z)).drop("_m")
 
 
-def hierarchical(points: DataFrame, k: int, seed: int = DEFAULT.seed, features: str = "features") -> DataFrame:
-    """Divisive hierarchical clustering into k leaves.
-
-    Vectors are shifted off the origin first: distances stay the same, but the
-    splitter perturbs a centre in proportion to its length, and the centre of
-    standardised data has none.
-    """
-    shifted = points.withColumn("_shifted", F.transform(features, lambda x: x + 10.0))
-    vectors = shifted.withColumn("_v", array_to_vector("_shifted"))
-    model = BisectingKMeans(featuresCol="_v", k=k, seed=seed).fit(vectors.select("_v"))
-    return model.transform(vectors).withColumn("campaign_id", F.col("prediction").cast("int")).drop("_v", "_shifted", "prediction")
+def hierarchical(points: DataFrame, k: int, features: str = "features", leaves: int = ward.LEAVES) -> DataFrame:
+    """Agglomerative clustering into k clusters by Ward's linkage over at most ``leaves`` cluster features."""
+    return ward.assign(points, ward.fit(points, leaves, features), k, features)
 
 
 def _silhouette_sums(x: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -80,7 +80,7 @@ def assign_campaigns(fp: DataFrame, cfg: EngineConfig = DEFAULT, k: int | None =
 
 def _fixed_k(points: DataFrame, k: int, cfg: EngineConfig) -> DataFrame:
     if cfg.cluster_method == "hierarchical":
-        return clustering.hierarchical(points, k, cfg.seed)
+        return clustering.hierarchical(points, k)
     return kmeans.assign(points, kmeans.fit(points, [k], cfg.n_init, cfg.seed)[k])
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.config import EngineConfig
-from netquarry.operators import clustering, density, kmeans, models, scoring
+from netquarry.operators import clustering, density, kmeans, models, scoring, ward
 
 
 def blobs(spark, centres, n, spread=0.3, seed=0):
@@ -101,6 +101,51 @@ def test_hierarchical_splits_centred_data(spark):
     assert len(got) == 2 and len({r["campaign_id"] for r in got}) == 2
 
 
+def direct_ward(x):
+    """Merge the pair of clusters with the least gain until one is left: gains and the partition at each size."""
+    n, mean, parts = np.ones(len(x)), x.copy(), [{i} for i in range(len(x))]
+    d = ((mean[:, None] - mean[None]) ** 2).sum(-1) / 2
+    np.fill_diagonal(d, np.inf)
+    gains, cuts = [], {len(x): {frozenset(p) for p in parts}}
+    for left in range(len(x) - 1, 0, -1):
+        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+        gains.append(d[i, j])
+        mean[i] = (n[i] * mean[i] + n[j] * mean[j]) / (n[i] + n[j])
+        n[i], parts[i], parts[j] = n[i] + n[j], parts[i] | parts[j], None
+        d[j, :] = d[:, j] = np.inf
+        alive = np.array([p is not None and q != i for q, p in enumerate(parts)])
+        new = n * n[i] / (n + n[i]) * ((mean - mean[i]) ** 2).sum(1)
+        d[i, alive] = d[alive, i] = new[alive]
+        if left <= 12:
+            cuts[left] = {frozenset(p) for p in parts if p}
+    return np.array(gains), cuts
+
+
+def test_ward_with_a_leaf_per_point_is_direct_ward(spark):
+    df = blobs(spark, [(0, 0, 0), (4, 1, 0), (-3, 5, 2), (9, 9, 9)], 250, spread=1.0).repartition(5)
+    x = np.array([r["features"] for r in df.orderBy("id").collect()])
+    gains, cuts = direct_ward(x)
+    tree = ward.fit(df)
+    assert len(tree.n) == 1000 and (np.diff(tree.heights) >= 0).all()
+    assert tree.gains == pytest.approx(gains, rel=1e-6)
+    for k in (2, 4, 11):
+        groups = {}
+        for r in ward.assign(df, tree, k).collect():
+            groups.setdefault(r["campaign_id"], set()).add(r["id"])
+        assert {frozenset(g) for g in groups.values()} == cuts[k]
+
+
+def test_ward_over_few_leaves(spark):
+    df = blobs(spark, [(0, 0), (20, 0), (0, 20)], 700, spread=1.0).unionByName(blobs(spark, [(50, 50)], 300, spread=0.0).withColumn("blob", F.lit(3))).repartition(6)
+    x = np.array([r["features"] for r in df.collect()])
+    tree = ward.fit(df, leaves=60)
+    assert 4 <= len(tree.n) <= 60 and tree.n.sum() == len(x) and (np.diff(tree.heights) >= 0).all()
+    assert tree.spread.sum() + tree.gains.sum() == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    got = ward.assign(df, tree, 4).select("blob", "campaign_id").distinct().collect()
+    assert len(got) == 4 and len({r["campaign_id"] for r in got}) == 4
+    assert ward.fit(df.filter("id < 0")).cut(3).tolist() == [] and ward.fit(df.filter("blob = 3")).cut(3).tolist() == [0]
+
+
 def test_davies_bouldin_brute_force(spark):
     df = blobs(spark, CENTRES, 20, spread=1.0)
     x, lab = np.array([r["features"] for r in df.collect()]), np.repeat([0, 1, 2], 20)

@@ -18,7 +18,7 @@ from netquarry.functions import vectors as V
 from netquarry.functions.storage import fresh_path
 from netquarry.operators import (
     cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, kmeans, models, per_ip, ranking, reports,
-    sampling, scoring, timeline,
+    sampling, scoring, timeline, ward,
 )
 from netquarry.plans import fixture
 from netquarry.plans import stages as S
@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None, *needs: str) -> Callable[[Query], Q
         QUERIES[name] = fn
         if sql is not None:
             text = chain(sql, *needs)
-            CHECKS[name] = text.replace("WITH", "WITH RECURSIVE", 1) if "USING KEY" in text else text
+            CHECKS[name] = text.replace("WITH", "WITH RECURSIVE", 1) if "USING KEY" in text or "_walk(" in text else text
         return fn
 
     return register
@@ -195,6 +195,18 @@ _SHARED = "StartTime, SrcAddr, Sport::INT AS Sport, DstAddr, Dport::INT AS Dport
 _REST = "DstBytes::BIGINT AS DstBytes, TotPkts::BIGINT AS TotPkts"
 
 
+@query("a8_expand_inputs", "SELECT l_linenumber % 3 AS part, count(*) AS lines FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY 1")
+def a8(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of overlapping patterns, once each, without the excluded ones."""
+    base = fresh_path(spark, "inputs")
+    items = fixture.table(spark, sf, "lineitem")
+    items.withColumn("part", F.col("l_linenumber") % 3).write.partitionBy("part").csv(base)
+    skipped = readers.expand_inputs(spark, [f"{base}/part=1/*.csv"])
+    files = readers.expand_inputs(spark, [f"{base}/**/*.csv", f"{base}/part=0/*.csv", f"{base}/none/*.csv"], skipped)
+    lines = spark.read.text(files).select(F.regexp_extract(F.col("_metadata.file_path"), r"part=(\d)", 1).cast("int").alias("part"))
+    return lines.groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     "a9_union_sources",
     f"SELECT DISTINCT {_SHARED.replace('Dport::INT', 'CASE WHEN Sport = 53 THEN 0 ELSE Dport END::INT')}, {_REST}, "
@@ -576,29 +588,69 @@ def standardized(spark: SparkSession, sf: str) -> DataFrame:
     return S.staged(spark, sf, "standardized", build)
 
 
-@query("e3_kmeans")
+Z_SQL = "SELECT SrcAddr, time_window, [" + ", ".join(
+    f"({_MATRIX_SQL[c]} - avg({_MATRIX_SQL[c]}) OVER ()) / CASE WHEN stddev_pop({_MATRIX_SQL[c]}) OVER () > 0 THEN stddev_pop({_MATRIX_SQL[c]}) OVER () ELSE 1 END"
+    for c in MATRIX
+) + "] AS v FROM camp"
+TOTAL_SQL = f"SELECT count(*) AS rows, round(sum(list_dot_product(v, v)), 2) AS squares FROM ({Z_SQL}) z"  # z-scores have mean zero
+
+
+def _squares(points: DataFrame, label: str, dims: int) -> DataFrame:
+    """Clusters, rows and squared deviations within plus between the clusters of a labelling, which add up to those about the mean."""
+    cents = clustering.centroids_of(points, label, "features", dims)
+    within = points.join(cents, label).agg(F.sum(V.squared_distance(F.col("features"), F.col("centroid")))).scalar()
+    mean = points.agg(F.array(*[F.avg(F.col("features")[i]) for i in range(dims)])).scalar()
+    between = F.sum(F.col("size") * V.squared_distance(F.col("centroid"), F.col("m")))
+    found = cents.withColumn("m", mean).agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("rows"), between.alias("between"))
+    return found.select("clusters", "rows", F.round(F.col("between") + within, 2).alias("squares"))
+
+
+def _misplaced(points: DataFrame, model: kmeans.Centres) -> DataFrame:
+    """Points and how many of them are not with the nearest of the model's centres."""
+    labelled = kmeans.assign(points, model)
+    near = clustering.nearest_centroid(labelled, kmeans.centre_table(points, model), "id", "features")
+    return near.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("nearest") != F.col("campaign_id")).alias("misplaced"))
+
+
+@query("e3_kmeans", f"SELECT 4::BIGINT AS clusters, rows, squares, 0::BIGINT AS misplaced FROM ({TOTAL_SQL})", "camp")
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     points = standardized(spark, sf)
     model = kmeans.fit(points, [4])[4]
-    return kmeans.assign(points, model).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
+    return _squares(kmeans.assign(points, model), "campaign_id", len(MATRIX)).join(_misplaced(points, model), "rows")
 
 
-@query("e4_k_sweep")
+@query("e4_k_sweep", "SELECT k::INT AS k, TRUE AS agrees, TRUE AS best_is_highest FROM range(2, 11) r(k)")
 def e4(spark: SparkSession, sf: str) -> DataFrame:
-    curve, best, _ = clustering.sweep_k(standardized(spark, sf))
-    return curve.withColumn("best", F.col("k") == best)
+    """The curve against silhouettes of the labels each model gives."""
+    points = standardized(spark, sf)
+    curve, best, found = clustering.sweep_k(points)
+    labelled = points.select("features", *[kmeans.nearest(m).alias(f"k{k}") for k, m in found.items()])
+    again = clustering.squared_silhouettes(labelled, [f"k{k}" for k in found])
+    both = curve.join(again.select(F.substring("labelling", 2, 9).cast("int").alias("k"), F.col("silhouette").alias("s")), "k")
+    top = curve.agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).scalar()
+    return both.select("k", (F.abs(F.col("s") - F.col("silhouette")) < 1e-6).alias("agrees"), (top == best).alias("best_is_highest"))
 
 
-@query("e8_e10_profile_k")
+@query("e8_e10_profile_k", "SELECT k::INT AS k, (SELECT count(*) FROM profile) AS rows, 0::BIGINT AS misplaced, TRUE AS best_is_highest FROM range(4, 7) r(k)", "profile")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     points = S.profile(spark, sf).select("SrcAddr", F.col("norm_features").alias("features"))
     curve, best, _ = clustering.best_k_simplified(points, (4, 6))
-    return curve.withColumn("best", F.col("k") == best)
+    top = curve.agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).scalar()
+    found = None
+    for k, model in kmeans.fit(points, [4, 5, 6], 1, max_iter=100, tol=1e-6).items():
+        rows = _misplaced(points, model).withColumn("k", F.lit(k))
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("k", "rows", "misplaced", (top == best).alias("best_is_highest"))
 
 
-@query("e11_hierarchical")
+@query("e11_hierarchical", f"SELECT 4::BIGINT AS clusters, rows, squares, squares AS merged_squares, TRUE AS heights_rise FROM ({TOTAL_SQL})", "camp")
 def e11(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.hierarchical(standardized(spark, sf), 4).groupBy("campaign_id").agg(F.count(F.lit(1)).alias("fingerprints"))
+    """Deviations inside the leaves and gained by all merges add up to those about the mean, as those of the labels do."""
+    points = standardized(spark, sf)
+    tree = ward.fit(points)
+    merged = round(float(tree.spread.sum() + tree.gains.sum()), 2)
+    rise = bool((tree.heights[1:] >= tree.heights[:-1]).all())
+    return _squares(ward.assign(points, tree, 4), "campaign_id", len(MATRIX)).withColumns({"merged_squares": F.lit(merged), "heights_rise": F.lit(rise)})
 
 
 def _density_sql(vectors: str, dims: int, radius: float, levels: int, size: int = DEFAULT.min_cluster_size, samples: int = DEFAULT.min_samples) -> str:
@@ -664,10 +716,7 @@ def _named_clusters(found: DataFrame, key: Column) -> DataFrame:
 
 @query(
     "e12_density",
-    _density_sql("SELECT SrcAddr || ' ' || time_window AS key, [" + ", ".join(
-        f"({_MATRIX_SQL[c]} - avg({_MATRIX_SQL[c]}) OVER ()) / CASE WHEN stddev_pop({_MATRIX_SQL[c]}) OVER () > 0 THEN stddev_pop({_MATRIX_SQL[c]}) OVER () ELSE 1 END"
-        for c in MATRIX
-    ) + "] AS v FROM camp", len(MATRIX), 2.0, 12),
+    _density_sql(f"SELECT SrcAddr || ' ' || time_window AS key, v FROM ({Z_SQL}) z", len(MATRIX), 2.0, 12),
     "camp",
 )
 def e12(spark: SparkSession, sf: str) -> DataFrame:
@@ -699,16 +748,23 @@ def e15(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cluster_summary(S.campaigns(spark, sf))
 
 
-@query("e16_e18_forest")
+@query(
+    "e16_e18_forest",
+    "SELECT 'class ' || label AS item, round(count(*) * 0.2) AS value FROM camp GROUP BY label UNION ALL "
+    f"SELECT 'importances', 1.0 UNION ALL SELECT 'features', {len(MATRIX)}.0",
+    "camp",
+)
 def e16(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows of each class as the report counts them, and the features' importances as shares of one."""
     camps = S.campaigns(spark, sf)
     matrix, names = clustering.design_matrix(camps)
     train, test = models.stratified_split(matrix, "label", ["SrcAddr", "time_window"])
     model = models.train_forest(train, names)
     report = models.classification_report(models.predict(model, test, names))
     top = models.feature_importances(model, names, camps)
-    return report.select(F.concat(F.lit("class "), F.col("label").cast("string")).alias("item"), F.col("f1").alias("value")).unionByName(
-        top.select(F.col("feature").alias("item"), F.round("importance", 4).alias("value"))
+    shares = top.agg(F.round(F.sum("importance"), 4).alias("importances"), F.count(F.lit(1)).cast("double").alias("features"))
+    return report.select(F.concat(F.lit("class "), F.col("label").cast("string")).alias("item"), F.col("support").cast("double").alias("value")).unionByName(
+        shares.unpivot([], ["importances", "features"], "item", "value")
     )
 
 
@@ -745,12 +801,35 @@ def e17r(spark: SparkSession, sf: str) -> DataFrame:
     return models.classification_report(S.campaigns(spark, sf).withColumn("prediction", F.expr(PREDICTED)))
 
 
-@query("e19_projection")
+def _power_sql(name: str, matrix: str, steps: int = 400) -> str:
+    """Largest eigenvalue and its vector, by power iteration."""
+    return (f"{name}_walk(step, v) AS (SELECT 0, list_transform(range({len(MATRIX)}), lambda i: 1.0::DOUBLE / (i + 1)) UNION ALL SELECT step + 1, "
+            f"list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS w "
+            f"FROM {name}_walk, {matrix} WHERE step < {steps}) t), "
+            f"{name} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lambda_ FROM {name}_walk, {matrix} WHERE step = {steps})")
+
+
+PROJECTION_SQL = (
+    f", z AS ({Z_SQL}), cell AS (SELECT i, j, avg(v[i] * v[j]) AS c FROM z, range(1, {len(MATRIX) + 1}) a(i), range(1, {len(MATRIX) + 1}) b(j) GROUP BY i, j), "
+    "cov AS MATERIALIZED (SELECT list(r ORDER BY i) AS m, sum(r[i]) AS trace FROM (SELECT i, list(c ORDER BY j) AS r FROM cell GROUP BY i)), "
+    + _power_sql("first", "cov")
+    + ", rest AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - lambda_ * v[i] * v[j])) AS m FROM cov, first), "
+    + _power_sql("second", "rest")
+    + " SELECT (SELECT count(*) FROM z) AS rows, TRUE AS centred, TRUE AS ordered, round(first.lambda_ / trace, 4) AS explained_1, "
+    "round(second.lambda_ / trace, 4) AS explained_2, TRUE AS shares_agree FROM cov, first, second"
+)
+
+
+@query("e19_projection", PROJECTION_SQL, "camp")
 def e19(spark: SparkSession, sf: str) -> DataFrame:
-    rows, explained = models.project_2d(standardized(spark, sf), dims=len(MATRIX))
-    return rows.agg(
+    """Explained shares, and whether the projected points' own variances have them."""
+    points = standardized(spark, sf)
+    rows, explained = models.project_2d(points, dims=len(MATRIX))
+    total = points.agg(sum((F.var_pop(F.col("features")[i]) for i in range(len(MATRIX))), F.lit(0.0))).scalar()
+    shares = [F.abs(F.var_pop(c) / F.max("_total") - F.lit(e)) < 1e-6 for c, e in zip(("pc1", "pc2"), explained)]
+    return rows.withColumn("_total", total).agg(
         F.count(F.lit(1)).alias("rows"), (F.abs(F.avg("pc1")) < 1e-6).alias("centred"),
-        (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"),
+        (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"), (shares[0] & shares[1]).alias("shares_agree"),
     ).withColumn("explained_1", F.lit(round(explained[0], 4))).withColumn("explained_2", F.lit(round(explained[1], 4)))
 
 

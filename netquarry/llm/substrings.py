@@ -34,13 +34,10 @@ from netquarry.llm.text import WordHashes, mixed, pieces, text_key, utf8, window
 WINDOW = 20
 ANCHOR = 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-# A coordinate is one bigint: 15 bits that tell rows of one doc_id apart, 40 bits of
-# word position, 8 bits of path length. Its order is the order of occurrence.
-_TAG, _START, _LENGTH = 48, 8, 0xFF
-
-
-def _tag(text: Column) -> Column:
-    return text_key(text).bitwiseAND(F.lit(0x7FFF))
+# Within a document (doc_id and text_key) a coordinate is one bigint: the word position
+# above 8 bits of path length. Its order is the order of occurrence.
+_START, _LENGTH = 8, 0xFF
+_DOCUMENT = ["doc_id", "text_key"]
 
 
 def paths(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,101 +59,109 @@ def paths(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in pieces(batches, 1000):
-        ids = batch.column("doc_id")
+        ids, keys = batch.column("doc_id"), batch.column("text_key")
         rows, found, totals, digests = [], [], [], []
-        for i, (text, tag) in enumerate(zip(utf8(batch.column("text")), batch.column("tag").to_pylist())):
+        for i, text in enumerate(utf8(batch.column("text"))):
             split = text.split()
             totals.append(len(split))
             digests.append(hashlib.sha256(b" ".join(split)).hexdigest())
             anchor, content, start, length = paths(words.of(split))
             rows.append(np.full(len(anchor), i))
-            found.append((anchor, content, np.uint64(tag << _TAG) | (start << np.uint64(_START)) | length))
+            found.append((anchor, content, (start << np.uint64(_START)) | length))
         anchor, content, at = (np.concatenate([f[j] for f in found]).view(np.int64) for j in range(3))
         repeats = pa.array(np.concatenate(rows), pa.int64())
         n = len(anchor)
-        names = ["doc_id", "at", "anchor", "content", "n_words", "whole_sha256"]
+        names = [*_DOCUMENT, "at", "anchor", "content", "n_words", "whole_sha256"]
         yield pa.RecordBatch.from_arrays(
-            [ids.take(repeats), pa.array(at), pa.array(anchor), pa.array(content), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names
+            [ids.take(repeats), keys.take(repeats), pa.array(at), pa.array(anchor), pa.array(content), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names
         )
-        tags = pa.array(np.array(batch.column("tag").to_pylist(), np.int64) << _TAG)
         n = len(ids)
         yield pa.RecordBatch.from_arrays(
-            [ids, tags, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals, pa.int64()), pa.array(digests, pa.string())], names
+            [ids, keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals, pa.int64()), pa.array(digests, pa.string())], names
         )
 
 
 def _unfolded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single edges of the named paths: anchor, edge, doc_id, at."""
+    """Single edges of the named paths: anchor, edge, doc_id, text_key, at."""
     words = WordHashes()
     for batch in pieces(batches, 500):
-        ids, rows, out = batch.column("doc_id"), [], []
-        for i, (text, tag, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("tag").to_pylist(), batch.column("branching"))):
+        ids, keys, rows, out = batch.column("doc_id"), batch.column("text_key"), [], []
+        for i, (text, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("branching"))):
             edges = window_hashes(words.of(text.split()), WINDOW)
             coordinate = branching.values.field("at").to_numpy()
             length = coordinate & _LENGTH
-            first = (coordinate & ((1 << _TAG) - 1)) >> _START
+            first = coordinate >> _START
             # Positions of all windows of all paths: each path counts on from its first.
             total = int(length.sum())
             at = np.arange(total) + np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length)
             rows.append(np.full(total, i))
-            out.append((np.repeat(branching.values.field("anchor").to_numpy(), length), edges[at].view(np.int64), (tag << _TAG) | (at << _START) | 1))
+            out.append((np.repeat(branching.values.field("anchor").to_numpy(), length), edges[at].view(np.int64), (at << _START) | 1))
         if out:
             anchor, edge, at = (np.concatenate([o[j] for o in out]) for j in range(3))
+            repeats = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(edge), ids.take(pa.array(np.concatenate(rows))), pa.array(at)], ["anchor", "edge", "doc_id", "at"]
+                [pa.array(anchor), pa.array(edge), ids.take(repeats), keys.take(repeats), pa.array(at)], ["anchor", "edge", *_DOCUMENT, "at"]
             )
 
 
 def _place(at: Column) -> list[Column]:
-    start = F.shiftright(at.bitwiseAND(F.lit((1 << _TAG) - 1)), _START)
-    return [F.shiftright(at, _TAG).alias("tag"), start.alias("start"), (start + at.bitwiseAND(F.lit(_LENGTH)) + (WINDOW - 1)).alias("end")]
+    start = F.shiftright(at, _START)
+    return [start.alias("start"), (start + at.bitwiseAND(F.lit(_LENGTH)) + (WINDOW - 1)).alias("end")]
 
 
 def _later(occurrences: DataFrame, key: str) -> DataFrame:
     """Occurrences that are not the earliest of their (anchor, key)."""
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), *_DOCUMENT, "at")
     first = occurrences.groupBy("anchor", key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return occurrences.join(first, ["anchor", key]).filter(order != F.col("first")).select("doc_id", "at")
+    return occurrences.join(first, ["anchor", key]).filter(order != F.col("first")).select(*_DOCUMENT, "at")
+
+
+def _same_document(left: DataFrame, right: DataFrame) -> Column:
+    """Condition of a join with ``right`` (_id, _key); null ids are equal."""
+    return left["doc_id"].eqNullSafe(right["_id"]) & (left["text_key"] == right["_key"])
+
+
+def _named(*columns: Column | str) -> list[Column | str]:
+    return [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *columns]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per-document facts, texts of documents with repeats, and the word ranges to remove.
 
-    Facts: doc_id, tag, n_words, whole_sha256 (of all words). Texts: doc_id, tag,
-    text. Ranges: doc_id, tag, start, end (exclusive, in words), covered by a
-    window whose words also start earlier.
+    Facts: doc_id, text_key, n_words, whole_sha256 (of all words). Texts: doc_id,
+    text_key, text. Ranges: doc_id, text_key, start, end (exclusive, in words),
+    covered by a window whose words also start earlier.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tag(F.col("text")).alias("tag"), "text")
-    written = materialize(
-        rows.mapInArrow(_occurrences, "doc_id bigint, at bigint, anchor bigint, content bigint, n_words bigint, whole_sha256 string"),
-        "substring-paths",
-    )
-    facts = written.filter("anchor IS NULL").select("doc_id", F.shiftright("at", _TAG).alias("tag"), "n_words", "whole_sha256")
-    occurrences = written.filter("anchor IS NOT NULL").select("doc_id", "at", "anchor", "content")
+    rows = _rows(docs)
+    schema = "doc_id bigint, text_key bigint, at bigint, anchor bigint, content bigint, n_words bigint, whole_sha256 string"
+    written = materialize(rows.mapInArrow(_occurrences, schema), "substring-paths")
+    facts = written.filter("anchor IS NULL").select(*_DOCUMENT, "n_words", "whole_sha256")
+    occurrences = written.filter("anchor IS NOT NULL").select(*_DOCUMENT, "at", "anchor", "content")
     several = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     met = materialize(occurrences.join(several, "anchor"), "substring-met")
 
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), *_DOCUMENT, "at")
     distinct = met.groupBy("anchor", "content").agg(F.min(order).alias("first"))
     branches = distinct.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("branching")).filter("branching")
-    forks = distinct.join(branches, "anchor").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
-    wanted = (
-        forks.select("doc_id", F.shiftright("at", _TAG).alias("tag"), F.struct("anchor", "at").alias("path"))
-        .groupBy("doc_id", "tag").agg(F.collect_list("path").alias("branching"))
-    )
-    touched = met.select("doc_id", F.shiftright("at", _TAG).alias("tag")).distinct()
-    needed = touched.join(wanted, touched["doc_id"].eqNullSafe(wanted["doc_id"]) & (touched["tag"] == wanted["tag"]), "left").select(
-        touched["doc_id"].alias("_id"), touched["tag"].alias("_tag"), F.coalesce("branching", F.array()).alias("branching")
+    forks = distinct.join(branches, "anchor").select("anchor", *[F.col(f"first.{c}").alias(c) for c in (*_DOCUMENT, "at")])
+    wanted = forks.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("anchor", "at")).alias("branching"))
+    wanted = wanted.select(*_named("branching"))
+    touched = met.select(*_DOCUMENT).distinct()
+    needed = touched.join(wanted, _same_document(touched, wanted), "left").select(
+        touched["doc_id"].alias("_id"), touched["text_key"].alias("_key"), F.coalesce("branching", F.array()).alias("branching")
     )
     texts = materialize(
-        rows.join(needed, rows["doc_id"].eqNullSafe(needed["_id"]) & (rows["tag"] == needed["_tag"])).select("doc_id", "tag", "text", "branching"),
-        "substring-texts",
+        rows.join(needed, _same_document(rows, needed)).select(*_DOCUMENT, "text", "branching"), "substring-texts"
     )
     edges = materialize(
-        texts.filter(F.size("branching") > 0).mapInArrow(_unfolded, "anchor bigint, edge bigint, doc_id bigint, at bigint"), "substring-edges"
+        texts.filter(F.size("branching") > 0).mapInArrow(_unfolded, "anchor bigint, edge bigint, doc_id bigint, text_key bigint, at bigint"), "substring-edges"
     )
     later = _later(met, "content").unionByName(_later(edges, "edge"))
-    return facts, texts.select("doc_id", "tag", "text"), later.select("doc_id", *_place(F.col("at")))
+    return facts, texts.select(*_DOCUMENT, "text"), later.select(*_DOCUMENT, *_place(F.col("at")))
 
 
 def _stripped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +181,9 @@ def _stripped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(rest).hexdigest())
             left.append(rest)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests),
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests),
              pa.array(left, pa.binary()).cast(pa.string())],
-            ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [*_DOCUMENT, "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
 
@@ -192,22 +197,18 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Null, empty and blank texts have no words; texts under 20 words keep all.
     Repeated rows with one doc_id and text count as one document, keep one row
-    each, and agree. A null doc_id comes after all others. Other columns are not
+    each, and agree; other texts of one doc_id are documents of their own, in an
+    order of their hash. A null doc_id comes after all others. Other columns are not
     read; an empty table gives an empty result.
     """
     facts, texts, ranges = repeats(docs)
-    ranges = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    ranges = materialize(ranges, "substring-ranges")
-    at = ranges.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "ranges")
-    schema = "doc_id bigint, tag bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-
-    def on(left: DataFrame) -> Column:
-        return left["doc_id"].eqNullSafe(at["_id"]) & (left["tag"] == at["_tag"])
-
+    ranges = ranges.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    at = materialize(ranges, "substring-ranges").select(*_named("ranges"))
+    schema = "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     if with_text:
-        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tag(F.col("text")).alias("tag"), "text")
-        return rows.join(at, on(rows), "left").select("doc_id", "tag", "text", "ranges").mapInArrow(_stripped, schema).select(columns)
-    cut = texts.join(at, on(texts)).select("doc_id", "tag", "text", "ranges").mapInArrow(_stripped, schema).select(columns)
-    whole = facts.join(at.select("_id", "_tag"), on(facts), "left_anti")
+        rows = _rows(docs)
+        return rows.join(at, _same_document(rows, at), "left").select(*_DOCUMENT, "text", "ranges").mapInArrow(_stripped, schema).select(columns)
+    cut = texts.join(at, _same_document(texts, at)).select(*_DOCUMENT, "text", "ranges").mapInArrow(_stripped, schema).select(columns)
+    whole = facts.join(at.select("_id", "_key"), _same_document(facts, at), "left_anti")
     return cut.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256")))

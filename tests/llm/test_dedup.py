@@ -2,13 +2,15 @@
 
 import hashlib
 import itertools
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netquarry.llm import linededup, minhash, substrings
-from netquarry.llm.text import WordHashes
+from netquarry.llm.text import WordHashes, text_key
 
 
 def shingles(text):
@@ -64,12 +66,12 @@ def test_estimate_follows_similarity(spark):
     assert abs((x == y).mean() - 0.5) < 0.15
 
 
-def strip_repeats(rows):
+def strip_repeats(rows, words_of=lambda text: text):
     seen, out = set(), []
     order = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
     digests = {}
     for unnamed, i, text in order:
-        w = text.encode().split()
+        w = words_of(text).encode().split()
         keep = [True] * len(w)
         for k in range(len(w) - 19):
             window = tuple(w[k : k + 20])
@@ -97,6 +99,30 @@ def test_repeated_spans_of_odd_rows(odd_docs, odd_rows):
     assert texts[7] == "one two" and texts[2] == "" and texts[10].endswith("tail")
 
 
+def test_repeated_spans_of_rows_that_share_an_id(spark):
+    """Texts of one id, or of none, are documents of their own, ordered by their hash."""
+    draw = random.Random(12)
+
+    def words(n):
+        return ["".join(draw.choice(("ba", "de", "ki", "lo", "mu")) for _ in range(draw.randint(2, 4))) for _ in range(n)]
+
+    base = words(400)
+    texts = set()
+    while len(texts) < 330:
+        at = draw.randrange(380)
+        texts.add(" ".join([*words(draw.randint(0, 30)), *base[at : at + draw.randint(18, 45)], *words(draw.randint(0, 30))]))
+    texts = sorted(texts)
+    rows = [(None, t) for t in texts[:300]] + [(7, t) for t in texts[300:]] + [(8, texts[0]), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = {r["text"]: r["k"] for r in df.select("text", text_key(F.col("text")).alias("k")).collect()}
+    place = {t: i for i, t in enumerate(sorted(texts, key=keys.get))}
+    # The brute force orders documents of one id by their text, so it is given names in the order of the hashes.
+    numbered = [(d, f"{place[t]:04d}|{t}") for d, t in rows]
+    want = sorted(((r[0], *r[1:]) for r in strip_repeats(numbered, lambda t: t.partition("|")[2])), key=repr)
+    got = sorted(map(tuple, substrings.without_repeats(df).collect()), key=repr)
+    assert got == want and sum(r[2] for r in got) > 3000
+
+
 def test_paths_cover_every_window_once():
     h = np.random.default_rng(3).integers(0, 1 << 63, 500, np.uint64)
     _, _, start, length = substrings.paths(h)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -41,17 +40,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Like ``materialize``, and lets go of the shuffle files that led to the table.
-
-    Spark removes a finished shuffle's files when the driver's JVM collects the
-    plan that made them, which may be half an hour later; a chain of large phases
-    would keep the shuffles of all of them on the executors' disks until then.
-    """
-    out = materialize(df, name)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out

@@ -14,12 +14,18 @@ distance. A gram that stays frequent at full length (its list could be of any si
 is not merged: the words that need it meet by their own text without one letter
 instead, where a group is no larger than the alphabet.
 
-Everything is joins and aggregates of built-in functions; the vocabulary is counted
-with partial aggregates first, so a very frequent word is one row per task.
+The vocabulary is counted with partial aggregates first, so a very frequent word is
+one row per task. The dictionary comes out of the sorted order of all pieces, block
+by block; the rest is joins and aggregates of built-in functions.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,8 @@ RARE = 32  # a gram found more often is made longer
 MERGED = 256  # the longest list that is merged
 SHARED = 2  # grams beyond its bound that a word lists
 LONG_WORD = 200  # letters; longer words meet by halves, not by each left-out letter
+BLOCK = 4096  # pieces of the sorted vocabulary counted together
+_ENDS = pa.list_(pa.struct([("gram", pa.string()), ("found", pa.int64())]))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FROM, _TO = "^", "$"  # end marks, outside the letters
 
@@ -61,20 +69,66 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
     return counted.filter(F.col("n") >= min_count)
 
 
+def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pieces in blocks, with their own counts of the prefixes of the first and the last piece."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(start, BLOCK)
+            pieces, counts = part.column("piece").to_pylist(), part.column("n").to_numpy()
+            ends = {}
+            for piece in {pieces[0], pieces[-1]}:
+                for q in range(SHORTEST, len(piece) + 1):
+                    gram = piece[:q]
+                    ends[gram] = int(counts[bisect_left(pieces, gram) : bisect_right(pieces, gram, key=lambda p: p[:q])].sum())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("block").slice(0, 1), pa.array([pieces]), pa.array([counts], pa.list_(pa.int64())), pa.array([list(ends.items())], _ENDS)],
+                ["block", "pieces", "counts", "ends"],
+            )
+
+
+def _chosen(rare: int):
+    """Task body: the gram of each piece of a block, from prefix counts in the block or, at its ends, over all blocks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pieces, counts = batch.column("pieces")[i].as_py(), np.array(batch.column("counts")[i].as_py(), np.int64)
+                ends = {e["gram"]: e["found"] for e in batch.column("ends")[i].as_py()}
+                lengths = np.array([len(p) for p in pieces])
+                letters, found = lengths.copy(), counts.copy()  # the whole piece, if no prefix of it is rare
+                for q in range(LONGEST - 1, SHORTEST - 1, -1):
+                    prefixes = np.array([p[:q] for p in pieces])
+                    first = np.concatenate(([True], prefixes[1:] != prefixes[:-1]))
+                    run_of = np.cumsum(first) - 1
+                    total = np.bincount(run_of, counts).astype(np.int64)
+                    starts = np.flatnonzero(first)
+                    for k in {0, len(starts) - 1}:
+                        total[k] = ends.get(prefixes[starts[k]].item(), total[k])
+                    total = total[run_of]
+                    takes = (lengths > q) & (total <= rare)
+                    letters[takes], found[takes] = q, total[takes]
+                yield pa.RecordBatch.from_arrays([pa.array(pieces), pa.array(letters, pa.int32()), pa.array(found)], ["piece", "letters", "found"])
+
+    return run
+
+
 def gram_dictionary(places: DataFrame, rare: int) -> DataFrame:
     """piece, letters, found: the gram that starts each piece (LONGEST letters or up to the word's end) and its frequency.
 
     A prefix of the piece that is found at most ``rare`` times is long enough, so
     the prefixes below it are pruned; the whole piece is taken if no prefix is rare.
+    In sorted order a prefix is a run of pieces: blocks of the order count their own
+    runs, and only the runs at their ends are added up across blocks.
     """
     pieces = places.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    prefixes = pieces.select("piece", "n", F.explode(F.sequence(F.lit(SHORTEST), F.length("piece"))).alias("letters"))
-    prefixes = prefixes.withColumn("gram", F.left("piece", F.col("letters")))
-    found = prefixes.groupBy("gram").agg(F.sum("n").alias("found"))
-    repeated = prefixes.join(found.filter("found > 1"), "gram", "left").withColumn("found", F.coalesce("found", F.lit(1).cast("bigint")))
-    fits = (F.col("found") <= rare) | (F.col("letters") == F.length("piece"))
-    chosen = repeated.filter(fits).groupBy("piece").agg(F.min(F.struct("letters", "found")).alias("gram"))
-    return chosen.select("piece", "gram.letters", "gram.found")
+    ordered = pieces.repartitionByRange("piece").sortWithinPartitions("piece").withColumn("block", F.monotonically_increasing_id())
+    schema = "block bigint, pieces array<string>, counts array<bigint>, ends array<struct<gram: string, found: bigint>>"
+    blocks = materialize(ordered.mapInArrow(_blocked, schema), "spelling-blocks")
+    ends = blocks.select("block", F.inline("ends"))
+    totals = ends.groupBy("gram").agg(F.sum("found").alias("total"))
+    summed = ends.join(totals, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", F.col("total").alias("found"))).alias("ends"))
+    whole = blocks.drop("ends").join(summed, "block")
+    return whole.select("pieces", "counts", "ends").mapInArrow(_chosen(rare), "piece string, letters int, found bigint")
 
 
 def _letter_set(word: Column) -> Column:
@@ -95,13 +149,10 @@ def rare_grams(words: DataFrame, rare: int = RARE) -> DataFrame:
         F.posexplode(F.transform(F.sequence(F.lit(0), "size"), lambda p: F.array_join(F.slice("marked", p + 1, F.lit(LONGEST)), ""))).alias("place", "piece"),
     )
     places = materialize(places, "spelling-places")
-    grams = places.join(gram_dictionary(places, rare), "piece").select(
-        "id", "place", "letters", F.struct("found", F.left("piece", F.col("letters")).alias("gram"), "place").alias("gram")
-    )
-    of_word = grams.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "letters"))), lambda g: g["letters"]).alias("lengths"),
-        F.array_sort(F.collect_list("gram")).alias("grams"),
-    )
+    grams = places.join(gram_dictionary(places, rare), "piece").select("id", F.struct("found", F.left("piece", F.col("letters")).alias("gram"), "place").alias("gram"))
+    of_word = grams.groupBy("id").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
+    by_place = F.array_sort(F.transform("grams", lambda g: F.struct(g["place"], F.length(g["gram"]).alias("letters"))))
+    of_word = of_word.withColumn("lengths", F.transform(by_place, lambda g: g["letters"]))
     over = lambda at: F.size(  # noqa: E731  grams over a place
         F.filter(F.sequence(F.greatest(at - (LONGEST - 1), F.lit(0)), at), lambda p: p + F.get("lengths", p) > at)
     )
@@ -120,12 +171,13 @@ def rare_grams(words: DataFrame, rare: int = RARE) -> DataFrame:
 
 def _merged(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) that share as many listed grams as both must."""
-    left, right = lists.select("gram", "nth", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "letters_set", "margin"))), lists
-    close = (F.col("id_a") < F.col("id")) & (F.abs(F.col("size_a") - F.col("size")) <= 1)
-    close &= F.bit_count(F.col("letters_set_a").bitwiseXOR(F.col("letters_set"))) <= 2
-    met = left.join(right, ["gram", "nth"]).filter(close)
-    pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("margin_a", "margin")).alias("needed")
+    listed = lists.select(F.xxhash64("gram", "nth").alias("key"), "id", "size", "letters_set", "margin")
+    left, right = (listed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in listed.columns[1:])) for side in "ab")
+    close = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1)
+    close &= F.bit_count(F.col("letters_set_a").bitwiseXOR(F.col("letters_set_b"))) <= 2
+    met = left.join(right, "key").filter(close)
+    pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("margin_a", "margin_b")).alias("needed")
     )
     return pairs.filter("shared >= needed").select("a", "b")
 

@@ -148,7 +148,6 @@ def rare_grams(words: DataFrame, rare: int = RARE) -> DataFrame:
         "id",
         F.posexplode(F.transform(F.sequence(F.lit(0), "size"), lambda p: F.array_join(F.slice("marked", p + 1, F.lit(LONGEST)), ""))).alias("place", "piece"),
     )
-    places = materialize(places, "spelling-places")
     grams = places.join(gram_dictionary(places, rare), "piece").select("id", F.struct("found", F.left("piece", F.col("letters")).alias("gram"), "place").alias("gram"))
     of_word = grams.groupBy("id").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
     by_place = F.array_sort(F.transform("grams", lambda g: F.struct(g["place"], F.length(g["gram"]).alias("letters"))))
@@ -171,13 +170,15 @@ def rare_grams(words: DataFrame, rare: int = RARE) -> DataFrame:
 
 def _merged(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) that share as many listed grams as both must."""
-    listed = lists.select(F.xxhash64("gram", "nth").alias("key"), "id", "size", "letters_set", "margin")
+    # Size and margin (a few letters) travel as one number.
+    listed = lists.select(F.xxhash64("gram", "nth").alias("key"), "id", (F.shiftleft(F.col("size").cast("bigint"), 8) + F.col("margin")).alias("facts"), "letters_set")
     left, right = (listed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in listed.columns[1:])) for side in "ab")
-    close = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1)
+    size, margin = ([f(F.col(f"facts_{side}")) for side in "ab"] for f in (lambda c: F.shiftright(c, 8), lambda c: c.bitwiseAND(F.lit(255))))
+    close = (F.col("id_a") < F.col("id_b")) & (F.abs(size[0] - size[1]) <= 1)
     close &= F.bit_count(F.col("letters_set_a").bitwiseXOR(F.col("letters_set_b"))) <= 2
     met = left.join(right, "key").filter(close)
     pairs = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("margin_a", "margin_b")).alias("needed")
+        F.count(F.lit(1)).alias("shared"), F.min(F.least(*margin)).alias("needed")
     )
     return pairs.filter("shared >= needed").select("a", "b")
 

@@ -17,8 +17,8 @@ from netquarry.functions import rules
 from netquarry.functions import vectors as V
 from netquarry.functions.storage import fresh_path
 from netquarry.operators import (
-    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, kmeans, models, per_ip, ranking, reports,
-    sampling, scoring, timeline, ward,
+    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, grouped, kmeans, models, per_ip, ranking, reports,
+    sampling, scoring, sketches, timeline, ward,
 )
 from netquarry.plans import fixture
 from netquarry.plans import stages as S
@@ -478,6 +478,29 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return S.profile(spark, sf).select("SrcAddr", *[F.round(vec[i], 4).alias(c) for i, c in enumerate(PER_IP_FEATURES)])
 
 
+@query(
+    "c2_sketched_distinct",
+    ", ".join(["", *[f"w{h} AS (SELECT SrcAddr, time_bucket(INTERVAL '{h} hours', StartTime, TIMESTAMP '2000-01-01') AS t FROM flows GROUP BY ALL)" for h in (6, 24)]])
+    + " SELECT '6 hours' AS width, count(*) AS windows, 0::BIGINT AS beyond_error FROM w6 UNION ALL SELECT '1 day', count(*), 0 FROM w24",
+    "flows",
+)
+def c2(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of two widths from one table of hourly sketches, and how many estimates miss the exact count by more than the stated error."""
+    flows = S.flows(spark, sf)
+    hours = S.staged(spark, sf, "hourly-sketches", lambda: sketches.hourly_sketches(flows))
+    found = None
+    for width in ("6 hours", "1 day"):
+        keyed = flows.select("SrcAddr", N.window_start("StartTime", width).alias("time_window"), "DstAddr", "Dport")
+        exact = grouped.value_statistics(keyed, ["SrcAddr", "time_window"], ["DstAddr", "Dport"]).select(
+            "SrcAddr", "time_window", F.col("DstAddr_distinct").alias("hosts"), F.col("Dport_distinct").alias("ports")
+        )
+        both = exact.join(sketches.distinct_counts(hours, width), ["SrcAddr", "time_window"], "left")
+        off = [F.abs(F.col(f"{c}_distinct") - F.col(e)) > F.col(e) * sketches.relative_error() for c, e in (("DstAddr", "hosts"), ("Dport", "ports"))]
+        rows = both.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.coalesce(off[0] | off[1], F.lit(True))).alias("beyond_error")).withColumn("width", F.lit(width))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 # ---- clustering -------------------------------------------------------------
 
 MATRIX = [*FEATURE_SQL, "ds_CTU-13", "ds_IoT-23", "ds_Mixed"]

@@ -156,3 +156,16 @@ def test_third_source_and_numeric_labels(make_flows):
     assert got["dataset_source"] == "LAN" and got["label"] == 1
     mixed = make_flows([(*flow(0), "LAN", 2), (*flow(1), "CTU-13", 0)], [*COLUMNS, "DatasetSource", "is_malicious"])
     assert fp.fingerprints(mixed).first()["dataset_source"] == "Mixed" and fp.fingerprints(mixed).first()["label"] == 0
+
+
+def test_sketches_merge_to_wider_windows(make_flows):
+    from netquarry.operators import sketches
+
+    rows = [(i * 40, "a", f"d{i % 700}", i % 300) for i in range(1500)] + [(5, "b", "x", 1), (9, "b", "x", 2), (3, "c", None, None)]
+    flows = make_flows(rows, ["StartTime", "SrcAddr", "DstAddr", "Dport"])
+    hours = sketches.hourly_sketches(flows)
+    assert hours.filter("SrcAddr = 'a'").count() == 17
+    got = {r["SrcAddr"]: r for r in sketches.distinct_counts(hours, "1 day").filter("time_window < '2024-01-02'").collect()}
+    exact = len({r[2] for r in rows if r[1] == "a" and r[0] < 43200})
+    assert abs(got["a"]["DstAddr_distinct"] - exact) <= exact * sketches.relative_error()
+    assert (got["b"]["DstAddr_distinct"], got["b"]["Dport_distinct"]) == (1, 2) and got["c"]["DstAddr_distinct"] == 0

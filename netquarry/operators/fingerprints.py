@@ -93,7 +93,7 @@ def raw_fingerprints(
     rows = _complete(flows).withColumn("time_window", window_start("StartTime", window))
     scalars = _scalars(rows, iot_ports, "Dport" in flows.columns)
     values = value_statistics(rows, KEYS, ["Proto", "DstAddr", "Dport"])
-    gaps = gap_statistics(rows, KEYS, slice_width="10 seconds")
+    gaps = gap_statistics(rows, KEYS, spread=["DstAddr", "Sport", "Dport"])
     out = scalars.join(values, KEYS).join(gaps, KEYS)
     ports = F.col("Dport_distinct") if "Dport" in flows.columns else F.lit(0).cast("bigint")
     protos = F.col("Proto_distinct") if "Proto" in flows.columns else F.lit(0).cast("bigint")

@@ -1,17 +1,20 @@
 """Grouped statistics shared by both fingerprint profiles.
 
 Both helpers are safe for a key that holds a large share of all rows: every
-step either combines map-side or works on a bounded time slice.
+step either combines map-side or works on a range of rows of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions.network import micros_between, window_start
+_FAR = np.iinfo(np.int64).max  # beyond every time
 
 
 def value_statistics(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -43,43 +46,107 @@ def value_statistics(df: DataFrame, keys: Sequence[str], values: Sequence[str])
     return folded.select(*out)
 
 
-def gap_statistics(df: DataFrame, keys: Sequence[str], time: str = "StartTime", slice_width: str = "1 minute") -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Gap moments of every run of equal keys in rows sorted by key and time.
+
+    The run at the end of a batch stays open and is joined to the start of the
+    next, so a task emits one row per key it holds.
+    """
+    held: tuple[list[pa.Array], list] | None = None
+
+    def made(columns: list[pa.Array], numbers: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        ends = numbers[0] == 0  # no known time: no first and last
+        arrays = [pa.array(v, kind, mask=ends if i >= 4 else None) for i, (v, kind) in enumerate(zip(numbers, kinds))]
+        return pa.RecordBatch.from_arrays(columns + arrays, names=[f"c{i}" for i in range(keys + 6)])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i) for i in range(keys)]
+        fresh = np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            same = np.ones(batch.num_rows - 1, bool)
+            for c in columns:
+                equal = pc.fill_null(pc.equal(c[1:], c[:-1]), False)
+                nulls = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1]))
+                same &= pc.or_(equal, nulls).to_numpy(zero_copy_only=False)
+            fresh[1:] = ~same
+        known = batch.column(keys).is_valid().to_numpy(zero_copy_only=False)
+        t = pc.fill_null(batch.column(keys).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(fresh)
+        inner = np.zeros(batch.num_rows, bool)
+        inner[1:] = ~fresh[1:] & known[1:] & known[:-1]
+        gap = np.where(inner, np.diff(t, prepend=t[:1]), 0) / 1e6
+        points, gaps = np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(inner.astype(np.int64), starts)
+        mean = np.add.reduceat(gap, starts) / np.maximum(gaps, 1)
+        off = np.where(inner, gap - np.repeat(mean, np.diff(np.append(starts, batch.num_rows))), 0.0)
+        first = np.minimum.reduceat(np.where(known, t, _FAR), starts)
+        last = np.maximum.reduceat(np.where(known, t, -_FAR), starts)
+        numbers = [points, gaps, mean, np.add.reduceat(off * off, starts), first, last]
+        heads = [c.take(pa.array(starts)) for c in columns]
+        if held:
+            if all(a[0].as_py() == b[0].as_py() for a, b in zip(held[0], heads)):
+                for column, value in zip(numbers, _joined(held[1], [column[0] for column in numbers])):
+                    column[0] = value
+            else:
+                yield made(held[0], [np.array([v]) for v in held[1]])
+        held = [c[-1:] for c in heads], [column[-1] for column in numbers]
+        if len(starts) > 1:
+            yield made([c[:-1] for c in heads], [column[:-1] for column in numbers])
+    if held:
+        yield made(held[0], [np.array([v]) for v in held[1]])
+
+
+def _joined(a: list, b: list) -> list:
+    """One run out of two that follow each other, the gap between them included."""
+    if not a[0] or not b[0]:
+        return list(b if not a[0] else a)
+    border = (b[4] - a[5]) / 1e6
+    n = a[1] + b[1] + 1
+    mean = (a[1] * a[2] + b[1] * b[2] + border) / n
+    squares = a[3] + b[3] + a[1] * (a[2] - mean) ** 2 + b[1] * (b[2] - mean) ** 2 + (border - mean) ** 2
+    return [a[0] + b[0], n, mean, squares, a[4], b[5]]
+
+
+def gap_statistics(
+    df: DataFrame, keys: Sequence[str], time: str = "StartTime", spread: Sequence[str] = (), parts: int | None = None
+) -> DataFrame:
     """Spread of the gaps between consecutive timestamps of each key.
 
-    A key's timeline is first cut into slices, so the sort behind ``lag`` works
-    on one slice at a time however hot the key is. Each slice yields its inner
-    gap moments and its two end points; the second step, bounded by the number
-    of slices a key spans, adds the gaps across slice borders. All moments are
-    taken about the key's mean gap, which telescopes to (last - first) / gaps,
-    so no large sums cancel. Emits ``gaps``, ``gap_mean``, ``gap_std_pop`` and
-    ``gap_std_samp`` (null for a single gap), in seconds.
+    Rows are range partitioned by key, time and a hash of the ``spread`` columns,
+    so a key with most rows, or most rows at one time, covers as many tasks as its
+    share of the rows asks for. Each task folds its sorted rows in one pass into a
+    row per key: first and last time and the moments of the gaps between them. The
+    second step sees one row per key and task and adds the gaps across task
+    borders. Its moments are about the key's mean gap, which telescopes to
+    (last - first) / gaps, so no large sums cancel. Null times do not count; a key
+    with null times only has no gap. Emits ``gaps``, ``gap_mean``, ``gap_std_pop``
+    and ``gap_std_samp`` (null for a single gap), in seconds. ``parts`` sets the
+    number of ranges, else it is the session's.
     """
-    sliced = df.select(*keys, F.col(time).alias("_t"), window_start(time, slice_width).alias("_slice"))
-    inner = Window.partitionBy(*keys, "_slice").orderBy("_t")
-    gap = micros_between(F.lag("_t").over(inner), F.col("_t")) / F.lit(1e6)
-    slices = (
-        sliced.withColumn("_gap", gap)
-        .groupBy(*keys, "_slice")
-        .agg(
-            F.count("_gap").alias("_n"),
-            F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("_m"),
-            F.coalesce(F.var_pop("_gap"), F.lit(0.0)).alias("_v"),
-            F.min("_t").alias("_first"),
-            F.max("_t").alias("_last"),
-        )
-    )
+    timed = df.select(*keys, F.col(time).alias("_t"), F.xxhash64(*spread, F.lit(0)).alias("_spread"))
+    order = [*keys, "_t", "_spread"]
+    ranged = timed.repartitionByRange(parts, *order) if parts else timed.repartitionByRange(*order)
+    kinds = timed.select(*keys).schema
+    for name, kind in (("points", "long"), ("n", "long"), ("m", "double"), ("ss", "double"), ("first", "long"), ("last", "long")):
+        kinds = kinds.add(f"_{name}", kind)
+    n_keys = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _runs(batches, n_keys):
+            yield out.rename_columns(kinds.names)
+
+    runs = ranged.sortWithinPartitions(*keys, "_t").drop("_spread").mapInArrow(fold, kinds)
     whole = Window.partitionBy(*keys)
-    outer = whole.orderBy("_slice")
-    total = F.sum("_n").over(whole) + F.count(F.lit(1)).over(whole) - 1
-    span = micros_between(F.min("_first").over(whole), F.max("_last").over(whole)) / F.lit(1e6)
-    border = micros_between(F.lag("_last").over(outer), F.col("_first")) / F.lit(1e6)
-    joined = slices.select(
-        *keys, "_n", "_m", "_v", border.alias("_border"), total.alias("_total"),
-        F.try_divide(span, total).alias("_mean"),
-    )
-    off_inner = F.col("_n") * (F.col("_v") + F.pow(F.col("_m") - F.col("_mean"), 2))
+    outer = whole.orderBy("_first", "_last")
+    total = F.greatest(F.sum("_points").over(whole) - 1, F.lit(0))
+    span = (F.max("_last").over(whole) - F.min("_first").over(whole)) / F.lit(1e6)
+    border = (F.col("_first") - F.lag("_last").over(outer)) / F.lit(1e6)
+    placed = runs.select(*keys, "_n", "_m", "_ss", border.alias("_border"), total.alias("_total"), F.try_divide(span, total).alias("_mean"))
+    off_inner = F.col("_ss") + F.col("_n") * F.pow(F.col("_m") - F.col("_mean"), 2)
     off_border = F.coalesce(F.pow(F.col("_border") - F.col("_mean"), 2), F.lit(0.0))
-    moments = joined.groupBy(*keys).agg(
+    moments = placed.groupBy(*keys).agg(
         F.max("_total").alias("gaps"),
         F.max("_mean").alias("gap_mean"),
         F.sum(off_inner + off_border).alias("_ss"),

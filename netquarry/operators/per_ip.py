@@ -62,7 +62,7 @@ def profile_fingerprints(rows: DataFrame) -> DataFrame:
         F.avg(F.col("TotBytes") / F.col("TotPkts")).alias("bytes_per_pkt"),
     )
     values = value_statistics(rows, KEY, ["Proto", "DstAddr", "Sport", "State", "Dport"])
-    gaps = gap_statistics(rows, KEY)
+    gaps = gap_statistics(rows, KEY, spread=["DstAddr", "Dport"])
     joined = scalars.join(values, KEY).join(gaps, KEY).join(busiest_share(rows), KEY).join(top_labels(rows), KEY)
     cov = F.coalesce(F.try_divide(F.col("gap_std_pop"), F.nullif(F.col("gap_mean"), F.lit(0.0))), F.lit(0.0))
     pkts = F.when(F.col("_pkts") == 0, F.lit(1.0)).otherwise(F.col("_pkts"))

@@ -115,12 +115,37 @@ def test_same_result_for_any_partitioning(spark, make_flows):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_gap_slices_do_not_change_results(make_flows):
+def test_gap_ranges_do_not_change_results(spark, make_flows):
     flows = make_flows(random_flows(300), COLUMNS)
-    fine = {r["SrcAddr"]: r for r in grouped.gap_statistics(flows, ["SrcAddr"], slice_width="10 seconds").collect()}
-    for r in grouped.gap_statistics(flows, ["SrcAddr"], slice_width="30 days").collect():
+    spread = ["DstAddr", "Dport"]
+    whole = {r["SrcAddr"]: r for r in grouped.gap_statistics(flows, ["SrcAddr"], spread=spread, parts=1).collect()}
+    split = grouped.gap_statistics(flows, ["SrcAddr"], spread=spread, parts=23).collect()
+    assert len(split) == len(whole)
+    for r in split:
         for c in ("gaps", "gap_mean", "gap_std_pop", "gap_std_samp"):
-            assert fine[r["SrcAddr"]][c] == pytest.approx(r[c], rel=1e-9)
+            assert whole[r["SrcAddr"]][c] == pytest.approx(r[c], rel=1e-9)
+
+
+def test_gaps_of_one_crowded_time_and_null_times(spark):
+    """Most rows of one key at one time spread over ranges; null times do not count."""
+    rows = [("hot", 5, i) for i in range(4000)] + [("hot", 1, 0), ("hot", 9, 0), ("none", None, 1), ("none", None, 2)]
+    rows += [("part", None, 1), ("part", 3, 1), ("part", 10, 2), (None, 1, 1), (None, 4, 2)]
+    df = spark.createDataFrame(rows, "k string, s int, d int").selectExpr(
+        "k", "timestampadd(SECOND, s, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS StartTime", "d"
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = {r["k"]: r for r in grouped.gap_statistics(df, ["k"], spread=["d"], parts=6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    gaps = [4.0] + [0.0] * 3999 + [4.0]
+    assert got["hot"]["gaps"] == 4001
+    assert got["hot"]["gap_mean"] == pytest.approx(8 / 4001)
+    assert got["hot"]["gap_std_pop"] == pytest.approx(statistics.pstdev(gaps), rel=1e-9)
+    assert got["hot"]["gap_std_samp"] == pytest.approx(statistics.stdev(gaps), rel=1e-9)
+    assert (got["none"]["gaps"], got["none"]["gap_mean"]) == (0, None)
+    assert (got["part"]["gaps"], got["part"]["gap_mean"], got["part"]["gap_std_samp"]) == (1, 7.0, None)
+    assert (got[None]["gaps"], got[None]["gap_mean"]) == (1, 3.0)
 
 
 def test_normalize_keeps_nulls_and_raw_scores(spark):

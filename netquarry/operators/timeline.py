@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.config import DEFAULT
 from netquarry.functions.network import event_class, last_octets, micros_between, subnet24_lenient, window_start
 from netquarry.functions.storage import materialize
+from netquarry.operators.asof import asof_join
 from netquarry.operators.scoring import latest_campaign
 
 
@@ -83,6 +84,37 @@ def replay_seed(flows: DataFrame, camps: DataFrame, timeline: DataFrame, anchor:
     )
 
 
+def replay_seeds(flows: DataFrame, camps: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Default and middle timeline index of every campaign, as ``replay_seed`` gives for one.
+
+    Flows fold to one span per /24 before they meet a campaign; both ends of all
+    spans are matched to the timeline together. A campaign without a dotted address
+    starts where the flows start.
+    """
+    dotted = F.col("SrcAddr").rlike(r"^[^.]*(\.[^.]*){3}$")
+    first = F.min(F.when(dotted, F.struct("time_window", "SrcAddr")))["SrcAddr"]
+    anchors = camps.groupBy(F.col("campaign_id").alias("anchor_campaign")).agg(subnet24_lenient(first).alias("_p"))
+    net = F.when(F.col("SrcAddr").rlike(r"^[^.]*(\.[^.]*){3,}$"), subnet24_lenient("SrcAddr"))
+    spans = materialize(
+        flows.groupBy(net.alias("_net")).agg(F.min("StartTime").alias("t0"), F.max("StartTime").alias("t1")), "spans"
+    )
+    whole = spans.agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).withColumn("_net", F.lit(None).cast("string"))
+    placed = anchors.join(spans.filter("_net IS NOT NULL").unionByName(whole), F.col("_p").eqNullSafe(F.col("_net")), "left")
+    later = F.least(F.timestamp_add("HOUR", F.lit(2), F.col("t0")), F.col("t1"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("t0").alias("t")), F.struct(F.lit(1).alias("end"), later.alias("t"))))
+    steps = timeline.select("idx", "t")
+    found = asof_join(placed.select("anchor_campaign", ends.alias("_e")).select("anchor_campaign", "_e.*"), steps, "t")
+    picks = found.groupBy("anchor_campaign").agg(
+        F.max(F.when(F.col("end") == 0, F.col("match.idx"))).alias("lo"), F.max(F.when(F.col("end") == 1, F.col("match.idx"))).alias("hi")
+    ).withColumn("last", steps.agg(F.max("idx")).scalar())
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2)
+    return picks.select(
+        "anchor_campaign",
+        F.coalesce("lo", F.lit(0)).cast("bigint").alias("default_idx"),
+        F.coalesce(F.least(F.col("last"), F.greatest(F.col("lo"), mid)), F.floor(F.col("last") / 2)).cast("bigint").alias("mid_idx"),
+    )
+
+
 def first_seen(flows: DataFrame) -> DataFrame:
     return flows.groupBy(F.col("SrcAddr").alias("ip")).agg(F.min("StartTime").alias("first_seen"))
 

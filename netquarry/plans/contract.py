@@ -17,7 +17,7 @@ from netquarry.functions import rules
 from netquarry.functions import vectors as V
 from netquarry.functions.storage import fresh_path
 from netquarry.operators import (
-    cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, grouped, kmeans, models, per_ip, ranking, reports,
+    asof, cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, grouped, kmeans, models, per_ip, ranking, reports,
     sampling, scoring, sketches, timeline, ward,
 )
 from netquarry.plans import fixture
@@ -1307,6 +1307,10 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.replay_timeline(S.flows(spark, sf))
 
 
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    return S.staged(spark, sf, "timeline", lambda: timeline.replay_timeline(S.flows(spark, sf)))
+
+
 @query(
     "k2_replay_seed",
     """, anchor AS (SELECT min(SrcAddr) AS ip FROM camp WHERE campaign_id = 0 AND time_window = (SELECT min(time_window) FROM camp WHERE campaign_id = 0)),
@@ -1317,8 +1321,33 @@ SELECT 0 AS anchor_campaign, lo AS default_idx, least((SELECT max(idx) FROM step
     "step", "camp",
 )
 def k2(spark: SparkSession, sf: str) -> DataFrame:
-    steps = S.staged(spark, sf, "timeline", lambda: timeline.replay_timeline(S.flows(spark, sf)))
-    return timeline.replay_seed(S.flows(spark, sf), S.campaigns(spark, sf), steps, 0)
+    return timeline.replay_seed(S.flows(spark, sf), S.campaigns(spark, sf), _steps(spark, sf), 0)
+
+
+@query(
+    "k2_replay_seeds",
+    """, anchor AS (SELECT campaign_id, array_to_string(string_split(arg_min(SrcAddr, (time_window, SrcAddr)), '.')[1:3], '.') AS p FROM camp GROUP BY 1),
+span AS (SELECT campaign_id, min(StartTime) AS t0, max(StartTime) AS t1 FROM flows JOIN anchor ON array_to_string(string_split(SrcAddr, '.')[1:3], '.') = p GROUP BY 1),
+pick AS (SELECT campaign_id, arg_min(idx, abs(epoch_us(t) - epoch_us(t0)) * 10000 + idx) AS lo,
+  arg_min(idx, abs(epoch_us(t) - epoch_us(least(t0 + INTERVAL 2 HOURS, t1))) * 10000 + idx) AS hi FROM span, step GROUP BY 1)
+SELECT campaign_id AS anchor_campaign, lo AS default_idx, least((SELECT max(idx) FROM step), greatest(lo, (lo + hi) // 2)) AS mid_idx FROM pick""",
+    "step", "camp",
+)
+def k2_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Replay positions of every campaign; every fixture address is dotted."""
+    return timeline.replay_seeds(S.flows(spark, sf), S.campaigns(spark, sf), _steps(spark, sf))
+
+
+@query(
+    "k2_first_seen_steps",
+    "SELECT ip, arg_min(idx, abs(epoch_us(t) - epoch_us(first_seen)) * 10000 + idx) AS idx FROM "
+    "(SELECT SrcAddr AS ip, min(StartTime) AS first_seen FROM flows GROUP BY 1), step GROUP BY 1",
+    "step", "flows",
+)
+def k2_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Timeline step nearest to each address's first flow."""
+    probes = timeline.first_seen(S.flows(spark, sf)).withColumnRenamed("first_seen", "t")
+    return asof.asof_join(probes, _steps(spark, sf).select("idx", "t"), "t").select("ip", "match.idx")
 
 
 @query("k3_first_seen", "SELECT SrcAddr AS ip, min(StartTime) AS first_seen FROM flows GROUP BY 1", "flows")

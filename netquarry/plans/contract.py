@@ -15,7 +15,7 @@ from netquarry.config import DEFAULT
 from netquarry.functions import network as N
 from netquarry.functions import rules
 from netquarry.functions import vectors as V
-from netquarry.functions.storage import fresh_path
+from netquarry.functions.storage import fresh_path, materialize
 from netquarry.operators import (
     asof, cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, grouped, kmeans, models, per_ip, ranking, reports,
     sampling, scoring, sketches, timeline, ward,
@@ -24,7 +24,8 @@ from netquarry.plans import fixture
 from netquarry.plans import stages as S
 from netquarry.plans.checks import FEATURE_SQL, HOSTILE, PROFILE_SQL, SCALED, SIMPLE_LABEL, chain
 from netquarry.schema import FEATURES, PER_IP_FEATURES
-from netquarry.sources import intel, readers, writers
+from netquarry.sources import intel, readers, store, writers
+from netquarry.streaming.fingerprints import FingerprintStream
 from netquarry.streaming.sampler import StreamSampler
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +410,23 @@ def c21(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(S.flows(spark, sf))
 
 
+@query(
+    "c21_stream_fingerprints",
+    f"SELECT {FP_SQL} FROM fp WHERE time_window + INTERVAL 1 HOUR <= (SELECT max(StartTime) - INTERVAL 6 HOURS FROM flows)",
+    "fp", "flows",
+)
+def c21_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of a stream that arrives in six-hour pieces, unordered inside; windows the horizon has passed."""
+    flows = S.flows(spark, sf)
+    folder = fresh_path(spark, "arriving")
+    pieces = [r[0] for r in flows.select(N.window_start("StartTime", "6 hours").alias("t")).distinct().sort("t").collect()]
+    for start in pieces:
+        flows.filter(N.window_start("StartTime", "6 hours") == F.lit(start)).write.mode("append").parquet(folder)
+    stream = FingerprintStream(delay="6 hours")
+    stream.start(spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 24).parquet(folder)).awaitTermination()
+    return stream.result(flows)
+
+
 @query("c20_attack_types", "SELECT attack_type, dataset_source, label, count(*) AS fingerprints FROM fp GROUP BY ALL", "fp")
 def c20(spark: SparkSession, sf: str) -> DataFrame:
     return S.fingerprint_table(spark, sf).groupBy("attack_type", "dataset_source", "label").agg(
@@ -1009,16 +1027,42 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "g11_upsert",
+_UPSERT_SQL = (
     "SELECT coalesce(d.cluster_id, f.campaign_id) AS cluster_id, d.attack_type, d.confidence_pct, f.majority_sublabel, f.iot_family "
-    "FROM (SELECT * FROM doc WHERE cluster_id <> 0) d FULL JOIN family f ON d.cluster_id = f.campaign_id",
-    "doc", "family",
+    "FROM (SELECT * FROM doc WHERE cluster_id <> 0) d FULL JOIN family f ON d.cluster_id = f.campaign_id"
 )
+_UPSERTED = ["cluster_id", "attack_type", "confidence_pct", "majority_sublabel", "iot_family"]
+
+
+@query("g11_upsert", _UPSERT_SQL, "doc", "family")
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     old = documents(spark, sf).filter("cluster_id <> 0")
     merged = scoring.upsert_documents(old, families.family_entries(S.flows(spark, sf), members(spark, sf)))
-    return merged.select("cluster_id", "attack_type", "confidence_pct", "majority_sublabel", "iot_family")
+    return merged.select(*_UPSERTED)
+
+
+@query("g11_upsert_store", _UPSERT_SQL, "doc", "family")
+def g11s(spark: SparkSession, sf: str) -> DataFrame:
+    """The same merge as two batches of a store, the second one twice."""
+    kept = store.DocumentStore(spark, buckets=16)
+    kept.upsert(1, documents(spark, sf).filter("cluster_id <> 0"))
+    entries = materialize(families.family_entries(S.flows(spark, sf), members(spark, sf)), "families")
+    for _ in range(2):
+        kept.upsert(2, entries)
+    return kept.read().select(*_UPSERTED)
+
+
+@query(
+    "g11_profile_store",
+    "SELECT SrcAddr, CASE WHEN flow_count > 20 THEN 'revised' ELSE label END AS label, flow_count FROM profile", "profile",
+)
+def g11p(spark: SparkSession, sf: str) -> DataFrame:
+    """Every address's profile kept in a store; labels of busy addresses revised by a second batch."""
+    rows = S.profile(spark, sf).select("SrcAddr", "label", "flow_count")
+    kept = store.DocumentStore(spark, key="SrcAddr")
+    kept.upsert(1, rows)
+    kept.upsert(2, rows.filter("flow_count > 20").select("SrcAddr", F.lit("revised").alias("label")))
+    return kept.read()
 
 
 def profile_campaigns(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from netquarry.config import DEFAULT, EngineConfig
 from netquarry.functions import rules
 from netquarry.functions.vectors import array_of, euclidean, squared_distance
 from netquarry.operators import kmeans, ward
+from netquarry.operators.ranking import top_n_per_group
 from netquarry.operators.sampling import reservoir
 from netquarry.schema import FEATURES
 
@@ -113,6 +114,90 @@ def silhouettes(
     )
 
 
+REFERENCE_BYTES = 256 << 20  # most the reference points of an estimate may take in a task
+
+
+def _estimates(names: list[str], sizes: np.ndarray, marks: list[np.ndarray], vectors: list[np.ndarray]):
+    """Task body: silhouette and bounds of each row (vector, label, mark) from the reference points of every cluster."""
+    at = {name: k for k, name in enumerate(names)}
+    place = [{m: i for i, m in enumerate(some)} for some in marks]
+
+    def bounded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        top = np.maximum(a, b)
+        return np.divide(b - a, top, out=np.zeros_like(top), where=top > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+                own = np.array([at[v] for v in batch.column(1).to_pylist()])
+                ids = batch.column(2).to_pylist()
+                mean, wide = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)))
+                for k, refs in enumerate(vectors):
+                    apart = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (refs**2).sum(1) - 2.0 * (x @ refs.T), 0.0))
+                    counted = np.ones(apart.shape, bool)
+                    for i in np.flatnonzero(own == k):
+                        if ids[i] in place[k]:
+                            counted[i, place[k][ids[i]]] = False
+                    m = counted.sum(1)
+                    others = np.maximum(sizes[k] - (own == k), 1)
+                    mean[:, k] = (apart * counted).sum(1) / np.maximum(m, 1)
+                    squares = (((apart - mean[:, [k]]) ** 2) * counted).sum(1) / np.maximum(m - 1, 1)
+                    wide[:, k] = 4.0 * np.sqrt(squares / np.maximum(m, 1) * np.maximum(1.0 - m / others, 0.0))
+                    wide[(m < 2) & (m < others), k] = np.inf  # nothing is known about the spread
+                rows = np.arange(len(x))
+                far = mean.copy()
+                far[rows, own] = np.inf
+                a, a_off = mean[rows, own], wide[rows, own]
+                b = far.min(1)
+                b_low, b_high = np.maximum(far - np.where(np.isinf(far), 0, wide), 0).min(1), (far + wide).min(1)
+                s = bounded(a, b)
+                low = np.where(np.isinf(a_off), -1.0, bounded(np.where(np.isinf(a_off), 0, a + a_off), b_low))
+                high = np.where(np.isinf(b_high), 1.0, bounded(np.maximum(a - a_off, 0), np.where(np.isinf(b_high), 0, b_high)))
+                alone = sizes[own] == 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), *[pa.array(np.where(alone, 0.0, v)) for v in (s, low, high)]], ["label", "silhouette", "low", "high"]
+                )
+
+    return run
+
+
+def estimated_silhouette(
+    points: DataFrame, label: str, key: Sequence[str], per_cluster: int = 200, seed: int = DEFAULT.seed, features: str = "features"
+) -> DataFrame:
+    """Euclidean silhouette of every point (label, silhouette, low, high), estimated from reference points.
+
+    Each cluster gives up to ``per_cluster`` reference points, those of the smallest
+    md5 of seed and key; every point meets all of them, so the work is points times
+    references. The bounds are four standard errors of each mean distance, corrected
+    for the share of the cluster drawn: with all of a cluster as references they
+    close and the value is exact. The average of a column estimates, or bounds, the
+    average silhouette. The few references and cluster sizes pass the driver and must
+    fit REFERENCE_BYTES. ``key`` is unique; a single label gives no rows.
+    """
+    spark = points.sparkSession
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    wanted = points.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label"), mark.alias("mark"))
+    schema = "label string, silhouette double, low double, high double"
+    sizes = {r["label"]: r["n"] for r in wanted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return spark.createDataFrame([], schema)
+    dims = wanted.select(F.size("x")).first()[0]
+    drawn = sum(min(n, per_cluster) for n in sizes.values())
+    if drawn * dims * 8 > REFERENCE_BYTES:
+        raise ValueError(f"{drawn} reference points of {dims} components exceed {REFERENCE_BYTES} bytes; take fewer per cluster")
+    refs = top_n_per_group(wanted, ["label"], [F.col("mark"), F.col("x")], per_cluster).toPandas()
+    names = list(sizes)
+    of = {name: some for name, some in refs.groupby("label", dropna=False)}
+    ordered = [of[name] if name is not None else refs[refs["label"].isna()] for name in names]
+    body = _estimates(
+        names, np.array([sizes[name] for name in names]), [some["mark"].to_numpy() for some in ordered],
+        [np.stack(some["x"].to_numpy()).astype(float) for some in ordered],
+    )
+    return wanted.mapInArrow(body, schema)
+
+
 def k_bounds(n: int, k_min: int, k_max: int) -> list[int]:
     """Cluster counts to try for n points."""
     hi = min(k_max, max(k_min + 1, n - 1))

@@ -573,6 +573,27 @@ def e5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clustering.silhouettes(embeddings(spark, sf), ["label"], ["vec_id"], sample=20_000), "silhouette")
 
 
+def _between(a: str, b: str) -> str:
+    return f"round(avg(CASE WHEN a IS NULL OR greatest({a}, {b}) = 0 THEN 0 ELSE ({b} - {a}) / greatest({a}, {b}) END), 4)"
+
+
+@query(
+    "e5_silhouette_interval",
+    f"""WITH e AS ({EMB}), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', vec_id))) AS rn,
+ count(*) OVER (PARTITION BY label) AS n FROM e),
+d AS (SELECT a.vec_id, a.label AS own, b.label, b.n - (CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS others, count(*) AS m,
+ avg(list_distance(a.v, b.v)) AS mean, var_samp(list_distance(a.v, b.v)) AS v FROM k a JOIN k b ON b.rn <= 20 AND a.vec_id <> b.vec_id GROUP BY ALL),
+g AS (SELECT *, 4 * sqrt(coalesce(v, 0) / m * greatest(1 - m / others, 0)) AS z FROM d),
+x AS (SELECT vec_id, max(mean) FILTER (label = own) AS a, greatest(max(mean - z) FILTER (label = own), 0) AS a_low, max(mean + z) FILTER (label = own) AS a_high,
+ min(mean) FILTER (label <> own) AS b, min(greatest(mean - z, 0)) FILTER (label <> own) AS b_low, min(mean + z) FILTER (label <> own) AS b_high FROM g GROUP BY vec_id)
+SELECT {_between("a", "b")} AS silhouette, {_between("a_high", "b_low")} AS low, {_between("a_low", "b_high")} AS high FROM x""",
+)
+def e5i(spark: SparkSession, sf: str) -> DataFrame:
+    """Average silhouette of all points from 20 reference points of every label, with its bounds."""
+    each = clustering.estimated_silhouette(embeddings(spark, sf), "label", ["vec_id"], per_cluster=20)
+    return each.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("silhouette", "low", "high")])
+
+
 @query(
     "e5_squared_silhouette",
     f"""WITH e AS ({EMB}), d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) AS n

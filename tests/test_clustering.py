@@ -54,6 +54,26 @@ def test_silhouette_sample_and_singletons(spark):
     assert clustering.silhouettes(lone, ["lone"], ["id"], sample=1000).first()["silhouette"] == pytest.approx(silhouette(x, labels))
 
 
+def test_estimated_silhouette_holds_the_exact_one(spark, monkeypatch):
+    df = blobs(spark, CENTRES, 40, spread=2.5).withColumn("other", F.col("id") % 5)
+    x = np.array([r["features"] for r in df.collect()])
+    for name, labels in (("blob", np.repeat([0, 1, 2], 40)), ("other", np.arange(120) % 5)):
+        exact = silhouette(x, labels)
+        whole = clustering.estimated_silhouette(df, name, ["id"], per_cluster=40).toPandas()
+        assert len(whole) == 120
+        for c in ("silhouette", "low", "high"):
+            assert whole[c].mean() == pytest.approx(exact, abs=1e-6)
+        some = clustering.estimated_silhouette(df, name, ["id"], per_cluster=8).toPandas()
+        assert some["low"].mean() <= exact <= some["high"].mean() and (some["low"] <= some["high"]).all()
+        assert some["silhouette"].mean() == pytest.approx(exact, abs=0.1)
+        one = clustering.estimated_silhouette(df, name, ["id"], per_cluster=1).toPandas()
+        assert one["low"].mean() <= exact <= one["high"].mean()
+    assert clustering.estimated_silhouette(df.withColumn("one", F.lit(1)), "one", ["id"]).count() == 0
+    monkeypatch.setattr(clustering, "REFERENCE_BYTES", 1000)
+    with pytest.raises(ValueError):
+        clustering.estimated_silhouette(df, "blob", ["id"])
+
+
 def test_squared_silhouette_matches_brute_force(spark):
     df = blobs(spark, CENTRES, 40, spread=2.5).withColumn("other", F.col("id") % 5).withColumn("one", F.lit(1))
     df = df.withColumn("lone", F.when(F.col("id") == 0, 9).otherwise(F.col("blob")))

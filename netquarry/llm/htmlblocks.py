@@ -4,7 +4,7 @@ A page becomes the sequence of its text blocks. Each block is read as the hashed
 tokens of its tag path (element names, class and id words, roles), the mean of
 its hashed words, and a few shares; a bidirectional LSTM in numpy labels every
 block with the whole page in view. It is fitted on a bounded sample of pages:
-blocks inside the article element are main text, and the same blocks dressed in
+blocks inside the article element, where there is one, are main text, and the same blocks dressed in
 other usual page layouts teach what menus, sidebars, notices, forms, adverts and
 comments look like elsewhere. Pages of a batch run together, padded by length.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from netquarry.llm.text import pieces
 
 SAMPLE_PAGES = 150  # pages the labeller is fitted on
+SAMPLE_CHARS = 1 << 20  # longest page that may be one of them
 LAYOUTS = 3  # other layouts each of them is dressed in
 HIDDEN = 12
 PATHS, WORDS, SHARES = 256, 64, 6
@@ -294,14 +295,25 @@ def _in_article(block: Block) -> bool:
     return bool(kinds & {"<article", "<main"}) and not kinds & {"<nav", "<aside", "<footer", "<form", "<header", "comments", "comment", "ad"}
 
 
+_APART = {t for kind in (*_ASIDE, *_INSIDE) for t in kind} - {"<div", "<section", "<ol", "<ul"}
+
+
 def fit(pages: list[str], seed: int = 11) -> Labeller:
+    """Labeller fitted on pages; one without article or main element teaches by its running text in other layouts only.
+
+    What is main there is not known, but text outside menus and the like is text, and
+    its layouts are made here. Without any text the labeller finds no main text.
+    """
     draw = np.random.default_rng(seed)
     paths, words, examples = Buckets(PATHS), Buckets(WORDS), []
     for page in pages:
         found = blocks(page)
         main = [_in_article(b) for b in found]
+        known = any(main)
+        if not known:
+            main = [not _APART & set(b.path) and not b.linked for b in found]
         for k in range(LAYOUTS + 1):
-            some, labels = (found, main) if not k else _dressed(found, main, draw)
+            some, labels = (found, main) if known and not k else _dressed(found, main, draw)
             if len(some) > _LONGEST:
                 some, labels = some[: _LONGEST // 2] + some[-_LONGEST // 2 :], labels[: _LONGEST // 2] + labels[-_LONGEST // 2 :]
             if some:
@@ -310,6 +322,8 @@ def fit(pages: list[str], seed: int = 11) -> Labeller:
     m = {k: np.zeros_like(w) for k, w in model.p.items()}
     v = {k: np.zeros_like(w) for k, w in model.p.items()}
     t = 0
+    if not examples:
+        model.p["v"][:] = 0
     for _ in range(_EPOCHS if examples else 0):
         order = draw.permutation(len(examples))
         # Pages of like length share a batch; batches come in random order.
@@ -364,8 +378,14 @@ def _extracted(model: Labeller):
 
 
 def train(pages: DataFrame) -> Labeller:
-    """Labeller fitted on at most SAMPLE_PAGES pages with an article or main element, chosen by a hash."""
-    usable = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("page_id", "html").alias("order"))
+    """Labeller fitted on at most SAMPLE_PAGES pages of up to SAMPLE_CHARS characters, chosen by a hash.
+
+    Pages with an article or main element come first; where they are too few, other
+    pages fill the sample.
+    """
+    teaches = F.col("html").rlike("(?i)<(article|main)[ >]")
+    short = pages.filter(F.length("html") <= SAMPLE_CHARS)
+    usable = short.select("html", F.struct((~teaches).alias("other"), F.xxhash64("page_id", "html").alias("hash")).alias("order"))
     chosen = F.broadcast(usable.select("order").distinct().orderBy("order").limit(SAMPLE_PAGES).withColumnRenamed("order", "_order"))
     rows = usable.join(chosen, F.col("order") == F.col("_order"), "left_semi").dropDuplicates(["order"]).orderBy("order").limit(SAMPLE_PAGES)
     return fit([r["html"] for r in rows.select("html").toLocalIterator()])
@@ -377,7 +397,8 @@ def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     Null, empty and blank pages, and pages without main text, have an empty text.
     Unclosed and stray tags are read as they come. Repeated rows agree; null ids
     and urls are kept. Other columns are not read; an empty table gives an empty
-    result. ``model`` reuses a fitted labeller.
+    result. A table without any article or main element is learnt from as ``fit``
+    says. ``model`` reuses a fitted labeller.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"))
     model = model or train(rows)

@@ -149,6 +149,25 @@ def test_main_text(spark, no_docs):
     assert htmlblocks.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_of_a_table_without_articles(spark):
+    draw = random.Random(9)
+    side = ("<div class='sidebar'><p>Read these other things too</p></div><form><label>Your name</label></form>"
+            "<div class='comments'><p>I did not like this at all.</p></div>")
+    rows = [(k, "u", page(draw, k, "div class='post-content'", side)) for k in range(40)]
+    got = htmlblocks.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    right = 0
+    for r in got:
+        inner = re.search(r"<h1>.*?(?=</div>)", rows[r["page_id"]][2]).group()
+        right += r["text"] == " ".join(re.sub("<[^>]+>", " ", inner).replace("&amp;", "&").split())
+    assert len(got) == 40 and right >= 36
+
+
+def test_main_text_without_any_text_to_learn_from(spark):
+    rows = [(1, "u", "<nav><ul><li><a href='/'>Home</a></li></ul></nav>"), (2, "u", None)]
+    got = htmlblocks.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["", ""]
+
+
 def test_blocks():
     got = htmlblocks.blocks("<div class=a>one<b>two</b> three<p>x &lt; y<p>z<br>w</div><textarea><p>no</textarea>end")
     assert [b.text for b in got] == ["onetwo three", "x < y", "z", "w", "end"]

@@ -12,6 +12,7 @@ from netquarry.functions.network import (
     beacon_strength, confidence_band, malicious_profile, severity_tier, subnet24_lenient,
 )
 from netquarry.operators.enrichment import matches_per_address
+from netquarry.operators.grams import GramIndex
 from netquarry.operators.sampling import sample_per_group
 from netquarry.schema import PER_IP_FEATURES
 
@@ -212,6 +213,11 @@ def search_addresses(assigned: DataFrame, query: str, limit: int = 12) -> DataFr
     return assigned.filter(hit).select("SrcAddr").orderBy("SrcAddr").limit(limit)
 
 
+def search_indexed(index: GramIndex, query: str, limit: int = 12) -> DataFrame:
+    """As ``search_addresses``, from an index of the addresses."""
+    return index.search(query).select(F.col("text").alias("SrcAddr")).orderBy("SrcAddr").limit(limit)
+
+
 def overview(campaigns: DataFrame) -> DataFrame:
     return campaigns.agg(
         F.coalesce(F.sum("ip_count"), F.lit(0)).alias("total_ips"), F.count(F.lit(1)).alias("campaigns"),

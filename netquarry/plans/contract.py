@@ -17,7 +17,7 @@ from netquarry.functions import rules
 from netquarry.functions import vectors as V
 from netquarry.functions.storage import fresh_path, materialize
 from netquarry.operators import (
-    asof, cleaning, clustering, density, drift, enrichment, families, fingerprints, graph, grouped, kmeans, models, per_ip, ranking, reports,
+    asof, cleaning, clustering, density, drift, enrichment, families, fingerprints, grams, graph, grouped, kmeans, models, per_ip, ranking, reports,
     sampling, scoring, sketches, timeline, ward,
 )
 from netquarry.plans import fixture
@@ -1596,6 +1596,21 @@ def l12(spark: SparkSession, sf: str) -> DataFrame:
     return reports.search_addresses(S.profile(spark, sf), "0.0.1")
 
 
+@query("l12_search_indexed", "SELECT SrcAddr FROM profile WHERE SrcAddr LIKE '%0.0.1%' ORDER BY 1 LIMIT 12", "profile")
+def l12i(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.search_indexed(_address_index(spark, sf), "0.0.1")
+
+
+@query("l12_addresses_holding", "SELECT SrcAddr FROM profile WHERE SrcAddr LIKE '%.11%'", "profile")
+def l12all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every address that holds a text, from the index."""
+    return _address_index(spark, sf).search(".11").select(F.col("text").alias("SrcAddr"))
+
+
+def _address_index(spark: SparkSession, sf: str) -> grams.GramIndex:
+    return grams.GramIndex.build(S.profile(spark, sf), "SrcAddr")
+
+
 @query(
     "l13_overview",
     "SELECT sum(ip_count)::BIGINT AS total_ips, count(*) AS campaigns, count(*) FILTER (confidence >= 0.8) AS high_confidence FROM pcamp", "pcamp",

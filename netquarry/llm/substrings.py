@@ -3,7 +3,8 @@
 Nodes are the 19-word sequences of the corpus, edges the 20-word windows. Edges
 are partitioned by their anchor, the eight-word part with the smallest hash.
 Consecutive windows of a document with one anchor form a path of up to 13 edges,
-written as one row. Joins on the anchor then tell three cases apart:
+written as one row. One exchange brings the rows of an anchor together, and windows
+over it tell three cases apart:
 
 - the anchor occurs once: none of its edges repeats, the rows go;
 - it always occurs inside the same path: the path is nonbranching and repeated
@@ -15,7 +16,12 @@ Equal words therefore always meet at one anchor, wherever documents begin or end
 and only about a seventh of all windows is ever a row. Rows carry source
 coordinates (document, start), whose smallest is the occurrence that stays. A
 path or edge is identified by its anchor's and its own hash, 128 bits together.
-Texts are needed again only for documents that hold repeats.
+
+A task first folds the equal paths among up to ``FOLD`` rows: only the earliest
+goes to its anchor, the others are known to repeat and are spread by their place,
+so a passage in a third of all documents is one row per fold there. No row is
+written before it is known to repeat; joins then bring branching paths, and what
+goes, back to the documents they come from.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.storage import materialize
@@ -34,10 +40,13 @@ from netquarry.llm.text import WordHashes, mixed, pieces, text_key, utf8, window
 WINDOW = 20
 ANCHOR = 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-# Within a document (doc_id and text_key) a coordinate is one bigint: the word position
-# above 8 bits of path length. Its order is the order of occurrence.
+FOLD = 1 << 20  # rows a task holds to fold equal ones
+# Within a document a coordinate is one bigint: the word position above 8 bits of path
+# length. Its order is the order of occurrence.
 _START, _LENGTH = 8, 0xFF
-_DOCUMENT = ["doc_id", "text_key"]
+# A document is its id, null last; text_key is 0 unless several texts share the id.
+_DOCUMENT = ["unnamed", "id", "text_key"]
+_PLACED = "unnamed bigint, id bigint, text_key bigint, at bigint, anchor bigint, content bigint"
 
 
 def paths(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,134 +65,146 @@ def paths(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return parts[at[first]], content, first.astype(np.uint64), length
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
-    for batch in pieces(batches, 1000):
-        ids, keys = batch.column("doc_id"), batch.column("text_key")
-        rows, found, totals, digests = [], [], [], []
-        for i, text in enumerate(utf8(batch.column("text"))):
-            split = text.split()
-            totals.append(len(split))
-            digests.append(hashlib.sha256(b" ".join(split)).hexdigest())
-            anchor, content, start, length = paths(words.of(split))
-            rows.append(np.full(len(anchor), i))
-            found.append((anchor, content, (start << np.uint64(_START)) | length))
-        anchor, content, at = (np.concatenate([f[j] for f in found]).view(np.int64) for j in range(3))
-        repeats = pa.array(np.concatenate(rows), pa.int64())
-        n = len(anchor)
-        names = [*_DOCUMENT, "at", "anchor", "content", "n_words", "whole_sha256"]
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(repeats), keys.take(repeats), pa.array(at), pa.array(anchor), pa.array(content), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names
-        )
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays(
-            [ids, keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals, pa.int64()), pa.array(digests, pa.string())], names
-        )
+def _folded(held: list[tuple]) -> pa.RecordBatch:
+    """Earliest row of each (anchor, content); the later ones spread by place, without content."""
+    unnamed, ids, keys = (np.concatenate([docs.column(c).to_numpy() for docs, *_ in held]) for c in _DOCUMENT)
+    rows, at, anchor, content = (np.concatenate([h[j] for h in held]) for j in range(1, 5))
+    order = np.lexsort((keys, ids, unnamed))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (np.diff(unnamed[order]) != 0) | (np.diff(ids[order]) != 0) | (np.diff(keys[order]) != 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+
+    order = np.lexsort((at, rank[rows], content, anchor))
+    rows, at, anchor, content = rows[order], at[order], anchor[order], content[order]
+    later = np.zeros(len(order), bool)
+    later[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+    # A repeated row gives the same place again.
+    twin = np.zeros(len(order), bool)
+    twin[1:] = later[1:] & (rank[rows[1:]] == rank[rows[:-1]]) & (at[1:] == at[:-1])
+    rows, at, anchor, content, later = (x[~twin] for x in (rows, at, anchor, content, later))
+    # Twins of the earliest are gone, so what is left of a group after its head stands later.
+    spread = mixed(anchor * _ODD + mixed(ids[rows].view(np.uint64) * _ODD + at.view(np.uint64)))
+    anchor = np.where(later, spread, anchor).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(x[rows]) for x in (unnamed, ids, keys)), pa.array(at), pa.array(anchor), pa.array(content.view(np.int64), mask=later)],
+        [*_DOCUMENT, "at", "anchor", "content"],
+    )
 
 
-def _unfolded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single edges of the named paths: anchor, edge, doc_id, text_key, at."""
-    words = WordHashes()
-    for batch in pieces(batches, 500):
-        ids, keys, rows, out = batch.column("doc_id"), batch.column("text_key"), [], []
-        for i, (text, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("branching"))):
-            edges = window_hashes(words.of(text.split()), WINDOW)
-            coordinate = branching.values.field("at").to_numpy()
-            length = coordinate & _LENGTH
-            first = coordinate >> _START
-            # Positions of all windows of all paths: each path counts on from its first.
-            total = int(length.sum())
-            at = np.arange(total) + np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-            rows.append(np.full(total, i))
-            out.append((np.repeat(branching.values.field("anchor").to_numpy(), length), edges[at].view(np.int64), (at << _START) | 1))
-        if out:
-            anchor, edge, at = (np.concatenate([o[j] for o in out]) for j in range(3))
-            repeats = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(edge), ids.take(repeats), keys.take(repeats), pa.array(at)], ["anchor", "edge", *_DOCUMENT, "at"]
-            )
+def _folds(parts: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Parts are (documents, row, at, anchor, content); rows count within their documents."""
+    held, size, base = [], 0, 0
+    for docs, rows, *found in parts:
+        held.append((docs, rows + base, *found))
+        size, base = size + len(rows), base + docs.num_rows
+        if size >= FOLD:
+            yield _folded(held)
+            held, size, base = [], 0, 0
+    if size:
+        yield _folded(held)
 
 
-def _place(at: Column) -> list[Column]:
-    start = F.shiftright(at, _START)
-    return [start.alias("start"), (start + at.bitwiseAND(F.lit(_LENGTH)) + (WINDOW - 1)).alias("end")]
+def _joined(found: list[tuple]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([f[j] for f in found]) for j in range(4))
 
 
-def _later(occurrences: DataFrame, key: str) -> DataFrame:
-    """Occurrences that are not the earliest of their (anchor, key)."""
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), *_DOCUMENT, "at")
-    first = occurrences.groupBy("anchor", key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return occurrences.join(first, ["anchor", key]).filter(order != F.col("first")).select(*_DOCUMENT, "at")
+def _paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+
+    def parts():
+        for batch in pieces(batches, 1000):
+            found = []
+            for i, text in enumerate(utf8(batch.column("text"))):
+                anchor, content, start, length = paths(words.of(text.split()))
+                found.append((np.full(len(anchor), i), ((start << np.uint64(_START)) | length).view(np.int64), anchor, content))
+            if found:
+                yield batch.select(_DOCUMENT), *_joined(found)
 
+    return _folds(parts())
 
-def _same_document(left: DataFrame, right: DataFrame) -> Column:
-    """Condition of a join with ``right`` (_id, _key); null ids are equal."""
-    return left["doc_id"].eqNullSafe(right["_id"]) & (left["text_key"] == right["_key"])
 
+def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single edges of the named paths."""
+    words = WordHashes()
 
-def _named(*columns: Column | str) -> list[Column | str]:
-    return [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *columns]
+    def parts():
+        for batch in pieces(batches, 500):
+            found = []
+            for i, (text, branching) in enumerate(zip(utf8(batch.column("text")), batch.column("branching"))):
+                edges = window_hashes(words.of(text.split()), WINDOW)
+                coordinate = branching.values.field("at").to_numpy()
+                length = coordinate & _LENGTH
+                # Positions of all windows of all paths: each path counts on from its first.
+                total = int(length.sum())
+                at = np.arange(total) + np.repeat((coordinate >> _START) - np.concatenate(([0], np.cumsum(length)[:-1])), length)
+                anchor = np.repeat(branching.values.field("anchor").to_numpy(), length).view(np.uint64)
+                found.append((np.full(total, i), (at << _START) | 1, anchor, edges[at]))
+            if found:
+                yield batch.select(_DOCUMENT), *_joined(found)
+
+    return _folds(parts())
+
+
+def _repeated(occurrences: DataFrame) -> DataFrame:
+    """Rows that stand later than an equal one, and the earliest of each path where paths branch.
+
+    Columns of a place, and the anchor of branching rows (null for later ones). One
+    exchange by anchor serves both windows.
+    """
+    place = F.struct(*_DOCUMENT, "at")
+    path, node = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
+    met = occurrences.repartition("anchor").withColumn("later", F.col("content").isNull() | (place != F.min(place).over(path)))
+    met = met.withColumn("branches", F.min("content").over(node) != F.max("content").over(node)).filter("later OR branches")
+    return met.select(*_DOCUMENT, "at", F.when(~F.col("later"), F.col("anchor")).alias("anchor"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    """Texts by document; a text key is carried only where several texts share an id."""
+    number = F.col("doc_id").cast("bigint")
+    named = docs.select(number.isNull().cast("bigint").alias("unnamed"), F.coalesce(number, F.lit(0)).alias("id"), text_key(F.col("text")).alias("text_key"), "text")
+    low, high = F.min("text_key").alias("low"), F.max("text_key").alias("high")
+    shared = named.groupBy("unnamed", "id").agg(low, high).filter("low < high").select("unnamed", "id", F.lit(True).alias("shared"))
+    named = named.join(materialize(shared, "substring-ids"), ["unnamed", "id"], "left")
+    return named.select("unnamed", "id", F.when(F.col("shared"), F.col("text_key")).otherwise(F.lit(0)).alias("text_key"), "text")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per-document facts, texts of documents with repeats, and the word ranges to remove.
+def _texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Texts of the documents that ``lists`` names, with its columns; the key table alone thins the texts first."""
+    return rows.join(lists.select(*_DOCUMENT), _DOCUMENT, "left_semi").join(lists, _DOCUMENT)
 
-    Facts: doc_id, text_key, n_words, whole_sha256 (of all words). Texts: doc_id,
-    text_key, text. Ranges: doc_id, text_key, start, end (exclusive, in words),
-    covered by a window whose words also start earlier.
-    """
-    rows = _rows(docs)
-    schema = "doc_id bigint, text_key bigint, at bigint, anchor bigint, content bigint, n_words bigint, whole_sha256 string"
-    written = materialize(rows.mapInArrow(_occurrences, schema), "substring-paths")
-    facts = written.filter("anchor IS NULL").select(*_DOCUMENT, "n_words", "whole_sha256")
-    occurrences = written.filter("anchor IS NOT NULL").select(*_DOCUMENT, "at", "anchor", "content")
-    several = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    met = materialize(occurrences.join(several, "anchor"), "substring-met")
-
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), *_DOCUMENT, "at")
-    distinct = met.groupBy("anchor", "content").agg(F.min(order).alias("first"))
-    branches = distinct.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("branching")).filter("branching")
-    forks = distinct.join(branches, "anchor").select("anchor", *[F.col(f"first.{c}").alias(c) for c in (*_DOCUMENT, "at")])
-    wanted = forks.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("anchor", "at")).alias("branching"))
-    wanted = wanted.select(*_named("branching"))
-    touched = met.select(*_DOCUMENT).distinct()
-    needed = touched.join(wanted, _same_document(touched, wanted), "left").select(
-        touched["doc_id"].alias("_id"), touched["text_key"].alias("_key"), F.coalesce("branching", F.array()).alias("branching")
-    )
-    texts = materialize(
-        rows.join(needed, _same_document(rows, needed)).select(*_DOCUMENT, "text", "branching"), "substring-texts"
-    )
-    edges = materialize(
-        texts.filter(F.size("branching") > 0).mapInArrow(_unfolded, "anchor bigint, edge bigint, doc_id bigint, text_key bigint, at bigint"), "substring-edges"
-    )
-    later = _later(met, "content").unionByName(_later(edges, "edge"))
-    return facts, texts.select(*_DOCUMENT, "text"), later.select(*_DOCUMENT, *_place(F.col("at")))
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """Per document that loses words: the coordinates ``gone`` of what also starts earlier."""
+    found = materialize(_repeated(rows.mapInArrow(_paths, _PLACED)), "substring-repeats")
+    branching = found.filter("anchor IS NOT NULL").groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("anchor", "at")).alias("branching"))
+    texts = _texts(rows, materialize(branching, "substring-branching"))
+    edges = _repeated(texts.mapInArrow(_edges, _PLACED))
+    later = found.unionByName(edges).filter("anchor IS NULL")
+    return materialize(later.groupBy(*_DOCUMENT).agg(F.collect_list("at").alias("gone")), "substring-gone")
 
 
 def _stripped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1000):
         totals, removed, digests, left = [], [], [], []
-        for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges")):
+        for text, found in zip(utf8(batch.column("text")), batch.column("gone")):
             split = text.split()
             gone = np.zeros(len(split) + 1, np.int64)
-            if ranges.is_valid:
-                found = ranges.values
-                np.add.at(gone, found.field("start").to_numpy(), 1)
-                np.add.at(gone, found.field("end").to_numpy(), -1)
+            if found.is_valid:
+                at = found.values.to_numpy()
+                start = at >> _START
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + (at & _LENGTH) + (WINDOW - 1), -1)
             keep = np.cumsum(gone)[:-1] == 0
             rest = b" ".join([w for w, k in zip(split, keep.tolist()) if k])
             totals.append(len(split))
             removed.append(len(split) - int(keep.sum()))
             digests.append(hashlib.sha256(rest).hexdigest())
             left.append(rest)
+        ids = pa.array(batch.column("id").to_numpy(), mask=batch.column("unnamed").to_numpy() == 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests),
-             pa.array(left, pa.binary()).cast(pa.string())],
-            [*_DOCUMENT, "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [ids, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(left, pa.binary()).cast(pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
         )
 
 
@@ -201,14 +222,10 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     order of their hash. A null doc_id comes after all others. Other columns are not
     read; an empty table gives an empty result.
     """
-    facts, texts, ranges = repeats(docs)
-    ranges = ranges.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    at = materialize(ranges, "substring-ranges").select(*_named("ranges"))
-    schema = "doc_id bigint, text_key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    rows = _rows(docs)
+    gone = repeats(rows)
+    whole = rows.join(gone.select(*_DOCUMENT), _DOCUMENT, "left_anti").withColumn("gone", F.lit(None).cast("array<bigint>"))
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    if with_text:
-        rows = _rows(docs)
-        return rows.join(at, _same_document(rows, at), "left").select(*_DOCUMENT, "text", "ranges").mapInArrow(_stripped, schema).select(columns)
-    cut = texts.join(at, _same_document(texts, at)).select(*_DOCUMENT, "text", "ranges").mapInArrow(_stripped, schema).select(columns)
-    whole = facts.join(at.select("_id", "_key"), _same_document(facts, at), "left_anti")
-    return cut.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256")))
+    parts = [part.select(*_DOCUMENT, "text", "gone").mapInArrow(_stripped, schema).select(columns) for part in (_texts(rows, gone), whole)]
+    return parts[0].unionByName(parts[1])

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,22 @@ def test_paths_cover_every_window_once():
     assert covered == list(range(481)) and length.max() <= 13
 
 
+def test_equal_paths_fold_within_a_task():
+    """The earliest of equal rows keeps its content, later ones lose it, repeated rows leave one."""
+    def part(ids, rows, at, anchor, content):
+        docs = pa.RecordBatch.from_pydict({"unnamed": [int(i is None) for i in ids], "id": [i or 0 for i in ids], "text_key": [0] * len(ids)})
+        return docs, np.array(rows), np.array(at), np.array(anchor, np.uint64), np.array(content, np.uint64)
+
+    # Anchor 5 holds path 7 in documents null, 9 (twice, a repeated row) and 2, and path 8 in document 9.
+    parts = [part([None, 9, 9], [0, 1, 2, 1], [256, 512, 512, 1024], [5, 5, 5, 5], [7, 7, 7, 8]), part([2], [0, 0], [512, 256], [5, 6], [7, 7])]
+    out = pa.Table.from_batches(substrings._folds(iter(parts))).to_pylist()
+    place = {(r["unnamed"], r["id"], r["at"]): (r["anchor"], r["content"]) for r in out}
+    assert len(out) == len(place) == 5
+    assert place[0, 2, 512] == (5, 7) and place[0, 2, 256] == (6, 7) and place[0, 9, 1024] == (5, 8)
+    later = [place[1, 0, 256], place[0, 9, 512]]
+    assert all(content is None for _, content in later) and len({5, *(anchor for anchor, _ in later)}) == 3
+
+
 def near_line(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1

@@ -86,6 +86,7 @@ def simple_label(label: Column | str) -> Column:
 
 def attack_category(attack: Column | str) -> Column:
     """Display category of an attack type, first matching keyword wins."""
+    # Keywords and category names.
     s = F.lower(F.coalesce(_col(attack), F.lit("")))
     return (
         F.when(s.rlike("mirai|bot"), F.lit("bot"))
@@ -97,6 +98,7 @@ def attack_category(attack: Column | str) -> Column:
 
 def event_class(attack: Column | str) -> Column:
     """Event name of a replay-feed row."""
+    # Keywords and event names.
     c = _col(attack)
     s = F.lower(F.coalesce(c, F.lit("")))
     plain = F.when(s == "", F.lit("Flow")).otherwise(F.left(c, F.lit(16)))
@@ -119,5 +121,6 @@ def severity_tier(confidence: Column | str) -> Column:
 
 
 def beacon_strength(score: Column | str) -> Column:
+    # Thresholds and names.
     c = F.coalesce(_col(score), F.lit(0.0))
     return F.when(c > 0.2, F.lit("Strong")).when(c > 0.08, F.lit("Moderate")).otherwise(F.lit("Weak"))

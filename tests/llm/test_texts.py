@@ -272,6 +272,30 @@ def test_search_equals_brute_force_at_any_number_of_documents():
         assert [set(search.found(text)) for text in texts] == want
 
 
+def test_candidates_come_from_the_space(spark):
+    """An item the space does not hold is not met; the passages' directions are those of all their TF-IDF rows."""
+    draw, known = random.Random(41), words(random.Random(42), 30)
+    items = decontaminate.items_of([(k, " ".join(draw.choices(known, k=20)) + ".") for k in range(4)])
+    rows = [(k, " ".join(draw.choices(known + ["foreign"], k=draw.choice([0, 5, 16, 32, 33, 70, 200])) + ([x.decode() for x in items.words[k % 4]] if k % 2 else [])), "en", "s", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    idf = decontaminate.inverse_frequencies(docs, items)
+    passages = []
+    for row in rows:
+        ids = decontaminate.features_of(decontaminate.plain_words(row[1].encode()), items.vocabulary)
+        for start in range(0, max(1, len(ids) - 16), 16) if len(ids) else ():
+            v = np.bincount(ids[start : start + 32], minlength=len(idf)) * idf
+            size = np.sqrt((idf[ids[start : start + 32]] ** 2 * (ids[start : start + 32] > 0)).sum())
+            v[0] = 0
+            passages.append(v / size if size else v)
+    a = np.array(passages)
+    found = decontaminate.passage_directions(docs, items, idf)
+    assert found.T @ found == pytest.approx(a.T @ a / np.linalg.norm(a, 2) ** 2, abs=1e-8)
+    space = decontaminate.latent_space(items, idf, found)
+    text = b"foreign " + b" ".join(items.words[1])
+    assert 1 in decontaminate.Search(items, idf, space).found(text)
+    assert not decontaminate.Search(items, idf, np.zeros_like(space)).found(text)
+
+
 def test_common_subsequence():
     draw = random.Random(1)
     for _ in range(200):

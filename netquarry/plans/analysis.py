@@ -139,7 +139,7 @@ def analyse_profile(
     """Per-address analysis of all rows, or of a uniform sample when a row key is given."""
     drawn = raw if sample_key is None else sampling.reservoir(raw, sample_key, cfg.sample_rows, cfg.seed)
     rows = materialize(cleaning.per_ip_rows(drawn), "rows")
-    vectors = materialize(per_ip.normalized_profile(per_ip.profile_fingerprints(rows)), "profile")
+    vectors = materialize(per_ip.normalized_profile(materialize(per_ip.profile_fingerprints(rows), "profile-rows")), "profile")
     curve, _, model = clustering.best_k_simplified(vectors, k_range, "norm_features", cfg.seed)
     camps = materialize(kmeans.assign(vectors, model, "norm_features"), "campaigns")
     hourly = materialize(scoring.hourly_counts(rows), "hourly")

@@ -212,3 +212,39 @@ def test_profile_is_derived_once(spark, make_flows, monkeypatch):
     found = stages.profile(spark, "own rows")
     assert found.count() == 7 and len(plans) == 1
     assert "FileScan" in plans[0] and "Exchange" not in plans[0]
+
+
+def _mixed_flows(make_flows):
+    """Keys of one to 40 flows: equal times, several labels on a tie, null values and null keys."""
+    columns = ["StartTime", "SrcAddr", "DstAddr", "Dport", "Sport", "Proto", "Dur", "SrcBytes", "DstBytes", "TotPkts", "is_malicious", "DatasetSource"]
+    rows = []
+    for n, ip in ((40, "10.0.0.1"), (9, "10.0.0.2"), (2, "10.0.0.3"), (1, "10.0.0.4"), (6, None)):
+        for i in range(n):
+            rows.append((
+                i * i % 17, ip, None if i == 3 else f"172.16.0.{i % 5}", i % 7 if i % 4 else None, 53 if i % 3 else 4000, "tcp" if i % 2 else "udp",
+                i / 8, 100 + i, 90 - i, 1 + i % 3, i % 2 if i != 4 else None, "A" if ip != "10.0.0.2" or i % 2 else "B",
+            ))
+    kinds = "StartTime int, SrcAddr string, DstAddr string, Dport int, Sport int, Proto string, Dur double, SrcBytes long, DstBytes long, TotPkts long, is_malicious int, DatasetSource string"
+    flows = make_flows(rows, kinds)
+    return flows.selectExpr("timestampadd(SECOND, StartTime, TIMESTAMP_NTZ'2024-01-01 12:00:00') AS StartTime", *columns[1:])
+
+
+def test_gathered_and_spread_keys_have_the_same_statistics(spark, monkeypatch):
+    flows = _mixed_flows(spark.createDataFrame)
+    got = {}
+    for most in (1_000, 9, 0):  # all keys gathered, the largest spread, all spread
+        monkeypatch.setattr(fp, "GATHERED", most)
+        got[most] = {r["SrcAddr"]: r.asDict() for r in fp.raw_fingerprints(flows).collect()}
+    assert set(got[0]) == {"10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.4"}
+    assert got[0]["10.0.0.2"]["dataset_source"] == "Mixed"
+    for most in (1_000, 9):
+        assert set(got[most]) == set(got[0])
+        for ip, row in got[0].items():
+            assert set(got[most][ip]) == set(row)
+            for name, value in row.items():
+                assert got[most][ip][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (most, ip, name)
+
+
+def test_flows_of_usual_keys_are_exchanged_once(spark):
+    plan = fp.raw_fingerprints(_mixed_flows(spark.createDataFrame))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan

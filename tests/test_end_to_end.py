@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from netquarry.config import EngineConfig
+from netquarry.plans import contract as queries
 from netquarry.plans import fixture
 from netquarry.plans.analysis import analyse, analyse_profile, assign_campaigns
+from netquarry.sources import readers
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are absent")
@@ -62,3 +64,16 @@ def test_registry():
 def test_entry_schema(spark):
     df = contract.entry(spark)
     assert df.columns[:3] == ["SrcAddr", "time_window", "dataset_source"] and df.count() > 0
+
+
+def test_mixed_log_is_written_by_many_tasks(spark, tmp_path):
+    spark.range(40, numPartitions=4).selectExpr(
+        "id AS l_suppkey", "id * 3 AS l_partkey", "id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "'N' AS l_returnflag", "'O' AS l_linestatus"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40, numPartitions=4).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    path = queries._mixed_inputs(spark, str(tmp_path))[1]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    per_file = lines.groupBy("file").agg(F.count_if(F.col("value").startswith("#fields")).alias("heads")).collect()
+    assert len(per_file) > 1 and all(r["heads"] == 1 for r in per_file)
+    flows = fixture.raw_flows(spark, str(tmp_path)).filter("TotPkts % 4 = 1").count()
+    assert lines.count() == flows + len(per_file) and readers.read_zeek(spark, path).count() == flows > 0

@@ -264,6 +264,25 @@ def test_density_of_few_points(spark):
     assert density.density_clusters(df.filter("id < 0"), ["id"]).count() == 0
 
 
+def test_points_of_one_spot_and_component_do_not_meet(spark):
+    """A spot within one radius costs its points times those still open, not their square."""
+    rng = np.random.default_rng(5)
+    q = np.unique(rng.integers(0, 90, (900, 3)), axis=0)
+    rows = [(i, [int(v) for v in r], (100, 0) if i % 100 else (0, i), True) for i, r in enumerate(q)]
+    points = spark.createDataFrame(rows, "id bigint, q array<int>, rank struct<size:bigint,base:bigint>, open boolean")
+    buckets = density._buckets(points, 3, density.STEPS, crowd=100)
+    assert buckets.count() == buckets.filter("home").count() == len(q)
+    closed = points.withColumn("rank", F.expr("named_struct('size', 100L, 'base', 0L)"))
+    assert density._buckets(closed, 3, density.STEPS, crowd=100).count() == 0
+
+    few = buckets.join(points.select("id", "rank"), "id").withColumn("open", F.col("rank.size") == 0).drop("rank")
+    met = density._met(few, crowd=100)
+    asking, parts = -(-len(q) // 100), -(-len(q) // 100)
+    assert met.filter("NOT asks").count() == len(q) and met.filter("asks").count() == asking * parts
+    pairs = met.filter("asks").select("bucket", "c", "o", F.col("id").alias("a")).join(met.filter("NOT asks"), ["bucket", "c", "o"])
+    assert pairs.count() == pairs.select("a", "id").distinct().count() == asking * len(q)
+
+
 def test_spanning_forest_connects_every_level():
     rng = np.random.default_rng(3)
     level = np.triu(rng.integers(1, 6, (30, 30)), 1).astype(np.int8)

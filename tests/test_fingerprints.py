@@ -197,6 +197,16 @@ def test_sketches_merge_to_wider_windows(make_flows):
     assert (got["b"]["DstAddr_distinct"], got["b"]["Dport_distinct"]) == (1, 2) and got["c"]["DstAddr_distinct"] == 0
 
 
+def test_flows_are_exchanged_before_they_fold(make_flows):
+    """Folding a whole input split first holds nearly all its rows in memory and spills them."""
+    rows = [(i // 2, "1.1.1.1", "2.2.2.2", "tcp", 0.0 if i % 2 else -0.0) for i in range(40)] + [(0, "1.1.1.1", "2.2.2.2", "tcp", 1.0)]
+    got = cleaning.clean(make_flows(rows, ["StartTime", "SrcAddr", "DstAddr", "Proto", "Dur"]), parts=3)
+    assert got.count() == 21  # zeros of both signs are equal
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan.split("Exchange")[1]
+    assert got.rdd.getNumPartitions() == 3
+
+
 def test_profile_is_derived_once(spark, make_flows, monkeypatch):
     """Ranges and rows both read the written profile, so the flows are not profiled again for the ranges."""
     flows = cleaning.clean(make_flows([flow(60 * i, src=f"1.1.1.{i % 7}", port=i % 5) for i in range(70)], COLUMNS))

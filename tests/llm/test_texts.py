@@ -296,6 +296,26 @@ def test_candidates_come_from_the_space(spark):
     assert not decontaminate.Search(items, idf, np.zeros_like(space)).found(text)
 
 
+@pytest.mark.parametrize("run", [decontaminate.contaminated, decontaminate.drop_contaminated])
+def test_space_is_shaped_by_all_documents(spark, monkeypatch, run):
+    """Many documents, repeated rows among them: the directions are those of every document's passages."""
+    draw, known = random.Random(51), words(random.Random(52), 20)
+    rows = [(k, " ".join(draw.choices(known + ["foreign"], k=draw.choice([0, 3, 40]))), "en", "s", 0) for k in range(2100)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], SCHEMA)
+    bench = spark.createDataFrame([(k, " ".join(draw.choices(known, k=12)) + ".") for k in range(3)], "item_id bigint, text string")
+    directions, seen = decontaminate.passage_directions, []
+
+    def passage_directions(read, items, idf):
+        seen.append((read.count(), directions(read, items, idf), directions(docs, items, idf)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(decontaminate, "passage_directions", passage_directions)
+    run(docs, bench).count()
+    (count, found, whole), = seen
+    assert count == 2150
+    assert found.T @ found == pytest.approx(whole.T @ whole, abs=1e-9)
+
+
 def test_common_subsequence():
     draw = random.Random(1)
     for _ in range(200):

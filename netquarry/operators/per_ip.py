@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions.network import simple_label, window_start
 from netquarry.functions.vectors import min_max
-from netquarry.operators.grouped import gap_statistics, range_of, value_statistics
+from netquarry.operators.grouped import GATHERED, gap_columns, gap_statistics, gathered, gathered_sums, large_keys, range_of, value_columns, value_statistics
 from netquarry.schema import PER_IP_FEATURES
 
 KEY = ["SrcAddr"]
+VALUES = ["Proto", "DstAddr", "Sport", "State", "Dport"]
 
 
 def busiest_share(rows: DataFrame) -> DataFrame:
@@ -41,16 +42,10 @@ def top_labels(rows: DataFrame) -> DataFrame:
     )
 
 
-def profile_fingerprints(rows: DataFrame) -> DataFrame:
-    """19 features and the label of every source address.
-
-    ``rows`` comes from ``cleaning.per_ip_rows``. All parts are aggregates on the
-    address and are joined without another shuffle.
-    """
-    n = F.count(F.lit(1))
+def _scalars() -> list[Column]:
     hour = F.hour("StartTime")
-    scalars = rows.groupBy(*KEY).agg(
-        n.alias("flow_count"),
+    return [
+        F.count(F.lit(1)).alias("flow_count"),
         (F.avg("SrcBytes") / (F.avg("DstBytes") + 1)).alias("payload_asymmetry"),
         F.avg(((hour >= 22) | (hour < 6)).cast("int")).alias("night_ratio"),
         F.sum("TotPkts").alias("_pkts"),
@@ -60,10 +55,43 @@ def profile_fingerprints(rows: DataFrame) -> DataFrame:
         F.avg((F.col("Proto") == "tcp").cast("int")).alias("tcp_ratio"),
         F.avg((F.col("Proto") == "udp").cast("int")).alias("udp_ratio"),
         F.avg(F.col("TotBytes") / F.col("TotPkts")).alias("bytes_per_pkt"),
-    )
-    values = value_statistics(rows, KEY, ["Proto", "DstAddr", "Sport", "State", "Dport"])
-    gaps = gap_statistics(rows, KEY, spread=["DstAddr", "Dport"])
-    joined = scalars.join(values, KEY).join(gaps, KEY).join(busiest_share(rows), KEY).join(top_labels(rows), KEY)
+    ]
+
+
+def _spread_statistics(rows: DataFrame) -> DataFrame:
+    """Statistics of addresses of any size: aggregates that combine before each exchange, and gaps over ranges of time."""
+    values = value_statistics(rows, KEY, VALUES)
+    return rows.groupBy(*KEY).agg(*_scalars()).join(values, KEY).join(gap_statistics(rows, KEY, spread=["DstAddr", "Dport"]), KEY)
+
+
+def _gathered_statistics(rows: DataFrame, parts: int) -> DataFrame:
+    """The same for addresses whose flows fit a task: one exchange brings them together, windows over it do the rest."""
+    used = rows.select(*KEY, "StartTime", *VALUES, "Dur", "TotPkts", "TotBytes", "SrcBytes", "DstBytes")
+    totals = gathered(used, KEY, parts, VALUES).groupBy(*KEY).agg(*_scalars(), *gathered_sums(VALUES))
+    names = ["flow_count", "payload_asymmetry", "night_ratio", "_pkts", "avg_duration", "avg_bytes", "avg_pkts", "tcp_ratio", "udp_ratio", "bytes_per_pkt"]
+    return totals.select(*KEY, *names, *[c for v in VALUES for c in value_columns(v, F.col("flow_count"))], *gap_columns())
+
+
+def _statistics(rows: DataFrame) -> DataFrame:
+    """Addresses of at most ``GATHERED`` flows by one exchange, the others spread over tasks.
+
+    Counting all values of all addresses in one hash aggregate instead fills a
+    task's memory, as most destinations and ports of an address differ.
+    """
+    large, parts = large_keys(rows, KEY, GATHERED)
+    if large is None:
+        return _gathered_statistics(rows, parts)
+    few = _gathered_statistics(rows.join(large, KEY, "left_anti"), parts)
+    return few.unionByName(_spread_statistics(rows.join(large, KEY, "left_semi")))
+
+
+def profile_fingerprints(rows: DataFrame) -> DataFrame:
+    """19 features and the label of every source address.
+
+    ``rows`` comes from ``cleaning.per_ip_rows``. Parts that combine well are
+    aggregates on the address, joined to the statistics of its flows.
+    """
+    joined = _statistics(rows).join(busiest_share(rows), KEY).join(top_labels(rows), KEY)
     cov = F.coalesce(F.try_divide(F.col("gap_std_pop"), F.nullif(F.col("gap_mean"), F.lit(0.0))), F.lit(0.0))
     pkts = F.when(F.col("_pkts") == 0, F.lit(1.0)).otherwise(F.col("_pkts"))
     out = joined.withColumns(

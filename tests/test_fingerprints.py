@@ -258,3 +258,25 @@ def test_gathered_and_spread_keys_have_the_same_statistics(spark, monkeypatch):
 def test_flows_of_usual_keys_are_exchanged_once(spark):
     plan = fp.raw_fingerprints(_mixed_flows(spark.createDataFrame))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+
+
+def test_profile_of_gathered_and_spread_addresses(spark, make_flows, monkeypatch):
+    """Values of usual addresses are not counted in one table of all of them, and addresses of any size have the same features."""
+    columns = ["StartTime", "SrcAddr", "DstAddr", "Sport", "Dport", "Proto", "State", "Label", "Dur", "SrcBytes", "DstBytes", "TotPkts"]
+    rows = [
+        (i * i % 5000, ip, f"172.16.0.{i % 5}", 4000 + i % 3, i % 7, "TCP" if i % 2 else "udp", None if i % 4 else "CON", "a" if i % 3 else None, i / 8, 100 + i, 90 - i, i % 3)
+        for n, ip in ((40, "10.0.0.1"), (9, "10.0.0.2"), (2, "10.0.0.3"), (1, "10.0.0.4"), (6, " "), (6, None)) for i in range(n)
+    ]
+    flows = cleaning.per_ip_rows(make_flows([*rows, rows[0]], columns))
+    got = {}
+    for most in (1_000, 9, 0):  # all addresses gathered, the largest spread, all spread
+        monkeypatch.setattr(per_ip, "GATHERED", most)
+        profile = per_ip.profile_fingerprints(flows)
+        assert ("Expand" in profile._jdf.queryExecution().executedPlan().toString()) == (most < 1_000)
+        got[most] = {r["SrcAddr"]: r.asDict() for r in profile.collect()}
+    assert set(got[0]) == {"10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.4"} and got[0]["10.0.0.1"]["flow_count"] == 41
+    for most in (1_000, 9):
+        assert set(got[most]) == set(got[0])
+        for ip, row in got[0].items():
+            for name, value in row.items():
+                assert got[most][ip][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (most, ip, name)

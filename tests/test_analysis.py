@@ -20,6 +20,15 @@ def test_overlap_three_of_four(spark):
     assert scoring.subnet_share(m).first()["I"] == 0.75
 
 
+def test_addresses_are_not_sent_through_the_driver(spark):
+    """A table of addresses that is small as a file is joined where its rows are."""
+    m = spark.range(1000).selectExpr("CAST(id % 3 AS INT) AS campaign_id", "concat('10.0.', id % 4, '.', id) AS SrcAddr")
+    asn = m.selectExpr("SrcAddr AS ip", "concat('AS', campaign_id, ' NET') AS asn")
+    found = scoring.infrastructure_overlap(m, asn)
+    assert {r["campaign_id"]: r["I"] for r in found.collect()} == {0: 1.0, 1: 1.0, 2: 1.0}
+    assert "BroadcastHashJoin [SrcAddr" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def hourly(spark, series):
     rows = [(ip, h, n) for ip, counts in series.items() for h, n in enumerate(counts) if n]
     return spark.createDataFrame(rows, "SrcAddr string, h int, n bigint").selectExpr(
